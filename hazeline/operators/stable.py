@@ -1,0 +1,21 @@
+"""Fixed inputs for loops that read the same rows many times."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Rows written once to the reliable checkpoint folder, so a lost executor costs no recomputation.
+
+    The folder is the session's ``spark.checkpoint.dir``.  Only a local session may do without: it gets a
+    temporary folder.
+    """
+    sc = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="hazeline-checkpoint-"))
+    return df.checkpoint()
