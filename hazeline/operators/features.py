@@ -104,17 +104,20 @@ def capital_flag(zone: Column | str, codes: Sequence[str]) -> Column:
 
 
 def base_panel(
-    panel: DataFrame, keys: Sequence[str], *, census: DataFrame, capitals: Sequence[str], fires: DataFrame,
-    counter: DataFrame, rain: DataFrame, cuts: DataFrame,
+    panel: DataFrame, keys: Sequence[str], *, census: DataFrame, capitals: Sequence[str] = (),
+    fires: DataFrame | None = None, counter: DataFrame | None = None, rain: DataFrame | None = None,
+    cuts: DataFrame | None = None,
 ) -> DataFrame:
-    """Panel with all features left joined: census by zone, the others by ``keys``.
+    """Panel with features left joined: census by zone, the others by ``keys``; features not given are not computed.
 
     A zone without fire rows keeps NULL, an observed 0 becomes 1; areas without reports become 0.  No join
     is hinted: Spark broadcasts a side only when its measured size is under the session's threshold.
     """
     zone = keys[0]
     out = panel.join(census, zone, "left").withColumn("capital", capital_flag(zone, capitals))
-    out = out.join(fires, keys, "left").withColumn("n_fires", replace_zero("n_fires", 1))
-    for feature in (counter, rain, cuts):
-        out = out.join(feature, keys, "left")
-    return fill_null(out, {"area": 0})
+    for feature in (fires, counter, rain, cuts):
+        if feature is not None:
+            out = out.join(feature, list(keys), "left")
+    if fires is not None:
+        out = out.withColumn("n_fires", replace_zero("n_fires", 1))
+    return fill_null(out, {"area": 0}) if cuts is not None else out

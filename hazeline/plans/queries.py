@@ -383,38 +383,38 @@ def effect_lookup(spark, d):
 
 @query
 def report_overall(spark, d):
-    return tidy(reports.report_overall(roles.event_base_panel(spark, d).filter(F.col("days_above").isNotNull()), roles.effects(),
+    return tidy(reports.report_overall(roles.event_base_panel(spark, d, ()).filter(F.col("days_above").isNotNull()), roles.effects(),
                                        period="week", periods=roles.SEASON, states=roles.STATES))
 
 
 @query
 def report_states(spark, d):
-    base = roles.event_base_panel(spark, d).filter(F.col("days_above").isNotNull())
+    base = roles.event_base_panel(spark, d, ()).filter(F.col("days_above").isNotNull())
     return tidy(reports.report_states(base, roles.effects(), period="week", periods=roles.SEASON))
 
 
 @query
 def report_vulnerable(spark, d):
-    base = roles.event_base_panel(spark, d)
+    base = roles.event_base_panel(spark, d, ())
     return tidy(reports.report_vulnerable(base, roles.flagged_zones(base), _names(spark, d), roles.effects(), zone="zone",
                                           period="week", periods=roles.SEASON))
 
 
 @query
 def report_zones(spark, d):
-    return tidy(reports.report_zones(roles.event_base_panel(spark, d), _names(spark, d), roles.effects(), zone="zone",
+    return tidy(reports.report_zones(roles.event_base_panel(spark, d, ()), _names(spark, d), roles.effects(), zone="zone",
                                      period="week", periods=roles.SEASON, states=roles.STATES, text=False))
 
 
 @query
 def semi_vulnerable(spark, d):
-    base = roles.event_base_panel(spark, d)
+    base = roles.event_base_panel(spark, d, ())
     rows = reports.only_zones(base, roles.flagged_zones(base), "zone")
     return rows.select("zone", "week", "admissions", "days_above", "name", "state")
 
 
 def _season(spark, d):
-    return reports.season_filter(roles.event_base_panel(spark, d), "week", min(roles.SEASON), max(roles.SEASON))
+    return reports.season_filter(roles.event_base_panel(spark, d, ()), "week", min(roles.SEASON), max(roles.SEASON))
 
 
 _ZONE_KEYS = ["zone", "name", "state", "pop"]
@@ -432,20 +432,20 @@ def report_grouped_by_measure(spark, d):
 
 @query
 def report_single_state_month(spark, d):
-    return tidy(reports.report_single_state_period(roles.event_base_panel(spark, d), roles.effects(), _ZONE_KEYS, period="week",
+    return tidy(reports.report_single_state_period(roles.event_base_panel(spark, d, ("fires",)), roles.effects(), _ZONE_KEYS, period="week",
                                                    value=2, state="NATION_4"))
 
 
 @query
 def counterfactual(spark, d):
-    out = reports.counterfactual(roles.event_base_panel(spark, d), roles.effects())
+    out = reports.counterfactual(roles.event_base_panel(spark, d, ()), roles.effects())
     return tidy(out, "zone", "name", "state", "pop", "size", "week", "admissions", "confirmed", "days_above",
                 "ratio_admissions", "ratio_confirmed", "admissions_without", "confirmed_without")
 
 
 @query
 def source_reconciliation(spark, d):
-    return reports.source_reconciliation(roles.event_base_panel(spark, d), "week", ["deaths_confirmed", "deaths_new"])
+    return reports.source_reconciliation(roles.event_base_panel(spark, d, ("counter",)), "week", ["deaths_confirmed", "deaths_new"])
 
 
 @query

@@ -264,11 +264,19 @@ def cut_area(spark: SparkSession, sf_dir: str, period: str, of_date: Column, axi
     )
 
 
-def event_base_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+FEATURES = {
+    "fires": lambda spark, d: event_fires(spark, d),
+    "counter": lambda spark, d: event_increments(spark, d),
+    "rain": lambda spark, d: event_rain(spark, d),
+    "cuts": lambda spark, d: cut_area(spark, d, "week", week_of("seen"), number_axis(*WEEKS)),
+}
+
+
+def event_base_panel(spark: SparkSession, sf_dir: str, features_: tuple[str, ...] = tuple(FEATURES)) -> DataFrame:
+    """Weekly panel with census and the named features; a report asks only for what it shows."""
     return features.base_panel(
         event_weekly_panel(spark, sf_dir), ["zone", "week"], census=census(spark, sf_dir), capitals=CAPITALS,
-        fires=event_fires(spark, sf_dir), counter=event_increments(spark, sf_dir), rain=event_rain(spark, sf_dir),
-        cuts=cut_area(spark, sf_dir, "week", week_of("seen"), number_axis(*WEEKS)),
+        **{f: FEATURES[f](spark, sf_dir) for f in features_},
     )
 
 
