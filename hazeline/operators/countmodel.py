@@ -140,7 +140,7 @@ def _design(df: DataFrame, numeric: Sequence[str], factors: Sequence[str]):
 def fit_counts(
     df: DataFrame, response: str, *, numeric: Sequence[str] = (), factors: Sequence[str] = (), exposure: str | None = None,
     mixed: bool = False, inflated: bool = False, level: Sequence[str] = (), model: str | None = None,
-    nodes: int = 21, max_steps: int = 60, tol: float = 1e-6,
+    nodes: int = 21, max_steps: int = 60, tol: float = 1e-5,
 ) -> CountFit:
     """Fit ``response ~ offset(log(exposure)) + terms [+ (1 | level)]``, optionally with constant zero inflation.
 

@@ -52,7 +52,7 @@ def aggregate_on_grid(
     axis_values = F.transform(values, lambda v: v.cast(kind[axis])) if _is_number(kind[axis]) else values
     absent = F.array_except(axis_values, F.transform("_cells", lambda c: c[axis]))
     if only_if is not None:
-        absent = F.when(F.col("_wanted"), absent).otherwise(F.array_except(absent, absent))
+        absent = F.slice(absent, 1, F.when(F.col("_wanted"), F.size(axis_values)).otherwise(0))
 
     def empty_cell(v: Column) -> Column:
         return F.struct(v.alias(axis), *[F.lit(fill.get(n)).cast(kind[n]).alias(n) for n in aggs])

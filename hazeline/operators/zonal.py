@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazeline.operators.stable import checkpointed
+
 _PPB = 10**9
 
 
@@ -67,49 +69,61 @@ def coverage(
     return ring.groupBy(polygon, "cell_x", "cell_y").agg(cov).filter(F.col("cov") > 1e-9)
 
 
-def weighted_median(
+def weighted_summary(
     df: DataFrame, keys: Sequence[str], value: str, weight: str, *, buckets: int = 1024, span: DataFrame | None = None
 ) -> DataFrame:
-    """Lower weighted median per group: the smallest value whose cumulative weight reaches half the total.
+    """Weighted mean, lower weighted median and maximum per group: (keys, mean, median, max).
 
-    Two exact steps keep a hot group off a single task.  Values are summed into at most ``buckets`` equal-width
-    buckets per group (combined before the exchange), which shows the bucket holding the median; then only that
-    bucket's distinct values are ordered.  Weights count in billionths, so sums do not depend on order.
-    ``span`` is a cheaper table with the same ``value`` column, or a wider range of it, to size the buckets from.
+    The lower median is the smallest value whose cumulative weight reaches half the total; weights count in
+    billionths there, so sums do not depend on order.  Two exact steps keep a hot group off a single task.
+    Values are summed into at most ``buckets`` equal-width buckets per group (combined before the exchange), which shows
+    the bucket holding the median; then only that bucket's distinct values are ordered.  ``span`` is a cheaper table
+    with the same ``value`` column, or a wider range of it, to size the buckets from.
     """
     w = F.round(F.col(weight) * _PPB).cast("bigint")
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), w.alias("_w"))
+    rows = df.select(*keys, F.col(value).alias("_v"), w.alias("_w"), F.col(weight).alias("_c"))
     ends = (df if span is None else span).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
     step = F.when(hi > lo, F.floor((F.col("_v") - lo) / (hi - lo) * (buckets - 1))).otherwise(F.lit(0))
-    atoms = rows.withColumn("_b", step.cast("int")).groupBy(*keys, "_b", "_v").agg(F.sum("_w").alias("_w"))
-    per_bucket = atoms.groupBy(*keys, "_b").agg(F.sum("_w").alias("_bw"))
+    rows = rows.filter(F.col("_v").isNotNull()).withColumn("_b", step.cast("int"))
+    # Read twice below, so written down: the overlay runs once, and both reads see the same sums.
+    atoms = checkpointed(rows.groupBy(*keys, "_b", "_v").agg(F.sum("_w").alias("_w"), F.sum("_c").alias("_c")))
+
+    per_bucket = atoms.groupBy(*keys, "_b").agg(
+        F.sum("_w").alias("_bw"), F.sum("_c").alias("_bc"), F.sum(F.col("_v") * F.col("_c")).alias("_bvc"), F.max("_v").alias("_bmax"))
     group = Window.partitionBy(*keys)
     so_far = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = per_bucket.withColumns({"_cum": F.sum("_bw").over(so_far), "_total": F.sum("_bw").over(group)})
-    target = ranked.filter(
-        (2 * F.col("_cum") >= F.col("_total")) & (2 * (F.col("_cum") - F.col("_bw")) < F.col("_total"))
-    ).select(*keys, "_b", (F.col("_cum") - F.col("_bw")).alias("_before"), "_total")
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = per_bucket.withColumns({
+        "_cum": F.sum("_bw").over(so_far), "_total": F.sum("_bw").over(group),
+        "mean": F.sum("_bvc").over(group) / F.sum("_bc").over(group), "max": F.max("_bmax").over(group),
+    }).withColumn("_before", F.col("_cum") - F.col("_bw"))
+    target = ranked.filter((2 * F.col("_cum") >= F.col("_total")) & (2 * F.col("_before") < F.col("_total")))
+    target = target.select(*keys, "_b", "_before", "_total", "mean", "max")
+
+    bucket = Window.partitionBy(*keys, "_b")
+    inside = bucket.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hit = atoms.join(target, [*keys, "_b"]).withColumn("_cum", F.col("_before") + F.sum("_w").over(inside))
-    return hit.filter(2 * F.col("_cum") >= F.col("_total")).groupBy(*keys, "_b").agg(F.min("_v").alias("median")).drop("_b")
+    half = F.when(2 * F.col("_cum") >= F.col("_total"), F.col("_v"))
+    return hit.groupBy(*keys, "_b").agg(
+        F.first("mean").alias("mean"), F.min(half).alias("median"), F.first("max").alias("max")).drop("_b")
 
 
 def zonal_stats(
     grid: DataFrame, cover: DataFrame, polygon: str, date: str = "date",
     functions: Sequence[str] = ("mean", "median", "max"),
 ) -> DataFrame:
-    """Coverage-weighted ``mean``, ``median`` and ``max`` per polygon and day, long: (polygon, date, fun, value)."""
-    cells = grid.filter(F.col("value").isNotNull()).join(cover, ["cell_x", "cell_y"])
-    mean = F.sum(F.col("value") * F.col("cov")) / F.sum("cov")
-    simple = {"mean": mean, "max": F.max("value")}
+    """Coverage-weighted statistics per polygon and day, long: (polygon, date, fun, value).
+
+    ``grid`` is read twice with the median: hand in a stored table, as the daily grid is.
+    """
     keys = [polygon, date]
-    wide = cells.groupBy(*keys).agg(*[simple[f].alias(f) for f in functions if f in simple])
-    parts = [wide.unpivot(keys, [f for f in functions if f in simple], "fun", "value")]
+    cells = grid.filter(F.col("value").isNotNull()).join(cover, ["cell_x", "cell_y"])
     if "median" in functions:
-        med = weighted_median(cells, keys, "value", "cov", span=grid)
-        parts.append(med.select(*keys, F.lit("median").alias("fun"), F.col("median").alias("value")))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        wide = weighted_summary(cells, keys, "value", "cov", span=grid)
+    else:
+        mean = F.sum(F.col("value") * F.col("cov")) / F.sum("cov")
+        wide = cells.groupBy(*keys).agg(mean.alias("mean"), F.max("value").alias("max"))
+    return wide.unpivot(keys, list(functions), "fun", "value")
 
 
 def zone_means(stats: DataFrame, polygons: DataFrame, polygon: str, zone_keys: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hazeline.functions import dates, effects, nulls
 from hazeline.functions import text as tx
 from hazeline.operators import cluster, countmodel, features, grid_fill, panel, raster, reports, stay, zonal
+from hazeline.operators.stable import checkpointed
 from hazeline.plans import roles
 from hazeline.plans.roles import cents, table, text
 from hazeline.sources.resume import pending
@@ -348,7 +349,8 @@ def zone_cell_coverage(spark, d):
 
 
 def _polygon_stats(spark, d):
-    return zonal.zonal_stats(_daily_grid(spark, d), zonal.coverage(roles.polygon_edges(spark, d), "polygon"), "polygon")
+    cover = zonal.coverage(roles.polygon_edges(spark, d), "polygon")
+    return zonal.zonal_stats(checkpointed(_daily_grid(spark, d)), cover, "polygon")
 
 
 @query
@@ -395,7 +397,7 @@ def report_states(spark, d):
 
 @query
 def report_vulnerable(spark, d):
-    base = roles.event_base_panel(spark, d, ())
+    base = checkpointed(roles.event_base_panel(spark, d, ()))
     return tidy(reports.report_vulnerable(base, roles.flagged_zones(base), _names(spark, d), roles.effects(), zone="zone",
                                           period="week", periods=roles.SEASON))
 
@@ -408,7 +410,7 @@ def report_zones(spark, d):
 
 @query
 def semi_vulnerable(spark, d):
-    base = roles.event_base_panel(spark, d, ())
+    base = checkpointed(roles.event_base_panel(spark, d, ()))
     rows = reports.only_zones(base, roles.flagged_zones(base), "zone")
     return rows.select("zone", "week", "admissions", "days_above", "name", "state")
 
@@ -468,7 +470,7 @@ def _scaled(spark, d):
 @query
 def kmeans_profile(spark, d):
     features_ = list(roles.PROFILE)
-    scaled = _scaled(spark, d)
+    scaled = checkpointed(_scaled(spark, d))
     centers, cost = cluster.kmeans(scaled, "zone", features_)
     sizes = cluster.assign_clusters(scaled, centers, features_).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     worst = cluster.vulnerable_cluster(centers, features_)

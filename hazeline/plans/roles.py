@@ -7,6 +7,8 @@ values and misspellings, which the tables lack, are derived from each row's own
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +31,9 @@ EFFECTS = {"admissions": 1.026, "confirmed": 1.020}
 PROFILE = ("admissions", "reading", "days_above", "precipitation", "area", "pop", "n_fires")
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table; kept per session, so a query using it several times lists and reads its footers once."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
