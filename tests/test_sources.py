@@ -1,0 +1,80 @@
+from __future__ import annotations
+
+import gzip
+
+import pytest
+from pyspark.sql import functions as F
+
+from hazeline.operators import raster
+from hazeline.sources import resume, tables
+
+
+def test_delimited_scan_cleans_drops_and_keeps_bad_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("CO_MUN;Dt Interna;obes_imc\n110001;01/02/2020;3\nx;02/02/2020;4\n")
+    df = tables.read_delimited(spark, str(tmp_path / "a.csv"), "CO_MUN int, `Dt Interna` string, obes_imc int", sep=";", drop=["obes_imc"])
+    assert df.columns == ["co_mun", "dt_interna", "corrupt_record"]
+    rows = sorted(df.collect(), key=str)
+    assert [r["co_mun"] for r in rows] == [110001, None] and rows[1]["corrupt_record"].startswith("x;")
+
+
+def test_gzip_scan_is_spread(spark, tmp_path):
+    with gzip.open(tmp_path / "c.csv.gz", "wt") as f:
+        f.write("date,confirmed\n" + "".join(f"2020-01-{i:02d},{i}\n" for i in range(1, 31)))
+    df = tables.read_delimited(spark, str(tmp_path / "c.csv.gz"), "date date, confirmed bigint", partitions=4)
+    assert df.agg(F.sum("confirmed")).first()[0] == 465 and df.rdd.getNumPartitions() == 4
+
+
+def test_report_and_table_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("a", 0.25), ("b", None)], "zone string, pct double").orderBy("zone")
+    tables.write_report(df, str(tmp_path / "r"))
+    back = tables.read_delimited(spark, str(tmp_path / "r"), "zone string, pct double").drop("corrupt_record")
+    assert sorted(map(tuple, back.collect()), key=str) == [("a", 0.25), ("b", None)]
+    tables.write_table(df, str(tmp_path / "t"), by=["zone"])
+    assert spark.read.parquet(str(tmp_path / "t")).filter("zone = 'a'").first()["pct"] == 0.25
+
+
+def bands(spark, days):
+    return spark.createDataFrame([(d, x) for d in days for x in (0, 1)], "d string, cell_x int").select(
+        F.to_timestamp_ntz(F.col("d")).alias("band_ts"), F.to_timestamp_ntz(F.col("d")).alias("run_ts"), "cell_x",
+        F.lit(0).alias("cell_y"), (F.col("cell_x") * 1e-9).alias("value"))
+
+
+def test_only_missing_days_are_processed(spark, tmp_path):
+    path, seen = str(tmp_path / "grid"), []
+
+    def to_days(grid):
+        seen.append(sorted({str(r["date_utc"]) for r in grid.select("date_utc").distinct().collect()}))
+        return raster.daily_mean(grid)
+
+    for days in (["2020-01-01 00:00:00", "2020-01-02 00:00:00"], ["2020-01-02 00:00:00", "2020-01-03 00:00:00"]):
+        resume.add_missing_days(spark, raster.consolidate(bands(spark, days)), path, to_days, "date_utc")
+    assert seen == [["2020-01-01", "2020-01-02"], ["2020-01-03"]]
+    back = tables.read_grid(spark, path)
+    assert back.count() == 6
+    late = tables.read_grid(spark, path, first="2020-01-02", last="2020-01-02")
+    assert late.count() == 2 and "PartitionFilters: [isnotnull(date" in late._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pending(spark):
+    work = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "k int, l string")
+    assert [tuple(r) for r in resume.pending(work, work.filter("k = 1"), ["k"]).collect()] == [(2,)]
+
+
+def test_cluster_without_checkpoint_folder_is_refused(spark):
+    from hazeline.operators.stable import checkpointed
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {"x": 1}
+
+    class Frame:
+        sparkSession = Session()
+
+    with pytest.raises(ValueError):
+        checkpointed(Frame())
