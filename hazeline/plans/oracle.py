@@ -30,7 +30,7 @@ def _with(*ctes: str, select: str) -> str:
 EVENT_CASES = """
 ev_case AS (SELECT zone, date, confirmed, NOT confirmed AS undetermined, confirmed OR value > 50 AS symptomatic, died,
     died AND confirmed AS died_confirmed
-  FROM (SELECT user_id::VARCHAR AS zone, ts::DATE AS date, event_type = 'purchase' AS confirmed, value, event_id %% 10 = 0 AS died
+  FROM (SELECT user_id::VARCHAR AS zone, ts::DATE AS date, event_type = 'purchase' AS confirmed, value, value < 10 AS died
         FROM events WHERE event_type IN ('error', 'purchase')))
 --
 ev_count AS (SELECT zone, date, %s FROM ev_case GROUP BY zone, date)
@@ -88,17 +88,17 @@ CENSUS = """
 census AS (SELECT c_custkey::VARCHAR AS zone, c_name AS name, n_name AS state, c_acctbal / 10000 AS idhm,
     (c_custkey % 20 + 60)::DOUBLE AS espvida, c_acctbal AS rdpc, (c_custkey % 100) / 100.0::DOUBLE AS gini, pop,
     CASE WHEN pop < 2500 THEN 'p' WHEN pop < 5000 THEN 'm' ELSE 'g' END AS size
-  FROM (SELECT *, CASE WHEN c_custkey % 13 <> 0 THEN floor(c_acctbal)::BIGINT END AS pop FROM customer)
+  FROM (SELECT *, CASE WHEN c_acctbal >= 0 THEN floor(c_acctbal)::BIGINT END AS pop FROM customer)
     JOIN nation ON c_nationkey = n_nationkey)
 """
 
 
 def _cut(period: str, expr: str, axis: str) -> str:
     return f"""
-cut AS (SELECT strip_accents(upper(CASE WHEN o_orderkey % 29 = 0 THEN spelt || ' ?' ELSE spelt END)) AS name, state,
+cut AS (SELECT strip_accents(upper(CASE WHEN o_totalprice > 480000 THEN spelt || ' ?' ELSE spelt END)) AS name, state,
     {expr} AS {period}, area
-  FROM (SELECT o_orderkey, o_orderdate, n_name AS state, round(o_totalprice * 100) AS area,
-      CASE WHEN o_orderkey % 2 = 0 THEN translate(lower(c_name), 'aeou', 'áéõü') ELSE c_name END AS spelt
+  FROM (SELECT o_totalprice, o_orderdate, n_name AS state, round(o_totalprice * 100) AS area,
+      CASE WHEN o_orderpriority < '3' THEN translate(lower(c_name), 'aeou', 'áéõü') ELSE c_name END AS spelt
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey))
 --
 cut_area AS (SELECT k.zone, {period}, coalesce(area, 0) AS area
@@ -141,8 +141,8 @@ ll AS (SELECT o_orderkey, zone, admitted, (admitted - 7)::DATE AS exposed, outco
     coalesce(class NOT IN (1, 2, 3), true) AS undetermined, coalesce(class = 5, false) AS confirmed, status = 'F' AS died, urgency <= 2 AS fever,
     (k % 2 = 0)::INT + (k % 3 = 0)::INT + (k % 7 = 0)::INT + (urgency = 1)::INT + (k % 13 = 1)::INT + (k % 17 = 0)::INT AS n_symptoms, pcr
   FROM (SELECT o_orderkey, o_orderkey AS k, o_custkey::VARCHAR AS zone, substr(o_orderpriority, 1, 1)::INT AS urgency,
-      o_orderstatus AS status, CASE WHEN o_orderkey % 97 <> 0 THEN o_orderdate::DATE END AS admitted,
-      CASE WHEN o_orderkey % 4 <> 0 THEN {shipped}::DATE END AS outcome, {shipped}::DATE AS closed,
+      o_orderstatus AS status, CASE WHEN o_totalprice >= 5000 THEN o_orderdate::DATE END AS admitted,
+      CASE WHEN o_orderpriority <> '5-LOW' THEN {shipped}::DATE END AS outcome, {shipped}::DATE AS closed,
       CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 11 IN (1, 2, 3) THEN 5 WHEN o_orderkey % 11 = 4 THEN 4
         ELSE instr('FOP', o_orderstatus) END AS class,
       CASE WHEN o_orderkey % 5 = 1 THEN 2 WHEN o_orderkey % 5 IN (2, 3) THEN 1 END AS pcr
@@ -204,12 +204,12 @@ grid_day AS (SELECT cell_x, cell_y, date_utc AS date, avg(value) AS value FROM g
 
 COVER = """
 shape AS (SELECT s_suppkey AS polygon, (s_suppkey * 7) % 10 + 0.5::DOUBLE + s_acctbal / 10000 / 3 AS cx,
-    s_suppkey * 0.15::DOUBLE + s_acctbal / 10000 / 7 AS cy, 0.8::DOUBLE + s_acctbal / 10000 * 0.9::DOUBLE AS r FROM supplier)
+    s_suppkey * 0.15::DOUBLE + s_acctbal / 10000 / 7 AS cy, 0.8::DOUBLE + s_acctbal / 10000 * 0.9::DOUBLE AS r, s_acctbal FROM supplier)
 --
 corner AS (SELECT * FROM (VALUES (0, 0, -1.0::DOUBLE, -0.7::DOUBLE), (0, 1, 0.13, -0.31), (0, 2, 1.0, -0.9), (0, 3, 0.77, 0.83), (0, 4, -0.6, 1.1),
   (1, 0, -0.17, 0.1), (1, 1, -0.15, 0.41), (1, 2, 0.19, 0.37), (1, 3, 0.17, 0.12)) t(ring_id, i, px, py))
 --
-vertex AS (SELECT polygon, ring_id, i, cx + r * px AS x, cy + r * py AS y FROM shape, corner WHERE ring_id = 0 OR polygon % 3 = 0)
+vertex AS (SELECT polygon, ring_id, i, cx + r * px AS x, cy + r * py AS y FROM shape, corner WHERE ring_id = 0 OR s_acctbal > 6000)
 --
 edge AS (SELECT v.polygon, v.ring_id, v.x AS ax, v.y AS ay, n.x AS bx, n.y AS by_ FROM vertex v JOIN vertex n
     ON v.polygon = n.polygon AND v.ring_id = n.ring_id AND n.i = (v.i + 1) % (CASE WHEN v.ring_id = 0 THEN 5 ELSE 4 END))
@@ -269,32 +269,31 @@ _KEYS = "zone, name, state, pop"
 _DAY_COUNTS = ", ".join(COUNTS)
 
 ORACLE: dict[str, str] = {
-    "scan_drop_cols": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_shipdate FROM lineitem"
-    .replace("l_extendedprice", "l_extendedprice"),
+    "scan_drop_cols": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_shipdate FROM lineitem",
     "incremental_anti": """SELECT DISTINCT user_id::VARCHAR AS zone, ts::DATE AS date FROM events
       WHERE (user_id, ts::DATE) NOT IN (SELECT user_id, ts::DATE FROM events WHERE event_type = 'view')""",
-    "clean_readings": "SELECT event_id, round(value, 2) AS reading FROM events WHERE event_id % 7 > 1",
+    "clean_readings": "SELECT event_id, round(value, 2) AS reading FROM events WHERE event_type <> 'error' AND value <= 300",
     "semi_zone_filter": """SELECT o_custkey AS zone, o_orderkey, o_totalprice FROM orders
       WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""",
     "distinct_zones": "SELECT DISTINCT c_mktsegment FROM customer ORDER BY 1",
     "zone_surrogate_id": "SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) AS zone_id FROM customer",
-    "exceedance_flag": "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value > 50 END AS above FROM events",
+    "exceedance_flag": "SELECT event_id, CASE WHEN event_type <> 'error' THEN value > 50 END AS above FROM events",
     "string_keys": """SELECT c_custkey, lpad(c_custkey::VARCHAR, 9, '0') AS zone, substr((c_custkey + 1000000)::VARCHAR, 1, 6) AS zone6,
         'ymd_' || c_mktsegment || '_' || c_nationkey AS label, split_part(c_name, '#', 2) AS part,
         regexp_extract(c_name, '[0-9]+')::INT + 1 AS number,
-        upper(strip_accents(CASE WHEN c_custkey % 29 = 0 THEN spelt || ' ?' ELSE spelt END)) AS name_key,
+        upper(strip_accents(CASE WHEN c_acctbal < 0 THEN spelt || ' ?' ELSE spelt END)) AS name_key,
         regexp_replace(c_name, '0+', '_', 'g') AS squeezed, replace(c_mktsegment, 'U', '-') AS replaced,
         c_nationkey::DOUBLE AS nation_number, try_cast(c_mktsegment AS DOUBLE) AS not_a_number
-      FROM (SELECT *, CASE WHEN c_custkey % 2 = 0 THEN translate(lower(c_name), 'aeou', 'áéõü') ELSE c_name END AS spelt FROM customer)""",
-    "date_parts": """SELECT o_orderkey, try_strptime(CASE WHEN o_orderkey % 17 = 0 THEN '31/02/1999' ELSE strftime(o_orderdate, '%d/%m/%Y') END,
+      FROM (SELECT *, CASE WHEN c_mktsegment < 'G' THEN translate(lower(c_name), 'aeou', 'áéõü') ELSE c_name END AS spelt FROM customer)""",
+    "date_parts": """SELECT o_orderkey, try_strptime(CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN '31/02/1999' ELSE strftime(o_orderdate, '%d/%m/%Y') END,
           '%d/%m/%Y')::DATE AS parsed, day, year(day)::INT AS year, month(day)::INT AS month, (day - 7)::DATE AS exposed, (day - 14)::DATE AS reported,
         date_diff('day', DATE '1995-01-01', day)::INT AS days, strftime(local, '%H:%M:%S') AS clock, local::DATE AS local_date,
         day(last_day(day))::INT AS month_days
-      FROM (SELECT o_orderkey, o_orderdate, o_orderdate::DATE AS day, o_orderdate + to_hours((o_orderkey % 24)::INT) - INTERVAL 5 HOURS AS local FROM orders)""",
+      FROM (SELECT o_orderkey, o_orderpriority, o_orderdate, o_orderdate::DATE AS day, o_orderdate + to_hours((o_orderkey % 24)::INT) - INTERVAL 5 HOURS AS local FROM orders)""",
     "clamp_values": """SELECT o_orderkey, x, y, CASE WHEN x < 0 THEN 0 ELSE x END AS clamped, CASE WHEN x = 0 THEN 1 ELSE x END AS at_least_one,
         CASE WHEN y = 0 THEN 0.01::DOUBLE ELSE y::DOUBLE END AS not_zero, coalesce(x, y) AS either, coalesce(y, 0) AS filled
-      FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN floor(o_totalprice / 1000)::BIGINT - 250 END AS x,
-              CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 5 END AS y FROM orders)""",
+      FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN floor(o_totalprice / 1000)::BIGINT - 250 END AS x,
+              CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN substr(o_orderpriority, 1, 1)::BIGINT - 1 END AS y FROM orders)""",
     "rate_ratio": f"""SELECT o_orderkey, days, round(exp({_A} * days), 6) AS ratio, round(exp({_A} * days) - 1, 6) AS extra,
         printf('%.1f', (exp({_A} * days) - 1) * 100) || '%' AS shown, round(CASE WHEN o_totalprice > 0 THEN ln(o_totalprice) END, 6) AS "offset"
       FROM (SELECT o_orderkey, o_totalprice, o_orderkey % 31 AS days FROM orders)""",
@@ -309,7 +308,7 @@ ORACLE: dict[str, str] = {
       a AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-02-04', INTERVAL 1 DAY))::DATE AS date)
       SELECT zone, date, coalesce(n, 0) AS n, total FROM (SELECT z.zone, a.date FROM (SELECT DISTINCT zone FROM r) z, a) FULL JOIN r USING (zone, date)""",
     "complete_months": f"""WITH r AS (SELECT o_custkey::VARCHAR AS zone, month(o_orderdate)::INT AS month, count(*) AS n, sum(round(o_totalprice * 100)) AS v
-        FROM orders WHERE o_orderkey % 101 <> 0 GROUP BY ALL)
+        FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED' GROUP BY ALL)
       SELECT zone, month, coalesce(n, 0) AS n_fires, coalesce(v, 0) AS fire_density
       FROM (SELECT z.zone, m.month FROM (SELECT DISTINCT zone FROM r) z, {_MONTHS}) LEFT JOIN r USING (zone, month)""",
     "daily_panel": _with(EVENT_DAILY, select=f"SELECT zone, date, {_DAY_COUNTS}, round(reading, 6) AS reading, above FROM ev_day"),
@@ -321,7 +320,7 @@ ORACLE: dict[str, str] = {
     "monthly_mean": """SELECT o_custkey::VARCHAR AS zone, month(o_orderdate)::INT AS month, year(o_orderdate)::INT AS year,
         round(avg(round(o_totalprice * 100)), 6) AS reading_mean FROM orders GROUP BY ALL""",
     "length_of_stay": "", "length_of_stay_fatal": "",
-    "last_in_period": _with(COUNTER, select="""SELECT zone, ((day(date) - 1) // 7)::INT AS week, CASE WHEN event_id % 4 <> 0 THEN cases END AS cases, deaths
+    "last_in_period": _with(COUNTER, select="""SELECT zone, ((day(date) - 1) // 7)::INT AS week, CASE WHEN cases >= 1000 THEN cases END AS cases, deaths
       FROM counter QUALIFY row_number() OVER (PARTITION BY zone, (day(date) - 1) // 7 ORDER BY ts DESC, event_id DESC) = 1"""),
     "fill_down": _with(COUNTER, f"""n AS (SELECT zone, ((day(date) - 1) // 7)::INT AS week, cases, deaths FROM counter
         QUALIFY row_number() OVER (PARTITION BY zone, (day(date) - 1) // 7 ORDER BY ts DESC, event_id DESC) = 1)""", select=f"""
@@ -343,7 +342,7 @@ ORACLE: dict[str, str] = {
       UNION ALL SELECT zone, 'max', date, b FROM g LEFT JOIN r USING (zone, date)""",
     "dim_census": _with(CENSUS, select=f"""SELECT zone, name, state, {_r('idhm')}, espvida, rdpc, gini, pop, size, zone IN {_CAPITALS} AS capital FROM census"""),
     "size_band": """SELECT c_custkey, pop, CASE WHEN pop < 2500 THEN 'p' WHEN pop < 5000 THEN 'm' ELSE 'g' END AS size
-      FROM (SELECT c_custkey, CASE WHEN c_custkey % 13 <> 0 THEN floor(c_acctbal)::BIGINT END AS pop FROM customer)""",
+      FROM (SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN floor(c_acctbal)::BIGINT END AS pop FROM customer)""",
     "base_panel": _with(BASE, select=f"""SELECT * REPLACE (round(reading, 6) AS reading, round(idhm, 6) AS idhm) FROM base"""),
     "season_filter": "SELECT o_orderkey, month(o_orderdate)::INT AS month, o_totalprice FROM orders WHERE month(o_orderdate) BETWEEN 7 AND 10",
     "zone_profile": _with(PROFILE, select=f"SELECT zone, {_r(*PROFILE_COLUMNS)} FROM profile"),
@@ -384,7 +383,7 @@ ORACLE: dict[str, str] = {
         f"round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 6) AS {c}" for c in PROFILE_COLUMNS) + " FROM profile"),
 }
 
-_DISC = """(SELECT l_suppkey AS zone, year(l_shipdate)::INT AS year, month(l_shipdate)::INT AS month, CASE WHEN l_orderkey % 50 <> 0 THEN round(l_discount * 100) END AS x
+_DISC = """(SELECT l_suppkey AS zone, year(l_shipdate)::INT AS year, month(l_shipdate)::INT AS month, CASE WHEN l_discount > 0 THEN round(l_discount * 100) END AS x
   FROM lineitem)"""
 ORACLE["na_propagating_agg"] = f"""SELECT zone, year, month, round({_NULL_MEAN.format('x')}, 6) AS mean_x, {_NULL_SUM.format('x')} AS sum_x
   FROM {_DISC} GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY zone, year, month")

@@ -48,8 +48,8 @@ def incremental_anti(spark, d):
 
 @query
 def clean_readings(spark, d):
-    k = F.col("event_id") % 7
-    raw = F.when(k == 0, None).when(k == 1, "NaN").otherwise(F.round(F.col("value"), 2).cast("string"))
+    text_value = F.round(F.col("value"), 2).cast("string")
+    raw = F.when(F.col("event_type") == "error", None).when(F.col("value") > 300, "NaN").otherwise(text_value)
     ev = table(spark, d, "events").select("event_id", raw.alias("ppm25"))
     return panel.clean_readings(ev, "ppm25").select("event_id", "reading")
 
@@ -74,14 +74,14 @@ def zone_surrogate_id(spark, d):
 
 @query
 def exceedance_flag(spark, d):
-    value = F.when(F.col("event_id") % 7 != 0, F.col("value"))
+    value = F.when(F.col("event_type") != "error", F.col("value"))
     return table(spark, d, "events").select("event_id", nulls.exceeds(value, 50.0).alias("above"))
 
 
 @query
 def string_keys(spark, d):
     c = table(spark, d, "customer")
-    name = roles.misspelt(F.col("c_name"), F.col("c_custkey"))
+    name = roles.misspelt(F.col("c_name"), F.col("c_mktsegment") < "G", F.col("c_acctbal") < 0)
     check = F.concat(F.lpad(text("c_custkey"), 9, "0"), (F.col("c_custkey") % 10).cast("string"))
     return c.select(
         "c_custkey", tx.zone_code(check, 9).alias("zone"), tx.zone_code(F.col("c_custkey") + 1000000).alias("zone6"),
@@ -98,7 +98,8 @@ def string_keys(spark, d):
 def date_parts(spark, d):
     k = F.col("o_orderkey")
     o = table(spark, d, "orders").select(
-        "o_orderkey", F.when(k % 17 == 0, "31/02/1999").otherwise(F.date_format("o_orderdate", "dd/MM/yyyy")).alias("dmy"),
+        "o_orderkey", F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "31/02/1999")
+        .otherwise(F.date_format("o_orderdate", "dd/MM/yyyy")).alias("dmy"),
         F.date_format("o_orderdate", "M/d/yyyy").alias("mdy"),
         (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (k % 24).cast("int"))).alias("ts"),
     )
@@ -114,9 +115,9 @@ def date_parts(spark, d):
 
 @query
 def clamp_values(spark, d):
-    k = F.col("o_orderkey")
-    x = F.when(k % 7 != 0, F.floor(F.col("o_totalprice") / 1000) - 250).cast("bigint")
-    o = table(spark, d, "orders").select("o_orderkey", x.alias("x"), F.when(k % 3 != 0, k % 5).alias("y"))
+    x = F.when(F.col("o_orderstatus") != "P", F.floor(F.col("o_totalprice") / 1000) - 250).cast("bigint")
+    y = F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.substring("o_orderpriority", 1, 1).cast("bigint") - 1)
+    o = table(spark, d, "orders").select("o_orderkey", x.alias("x"), y.alias("y"))
     out = o.withColumns({
         "clamped": nulls.clamp_negative("x"), "at_least_one": nulls.replace_zero("x", 1),
         "not_zero": nulls.replace_zero(F.col("y").cast("double"), 0.01), "either": F.coalesce("x", "y"),
@@ -173,7 +174,7 @@ def complete_fixed_range(spark, d):
 
 @query
 def complete_months(spark, d):
-    zone = F.when(F.col("o_orderkey") % 101 != 0, text("o_custkey"))
+    zone = F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", text("o_custkey"))
     o = table(spark, d, "orders").select(zone.alias("zone"), F.month("o_orderdate").alias("month"),
                                          F.lit(1).alias("n_fires"), cents("o_totalprice").alias("fire_density"))
     return features.complete_months(o, "zone", "month", dates.number_axis(*roles.MONTHS), ["n_fires", "fire_density"])
@@ -205,7 +206,7 @@ def monthly_mean(spark, d):
 
 def _discounts(spark, d):
     li = table(spark, d, "lineitem")
-    x = F.when(F.col("l_orderkey") % 50 != 0, cents("l_discount"))
+    x = F.when(F.col("l_discount") > 0, cents("l_discount"))
     return li.select(F.col("l_suppkey").alias("zone"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"),
                      x.alias("x")).groupBy("zone", "year", "month")
 
@@ -244,7 +245,7 @@ def length_of_stay_fatal(spark, d):
 @query
 def last_in_period(spark, d):
     c = roles.event_counter(spark, d).withColumn("week", roles.week_of("date"))
-    c = c.withColumn("cases", F.when(F.col("event_id") % 4 != 0, F.col("cases")))
+    c = c.withColumn("cases", F.when(F.col("cases") >= 1000, F.col("cases")))
     return features.last_in_period(c, ["zone", "week"], ["ts", "event_id"], ["cases", "deaths"])
 
 
@@ -300,8 +301,7 @@ def dim_census(spark, d):
 @query
 def size_band(spark, d):
     c = table(spark, d, "customer")
-    pop = F.when(F.col("c_custkey") % 13 != 0, F.floor("c_acctbal").cast("bigint"))
-    return c.select("c_custkey", pop.alias("pop")).withColumn("size", features.size_band("pop", 2500, 5000))
+    return c.select("c_custkey", roles.population().alias("pop")).withColumn("size", features.size_band("pop", 2500, 5000))
 
 
 @query

@@ -64,7 +64,7 @@ def event_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").filter(F.col("event_type").isin(*CASE_TYPES))
     confirmed = F.col("event_type") == "purchase"
-    died = F.col("event_id") % 10 == 0
+    died = F.col("value") < 10
     return ev.select(
         text("user_id").alias("zone"), F.to_date("ts").alias("date"), confirmed.alias("confirmed"),
         (~confirmed).alias("undetermined"), (confirmed | (F.col("value") > 50)).alias("symptomatic"),
@@ -131,12 +131,12 @@ def grid_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def polygon_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A concave pentagon per supplier, with a hole in every third; its place and size follow key and balance."""
+    """A concave pentagon per supplier, with a hole where the balance is above 6000; its place and size follow key and balance."""
     a = F.col("s_acctbal") / 10000
     s = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("polygon"),
         ((F.col("s_suppkey") * 7) % 10 + 0.5 + a / 3).alias("cx"), (F.col("s_suppkey") * 0.15 + a / 7).alias("cy"),
-        (0.8 + a * 0.9).alias("r"),
+        (0.8 + a * 0.9).alias("r"), (F.col("s_acctbal") > 6000).alias("holed"),
     )
 
     def ring(*corners):
@@ -147,7 +147,7 @@ def polygon_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     hole = ring((-0.17, 0.1), (-0.15, 0.41), (0.19, 0.37), (0.17, 0.12))
     rings = F.array(F.struct(F.lit(0).alias("ring_id"), outer.alias("points")),
                     F.struct(F.lit(1).alias("ring_id"), hole.alias("points")))
-    kept = F.filter(rings, lambda g: (g["ring_id"] == 0) | (F.col("polygon") % 3 == 0))
+    kept = F.filter(rings, lambda g: (g["ring_id"] == 0) | F.col("holed"))
     return s.select("polygon", F.inline(kept))
 
 
@@ -187,8 +187,8 @@ def coded(orders: DataFrame, shipped: Column) -> DataFrame:
     dmy = lambda d: F.date_format(d, "dd/MM/yyyy")
     return orders.select(
         "o_orderkey", text("o_custkey").alias("zone"), F.col("o_totalprice").alias("price"),
-        F.when(k % 97 == 0, "31/02/1999").otherwise(dmy("o_orderdate")).alias("dt_interna"),
-        F.when(k % 4 == 0, None).otherwise(dmy(shipped)).alias("dt_evoluca"),
+        F.when(F.col("o_totalprice") < 5000, "31/02/1999").otherwise(dmy("o_orderdate")).alias("dt_interna"),
+        F.when(urgency != 5, dmy(shipped)).alias("dt_evoluca"),
         dmy(shipped).alias("dt_encerra"),
         when((k % 11 == 0, None), ((k % 11).isin(1, 2, 3), 5), (k % 11 == 4, 4),
              other=F.instr(F.lit("FOP"), F.col("o_orderstatus"))).alias("classi_fin"),
@@ -228,16 +228,20 @@ def order_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
 # customer: census and names ---------------------------------------------------------------------------------
 
 
+def population() -> Column:
+    """The balance stands for the population; below zero it is unknown."""
+    return F.when(F.col("c_acctbal") >= 0, F.floor("c_acctbal").cast("bigint"))
+
+
 def census_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two census years per customer; the population is unknown for some."""
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("state"))
     c = table(spark, sf_dir, "customer").join(nation, "c_nationkey")
-    pop = F.when(F.col("c_custkey") % 13 != 0, F.floor("c_acctbal").cast("bigint"))
     return c.select(
         text("c_custkey").alias("zone"), F.explode(F.array(F.lit("2000"), F.lit("2010"))).alias("year"),
         F.col("c_name").alias("name"), "state", (F.col("c_acctbal") / 10000).alias("idhm"),
         (F.col("c_custkey") % 20 + 60).cast("double").alias("espvida"), F.col("c_acctbal").alias("rdpc"),
-        ((F.col("c_custkey") % 100) / 100).cast("double").alias("gini"), pop.alias("pop"),
+        ((F.col("c_custkey") % 100) / 100).cast("double").alias("gini"), population().alias("pop"),
     )
 
 
@@ -245,10 +249,10 @@ def census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return census_dimension(census_years(spark, sf_dir), "2010", small=2500, medium=5000)
 
 
-def misspelt(name: Column, key: Column) -> Column:
-    """Accented lower-case spelling in every second row, an unknown name in every 29th."""
-    spelt = F.when(key % 2 == 0, F.translate(F.lower(name), "aeou", "áéõü")).otherwise(name)
-    return F.when(key % 29 == 0, F.concat(spelt, F.lit(" ?"))).otherwise(spelt)
+def misspelt(name: Column, accented: Column, unknown: Column) -> Column:
+    """Accented lower-case spelling, and a name no dimension knows."""
+    spelt = F.when(accented, F.translate(F.lower(name), "aeou", "áéõü")).otherwise(name)
+    return F.when(unknown, F.concat(spelt, F.lit(" ?"))).otherwise(spelt)
 
 
 def cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +261,8 @@ def cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("state"))
     o = table(spark, sf_dir, "orders").join(c, "o_custkey").join(n, "c_nationkey")
     seen = parse_mdy(F.date_format("o_orderdate", "M/d/yyyy"))
-    return o.select(misspelt(F.col("c_name"), F.col("o_orderkey")).alias("name"), "state", seen.alias("seen"),
+    name = misspelt(F.col("c_name"), F.col("o_orderpriority") < "3", F.col("o_totalprice") > 480000)
+    return o.select(name.alias("name"), "state", seen.alias("seen"),
                     cents("o_totalprice").alias("area"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from hazeline.sources.tables import write_grid_days
@@ -19,13 +20,13 @@ def add_missing_days(
 ) -> None:
     """Run ``to_days`` over the days of ``grid`` that ``path`` does not hold and add them there.
 
-    The days are few and known from the partition folders, so the list is read without opening a file, and the
-    filter on ``grid`` is a broadcast semi join of a calendar-sized table.
+    Both day lists are as long as the calendar.  The days done come from partition values (no column is read), and the
+    filter on ``grid`` is a semi join, broadcast by Spark at that size.
     """
     try:
         done = spark.read.parquet(path).select("date").distinct().withColumnRenamed("date", day)
-    except Exception as error:  # no output yet
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:  # no output yet
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         done = grid.select(day).limit(0)
     todo = pending(grid, done, [day])

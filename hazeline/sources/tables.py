@@ -48,9 +48,12 @@ def write_table(df: DataFrame, path: str, *, compression: str = "zstd", by: Sequ
 
 
 def write_grid_days(df: DataFrame, path: str) -> None:
-    """One partition per day; days already there and not in ``df`` stay as they are."""
+    """One partition per day; days already there and not in ``df`` stay as they are.
+
+    The rebalance hint lets Spark merge small days into one task and split a large one over several.
+    """
     (
-        df.repartition("date", "cell_x").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        df.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("date").parquet(path)
     )
 
