@@ -11,11 +11,11 @@ from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.operators.stable import checkpointed
+from hazeline.operators.loops import checkpointed, matrix
 
 
 class CountFit(NamedTuple):
@@ -86,16 +86,15 @@ def _sums(rows: DataFrame, par: np.ndarray, shape: _Shape) -> tuple[float, np.nd
     """Summed log-likelihood, score and score products: one job, m + m^2 + 1 numbers back."""
     m = len(par)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros(1 + m + m * m)
         for b in batches:
-            if len(b):
-                x = np.array(b["x"].tolist(), dtype=float)
-                ll, g = row_scores(par, b["y"].to_numpy(float), b["off"].to_numpy(float), x, shape)
+            if b.num_rows:
+                ll, g = row_scores(par, b.column("y").to_numpy(), b.column("off").to_numpy(), matrix(b, "x"), shape)
                 acc += np.concatenate([[ll.sum()], g.sum(0), (g.T @ g).ravel()])
-        yield pd.DataFrame({"slot": np.arange(len(acc)), "v": acc})
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(acc), dtype="int32")), pa.array(acc)], ["slot", "v"])
 
-    parts = rows.mapInPandas(partial, "slot int, v double").groupBy("slot").agg(F.sum("v").alias("v"))
+    parts = rows.mapInArrow(partial, "slot int, v double").groupBy("slot").agg(F.sum("v").alias("v"))
     v = np.zeros(1 + m + m * m)
     for r in parts.collect():
         v[r["slot"]] = r["v"]

@@ -1,9 +1,11 @@
-"""Fixed inputs for loops that read the same rows many times."""
+"""Inputs of fits, which read the same rows many times."""
 
 from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -19,3 +21,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="hazeline-checkpoint-"))
     return df.checkpoint()
+
+
+def matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    """Equal-length number lists of an Arrow batch as rows of a matrix, without touching single rows."""
+    return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazeline.operators.stable import checkpointed
+from hazeline.operators.loops import checkpointed
 
 _PPB = 10**9
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hazeline.functions import dates, effects, nulls
 from hazeline.functions import text as tx
 from hazeline.operators import cluster, countmodel, features, grid_fill, panel, raster, reports, stay, zonal
-from hazeline.operators.stable import checkpointed
+from hazeline.operators.loops import checkpointed
 from hazeline.plans import roles
 from hazeline.plans.roles import cents, table, text
 from hazeline.sources.resume import pending
@@ -478,6 +478,11 @@ def kmeans_profile(spark, d):
     return tidy(out.withColumns({"vulnerable": F.col("cluster") == worst, "cost": F.lit(cost)}))
 
 
+@query
+def vulnerable_zones(spark, d):
+    return cluster.vulnerable_zones(roles.order_profile(spark, d), "zone", list(roles.PROFILE))
+
+
 @query
 def kmeans_elbow(spark, d):
     return cluster.elbow(_scaled(spark, d), "zone", list(roles.PROFILE), max_k=8, restarts=10)

@@ -41,6 +41,18 @@ def test_kmeans_recovers_blobs_and_picks_the_worst(spark, blobs):
     assert centers[worst - 1] == pytest.approx([12, 8, -3], abs=0.4)
 
 
+def test_vulnerable_zones_are_those_of_the_worst_blob(blobs):
+    got = {r["zone"] for r in cluster.vulnerable_zones(blobs, "zone", FEATURES, k=4, restarts=10).collect()}
+    assert got == {f"z{i}" for i in range(180, 240)}
+
+
+def test_rows_with_a_missing_feature_get_no_cluster(blobs):
+    holes = blobs.withColumn("pop", F.when(F.col("zone") != "z0", F.col("pop")))
+    centers, _ = cluster.kmeans(holes, "zone", FEATURES, k=4, restarts=5)
+    out = cluster.assign_clusters(holes, centers, FEATURES)
+    assert [r["zone"] for r in out.filter("cluster is null").collect()] == ["z0"]
+
+
 def test_same_seed_same_fit_on_any_partitioning(blobs):
     a = cluster.kmeans(blobs, "zone", FEATURES, k=3, restarts=3)
     b = cluster.kmeans(blobs.repartition(7), "zone", FEATURES, k=3, restarts=3)

@@ -11,7 +11,7 @@ import __spark_entry__ as driver
 from tests.compare import oracle_rows, same
 
 SF = "/root/testdata/sf0.001"
-NO_TWIN = {"kmeans_profile", "kmeans_elbow", "kmeans_gap", "nb_regression", "nb_zero_inflated", "nb_mixed", "residual_check"}
+NO_TWIN = {"kmeans_profile", "kmeans_elbow", "kmeans_gap", "vulnerable_zones", "nb_regression", "nb_zero_inflated", "nb_mixed", "residual_check"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 

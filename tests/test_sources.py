@@ -33,6 +33,21 @@ def test_report_and_table_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).filter("zone = 'a'").first()["pct"] == 0.25
 
 
+def test_saved_coefficients_and_centres_feed_the_next_stage(spark, tmp_path):
+    from hazeline.functions.effects import coefficient
+    from hazeline.operators import cluster
+
+    fitted = spark.createDataFrame([("admissions", "cond", "days_above", 0.025, 0.01)],
+                                   "model string, component string, term string, estimate double, std_error double")
+    tables.write_table(fitted, str(tmp_path / "effects"))
+    b = coefficient(spark.read.parquet(str(tmp_path / "effects")), "admissions", "days_above")
+    assert spark.range(1).select(b.alias("b")).first()["b"] == 0.025
+    tables.write_table(cluster.centers_table(spark, [[0.0, 1.0], [5.0, 6.0]], ["x", "y"]), str(tmp_path / "centres"))
+    centres = [(r["x"], r["y"]) for r in spark.read.parquet(str(tmp_path / "centres")).orderBy("cluster").collect()]
+    points = spark.createDataFrame([("a", 0.1, 1.0), ("b", 5.0, 5.0)], "zone string, x double, y double")
+    assert [r["cluster"] for r in cluster.assign_clusters(points, centres, ["x", "y"]).orderBy("zone").collect()] == [1, 2]
+
+
 def bands(spark, days):
     return spark.createDataFrame([(d, x) for d in days for x in (0, 1)], "d string, cell_x int").select(
         F.to_timestamp_ntz(F.col("d")).alias("band_ts"), F.to_timestamp_ntz(F.col("d")).alias("run_ts"), "cell_x",
@@ -61,7 +76,7 @@ def test_pending(spark):
 
 
 def test_cluster_without_checkpoint_folder_is_refused(spark):
-    from hazeline.operators.stable import checkpointed
+    from hazeline.operators.loops import checkpointed
 
     class Context:
         master = "yarn"
