@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.operators.loops import checkpointed, matrix
+from hazeline.operators.loops import checkpointed, matrix, spread
 
 
 class CountFit(NamedTuple):
@@ -150,14 +150,13 @@ def fit_counts(
     known = df.dropna(subset=needed)
     if exposure:
         known = known.filter(F.col(exposure) > 0)
-    if level:
-        repeated = known.groupBy(*level).count().filter("count > 1").limit(1).count()
-        if repeated:
-            raise ValueError("a random-effect level has several rows: aggregate to one row per level first")
+    # Checks, moments, levels and every step read these rows: written once, the panel behind them runs once.
+    known = checkpointed(spread(known.select(*dict.fromkeys([*needed, *level])), *level))
+    if level and known.groupBy(*level).count().filter("count > 1").limit(1).count():
+        raise ValueError("a random-effect level has several rows: aggregate to one row per level first")
     off = F.log(F.col(exposure).cast("double")) if exposure else F.lit(0.0)
     terms = _design(known, numeric, factors)
-    rows = checkpointed(known.select(F.col(response).cast("double").alias("y"), off.alias("off"),
-                                     F.array(*[c for _, c, _, _ in terms]).alias("x")))
+    rows = known.select(F.col(response).cast("double").alias("y"), off.alias("off"), F.array(*[c for _, c, _, _ in terms]).alias("x"))
     p = len(terms)
     z, w = np.polynomial.hermite.hermgauss(nodes) if mixed else (np.zeros(1), np.array([np.sqrt(np.pi)]))
     shape = _Shape(p, mixed, inflated, np.sqrt(2.0) * z, w / np.sqrt(np.pi))

@@ -23,6 +23,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows over all cores: fits do much work per row, and small inputs arrive coalesced into few partitions."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *by)
+
+
 def matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
     """Equal-length number lists of an Arrow batch as rows of a matrix, without touching single rows."""
     return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)

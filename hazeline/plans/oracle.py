@@ -195,7 +195,7 @@ profile AS (SELECT c_custkey::VARCHAR AS zone, {', '.join(f'avg({c}) AS {c}' for
 
 GRID = """
 bands AS (SELECT event_id, user_id % 10 AS cell_x, user_id // 10 AS cell_y, ts AS run_ts,
-    date_trunc('hour', ts) - to_hours((hour(ts) % 3)::INT) AS band_ts, value * 1e-9::DOUBLE * 1e9::DOUBLE AS value FROM events)
+    date_trunc('hour', ts) - to_hours((hour(ts) % 3)::INT) AS band_ts, round(value * 100) * 1e-9::DOUBLE * 1e9::DOUBLE AS value FROM events)
 --
 grid AS (SELECT *, band_ts::DATE AS date_utc, (band_ts - INTERVAL 5 HOURS)::DATE AS date_local FROM bands)
 --

@@ -123,7 +123,7 @@ def grid_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(
         "event_id", F.col("ts").alias("run_ts"), band.alias("band_ts"),
         (F.col("user_id") % 10).alias("cell_x"), F.floor(F.col("user_id") / 10).alias("cell_y"),
-        (F.col("value") * F.lit(1e-9)).alias("value"),
+        (cents("value") * F.lit(1e-9)).alias("value"),
     )
 
 
