@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hazeline.functions.dates import parse_dmy
 from hazeline.functions.nulls import exceeds, in_set, replace_zero
+from hazeline.operators.loops import checkpointed
 
 
 def length_of_stay(
@@ -17,11 +18,15 @@ def length_of_stay(
 
     The end is the outcome date, else the closing date; a stay of 0 days counts as 0.01.  ``readings`` is
     unique per (zone, exposed) and ``counter`` per (zone, month): both are left joined, so rows never multiply.
+
+    Both lookups are written down first.  Spark splits a hot zone's partition only where the join reads a plain
+    exchange on both sides, which an aggregate or a window right below the join prevents.
     """
+    readings, counter = checkpointed(readings.select(zone, "exposed", "reading")), checkpointed(counter)
     kept = cases.filter(F.col("died") if died else ~F.col("died"))
     closed = kept.withColumn("ended", F.coalesce(parse_dmy("dt_evoluca"), parse_dmy("dt_encerra")))
     days = F.datediff("ended", "admitted").cast("double")
     stays = closed.withColumns({"month": F.month("exposed"), "stay": replace_zero(days, 0.01)})
     stays = stays.withColumn("in_season", in_set("month", season)).filter(F.col("stay").between(0, longest))
-    exposed = stays.join(readings.select(zone, "exposed", "reading"), [zone, "exposed"], "left")
+    exposed = stays.join(readings, [zone, "exposed"], "left")
     return exposed.withColumn("above", exceeds("reading", threshold)).join(counter, [zone, "month"], "left")

@@ -45,7 +45,8 @@ def coverage(
         *[((F.col(c) - F.lit(o)) / F.lit(s)).alias(c)
           for c, o, s in (("ax", x0, dx), ("ay", y0, dy), ("bx", x0, dx), ("by", y0, dy))],
     )
-    box = g.groupBy(polygon).agg(F.floor(F.min(F.least("ay", "by"))).alias("_low"))
+    # Written down, so that a polygon with very many edges can be split in the join (see length_of_stay).
+    box = checkpointed(g.groupBy(polygon).agg(F.floor(F.min(F.least("ay", "by"))).alias("_low")))
     g = g.filter(F.col("ax") != F.col("bx")).join(box, polygon)
     left, right = F.least("ax", "bx"), F.greatest("ax", "bx")
     g = g.withColumn("cell_x", F.explode(F.sequence(F.floor(left), F.ceil(right) - 1)))

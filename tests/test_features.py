@@ -109,3 +109,32 @@ def test_length_of_stay_edges(spark):
     assert by["same"]["in_season"] and by["same"]["above"] is None and by["same"]["cases_new"] is None
     assert by["closed"]["above"] is True and by["closed"]["cases_new"] == 5
     assert [r["id"] for r in stay.length_of_stay(cases, readings, counter, "zone", died=True).collect()] == ["dead"]
+
+
+def test_a_hot_zone_is_split_in_the_stay_joins(spark):
+    """Half the rows share one zone and month: Spark splits that partition, and every row comes back once."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB",
+    }
+    n = 40_000
+    hot = F.col("id") % 2 == 0
+    cases = spark.range(0, n, 1, 16).select(
+        "id", F.when(hot, "hot").otherwise(F.concat(F.lit("z"), F.col("id") % 500)).alias("zone"), F.lit(False).alias("died"),
+        F.lit(D(2020, 1, 8)).alias("admitted"), F.date_add(F.lit(D(2020, 1, 1)), (F.col("id") % 1).cast("int")).alias("exposed"),
+        F.lit("10/01/2020").alias("dt_evoluca"), F.lit(None).cast("string").alias("dt_encerra"))
+    zones = cases.select("zone").distinct()
+    readings = zones.select("zone", F.lit(D(2020, 1, 1)).alias("exposed"), F.lit(30.0).alias("reading"))
+    counter = zones.select("zone", F.lit(1).alias("month"), F.lit(5).alias("cases_new"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = stay.length_of_stay(cases, readings, counter, "zone", died=False)
+        rows = out.collect()
+        assert len(rows) == n and {r["id"] for r in rows} == set(range(n))
+        assert all(r["above"] and r["cases_new"] == 5 for r in rows)
+        assert out._jdf.queryExecution().executedPlan().toString().count("skew=true") >= 2
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
