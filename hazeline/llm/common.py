@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
 
@@ -133,3 +134,21 @@ def schema_with(df: DataFrame, more: str) -> str:
     added = StructType.fromDDL(more)
     kept = [f for f in df.schema.fields if f.name not in added.names]
     return StructType(kept + added.fields)
+
+
+def thinned(df: DataFrame, hashed: Column, most: int, total: int) -> DataFrame:
+    """Roughly the ``most`` rows with the smallest hashes of ``total``, so that a later exact limit moves few rows."""
+    share = min(1.0, 1.5 * (most + 20) / max(1, total))
+    return df if share == 1.0 else df.filter(F.shiftrightunsigned(hashed, 1) < int(share * (MASK >> 1)))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, label: str, most: int) -> DataFrame:
+    """``docs`` with their ``label``, for at most ``most // 2`` keys of each label by hash order.
+
+    Only keys are sampled; they are so few that they reach the documents by broadcast.
+    """
+    own = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias(label)).dropDuplicates([key])
+    sizes = {r[0]: r[1] for r in own.groupBy(label).count().collect()}
+    order = F.xxhash64(F.lit("sample"), F.col(key))
+    parts = [thinned(own.filter(F.col(label) == y), order, most // 2, sizes.get(y, 0)).orderBy(order, key).limit(most // 2) for y in (0, 1)]
+    return docs.join(F.broadcast(parts[0].unionByName(parts[1])), key)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeline.llm import bpe, neardup, paragraphs, sketch
+from hazeline.llm import bpe, mixing, neardup, neighbours, pages, paragraphs, pii, quality, sketch, toxicity
 from hazeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,127 @@ def op10_bottom_k(spark, d, k=128):
         shown("new").alias("edited_fingerprint"), sketch.resemblance(F.col("own"), F.col("new"), k).alias("near_edited"),
         sketch.resemblance(F.col("own"), F.col("next_own"), k).alias("near_next"), sketch.distinct_count(F.col("own"), k).alias("n_shingles"),
         sketch.containment(F.col("own"), F.col("new"), k).alias("contained"))
+
+
+@query
+def op2_pii_tagger(spark, d):
+    """Personal data in every text: base patterns, and spans of the trained tagger."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs)).drop("text")
+    base = F.filter("spans", lambda s: s["base"])
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op5_toxicity_cnn(spark, d):
+    """Toxicity of every text, learnt from labels outside the held-out fifth."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    scores = toxicity.scored(docs, toxicity.train(docs, table(spark, d, "labels").filter(~out)))
+    return scores.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op3_page_text(spark, d):
+    """Main text of every page."""
+    every = table(spark, d, "pages").select("page_id", "url", "html")
+    out = pages.extracted(every, pages.train(every)).drop("html")
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query
+def op4_quality_cotraining(spark, d):
+    """Quality of every document, learnt from labels outside a held-out fifth."""
+    docs, labels = (table(spark, d, n) for n in ("documents", "labels"))
+    out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = quality.train(docs, labels.filter(~out))
+    scores = quality.scored(docs.select("doc_id", "text", "lang", "source"), model)
+    return scores.select("doc_id", out.alias("held_out"), "score_content", "score_meta", "score", (F.col("score") >= 0.5).alias("kept"))
+
+
+@query
+def op6_block_neighbours(spark, d):
+    """The five nearest vectors of every fiftieth vector."""
+    every = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(every.filter("vec_id % 50 = 0"), every, k=5)
+
+
+TREE = ["domain", "lang", "source"]
+WEIGHTS = [{"web": 3, "print": 1}, {"en": 4, "de": 2, "fr": 2}, {}]
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """Documents with the root level of the mixing tree, told from the source's last digit, and their word counts."""
+    domain = F.when(F.substring("source", -1, 1).isin(*"01234"), "web").otherwise("print")
+    return docs.withColumn("domain", domain).withColumn("tokens", F.regexp_count(F.col("text"), F.lit("[^\\x20\\x09-\\x0D]+")).cast("bigint"))
+
+
+@query
+def op7_source_mixing(spark, d):
+    """Half of all words, divided over domains, languages and sources; up to two epochs of a source."""
+    docs = with_domain(table(spark, d, "documents").select("doc_id", "lang", "source", "text")).drop("text")
+    return mixing.mixed(docs, TREE, WEIGHTS, "tokens", "doc_id", share=0.5, epochs=2)
+
+
+def divided_sql(level: int) -> str:
+    """One level of the tree: the parents' budgets poured over siblings, as window sums."""
+    path = TREE[: level + 1]
+    up, own = ", ".join(["one", *path[:-1]]), ", ".join(["one", *path])
+    cases = " ".join(f"WHEN '{k}' THEN {float(v)}" for k, v in WEIGHTS[level].items())
+    weight = f"CASE {path[-1]} {cases} ELSE 1.0 END" if cases else "1.0"
+    return f"""
+    n{level} AS (SELECT {own}, sum(capacity)::DOUBLE AS cap, ({weight})::DOUBLE AS weight FROM leaves GROUP BY {own}),
+    m{level} AS (SELECT n.*, budget, cap / weight AS fill, (budget - coalesce(sum(cap) OVER (PARTITION BY {', '.join('n.' + c for c in up.split(', '))} ORDER BY cap / weight, {path[-1]}
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (PARTITION BY {', '.join('n.' + c for c in up.split(', '))} ORDER BY cap / weight, {path[-1]}
+        ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM n{level} n JOIN g{level - 1} g USING ({up})),
+    g{level} AS (SELECT {own}, CASE WHEN water IS NULL THEN cap ELSE least(cap, water * weight) END AS budget
+        FROM (SELECT *, max(CASE WHEN fill > level THEN level END) OVER (PARTITION BY {up}) AS water FROM m{level})),"""
+
+
+ORACLE: dict[str, str] = {
+    "op6_block_neighbours": """
+    WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+    u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (q.n * c.n) AS score
+        FROM u q JOIN u c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0 AND q.n > 0 AND c.n > 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op7_source_mixing": f"""
+    WITH d AS (SELECT doc_id, lang, source, CASE WHEN right(source, 1) IN ('0', '1', '2', '3', '4') THEN 'web' ELSE 'print' END AS domain,
+        len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS tokens FROM documents),
+    leaves AS (SELECT 1 AS one, domain, lang, source, sum(tokens) AS total, 2 * sum(tokens) AS capacity FROM d GROUP BY domain, lang, source),
+    "g-1" AS (SELECT 1 AS one, least(floor(sum(total) * 0.5), sum(capacity))::DOUBLE AS budget FROM leaves),
+    {(divided_sql(0) + divided_sql(1) + divided_sql(2)).replace("g-1", '"g-1"')}
+    aims AS (SELECT l.*, floor(budget)::BIGINT AS quota, floor(floor(budget) / total)::BIGINT AS whole FROM leaves l JOIN g2 USING (one, domain, lang, source)),
+    runs AS (SELECT d.*, whole, quota - whole * total AS rest, sum(tokens) OVER (PARTITION BY domain, lang, source
+        ORDER BY md5('17:' || whole || ':' || doc_id), doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+        FROM d JOIN aims USING (domain, lang, source))
+    SELECT doc_id, lang, source, domain, tokens, CAST(e.epoch AS INTEGER) AS epoch FROM runs, (SELECT unnest([0, 1]) AS epoch) e
+    WHERE e.epoch < whole OR e.epoch = whole AND run <= rest""",
+    "op8_hyperminhash": """
+    WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS words FROM documents),
+    sets AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN words
+        ELSE [words[i] || ' ' || words[i + 1] for i in range(1, len(words))] END) AS s FROM w),
+    classes AS (SELECT min(doc_id) AS rep, len(s) AS n, s FROM (SELECT doc_id, list_sort(s) AS s FROM sets WHERE len(s) > 0) GROUP BY s),
+    items AS (SELECT rep, n, unnest(s) AS item FROM classes),
+    common AS (SELECT item, count(*) AS f FROM items GROUP BY item),
+    ranked AS (SELECT rep, n, item, row_number() OVER (PARTITION BY rep ORDER BY f, item) AS place FROM items JOIN common USING (item)),
+    heads AS (SELECT rep, n, item FROM ranked WHERE place <= n - ceil(n * 0.8) + 1),
+    pairs AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM heads a JOIN heads b ON a.item = b.item AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+    both_ AS (SELECT a, b, x.n AS na, y.n AS nb, len(list_intersect(x.s, y.s)) AS i FROM pairs JOIN classes x ON x.rep = a JOIN classes y ON y.rep = b),
+    links AS (SELECT a, b FROM both_ WHERE 100 * i >= 80 * (na + nb - i)),
+    reach AS (SELECT rep AS id, rep AS seen FROM classes UNION
+        SELECT id, CASE WHEN a = seen THEN b ELSE a END FROM reach JOIN links ON a = seen OR b = seen),
+    roots AS (SELECT id AS rep, min(seen) AS root FROM reach GROUP BY id),
+    of_doc AS (SELECT doc_id, root FROM (SELECT doc_id, list_sort(s) AS s FROM sets WHERE len(s) > 0) JOIN classes USING (s) JOIN roots USING (rep))
+    SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept
+    FROM sets LEFT JOIN of_doc USING (doc_id)""",
+}
