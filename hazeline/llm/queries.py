@@ -155,7 +155,7 @@ def divided_sql(level: int) -> str:
 ORACLE: dict[str, str] = {
     "op6_block_neighbours": """
     WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
-    u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE len([x for x in e if x IS NULL OR NOT isfinite(x)]) = 0),
     s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (q.n * c.n) AS score
         FROM u q JOIN u c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0 AND q.n > 0 AND c.n > 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
@@ -173,8 +173,9 @@ ORACLE: dict[str, str] = {
     SELECT doc_id, lang, source, domain, tokens, CAST(e.epoch AS INTEGER) AS epoch FROM runs, (SELECT unnest([0, 1]) AS epoch) e
     WHERE e.epoch < whole OR e.epoch = whole AND run <= rest""",
     "op8_hyperminhash": """
-    WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-        '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS words FROM documents),
+    WITH RECURSIVE p AS (SELECT doc_id, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+') AS parts FROM documents),
+    w AS (SELECT doc_id, [x for x in parts if x <> ''] AS words FROM p),
     sets AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN words
         ELSE [words[i] || ' ' || words[i + 1] for i in range(1, len(words))] END) AS s FROM w),
     classes AS (SELECT min(doc_id) AS rep, len(s) AS n, s FROM (SELECT doc_id, list_sort(s) AS s FROM sets WHERE len(s) > 0) GROUP BY s),
