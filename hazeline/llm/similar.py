@@ -2,7 +2,8 @@
 
 Within a band no all-pairs list is made.  Every band's most connected item is its leader; all others are verified
 against the leader.  Components of these links settle nearly all bands.  Only where a band still holds items of
-different components are the pairs across components verified too, so that no link between components is lost.
+different components are the pairs across components verified too, so that no link between components is lost: as
+pairs in bands of a few items, in blocks of items in larger ones.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from hazeline.llm.common import stored
 from hazeline.llm.components import components
 
+SMALL, MINORS, MEMBERS, COLUMNS = 16, 256, 512, 4096
+
 Sets = Callable[[list[str]], list[np.ndarray]]
 
 
@@ -78,7 +81,53 @@ def links(items: DataFrame, contents: DataFrame, sets: Callable[[], Sets], least
     placed = shared.join(at, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     open_ = stored(placed.join(mixed.select("key"), "key", "left_semi").select("key", "id", "n", "component"))
-    other = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "component")])
-    across = open_.join(other, "key").filter("component < component_b").filter(close(F.col("n"), F.col("n_b")))
-    across = across.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"))
-    return first.unionByName(stored(checked(across)))
+    few = open_.groupBy("key").agg(F.count("*").alias("members"))
+    small = open_.join(few.filter(F.col("members") <= SMALL).select("key"), "key", "left_semi")
+    other = small.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "component")])
+    across = small.join(other, "key").filter("component < component_b").filter(close(F.col("n"), F.col("n_b")))
+    across = checked(across.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")))
+    large = open_.join(few.filter(F.col("members") > SMALL), "key")
+    return first.unionByName(stored(across)).unionByName(stored(tiled(large, near, sets, least)))
+
+
+def tiled(rows: DataFrame, contents: DataFrame, sets: Callable[[], Sets], least: int) -> DataFrame:
+    """Links between components within large bands ``(key, id, component, members)``.
+
+    The items outside a band's largest component meet all its items, in tiles of bounded blocks that hold contents.  A
+    tile counts all intersections by one product of incidence matrices and emits links only.
+    """
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("own"))
+    top = sizes.groupBy("key").agg(F.max(F.struct("own", "component")).alias("top"), F.sum("own").alias("all"))
+    top = top.select("key", F.col("top.component").alias("main"), (F.col("all") - F.col("top.own")).alias("minors"))
+    placed = stored(rows.join(top, "key").withColumn("across", F.ceil(F.col("minors") / MINORS).cast("int")).withColumn(
+        "down", F.ceil(F.col("members") / MEMBERS).cast("int")))
+    spot = F.xxhash64("id")
+    minors = placed.filter("component <> main").select(
+        "key", F.pmod(spot, "across").cast("int").alias("i"), F.explode(F.expr("sequence(0, down - 1)")).alias("j"), F.lit(True).alias("minor"), "id", "component")
+    members = placed.select(
+        "key", F.explode(F.expr("sequence(0, across - 1)")).alias("i"), F.pmod(spot, "down").cast("int").alias("j"), F.lit(False).alias("minor"), "id", "component")
+    full = minors.unionByName(members).join(contents, "id")
+
+    def tile(table: pa.Table) -> pa.Table:
+        build, sides = sets(), []
+        for flag in (True, False):
+            side = table.filter(pa.compute.equal(table.column("minor"), flag))
+            own = build([t or "" for t in side.column("content").to_pylist()])
+            sides.append((side.column("id").to_numpy(), side.column("component").to_numpy(), own))
+        (xi, xc, x), (yi, yc, y) = sides
+        if not len(xi) or not len(yi):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        shared = np.intersect1d(np.concatenate(x), np.concatenate(y))
+        both = np.zeros((len(x), len(y)), np.float64)
+        places = [[(k, np.searchsorted(shared, s[np.isin(s, shared)])) for k, s in enumerate(side)] for side in (x, y)]
+        for low in range(0, len(shared), COLUMNS):
+            marks = [np.zeros((len(side), COLUMNS), np.float32) for side in (x, y)]
+            for m, own in zip(marks, places):
+                for k, at in own:
+                    m[k, at[np.searchsorted(at, low) : np.searchsorted(at, low + COLUMNS)] - low] = 1
+            both += marks[0] @ marks[1].T
+        nx, ny = (np.array([len(s) for s in side]) for side in (x, y))
+        r, c = np.nonzero((100 * both >= least * (nx[:, None] + ny - both)) & (xc[:, None] != yc) & (both > 0))
+        return pa.table({"a": pa.array(np.minimum(xi[r], yi[c])), "b": pa.array(np.maximum(xi[r], yi[c]))})
+
+    return full.groupBy("key", "i", "j").applyInArrow(tile, "a bigint, b bigint").distinct()
