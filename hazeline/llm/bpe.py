@@ -12,6 +12,7 @@ import heapq
 import sys
 import types
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from hazeline.llm.common import lists, mix, schema_with, sent, slices, texts, with_columns
 
-SLICE_CHARS = 2_000_000
-CACHED_PIECES = 600_000
+SLICE_CHARS, SLICE_IDS = 1_000_000, 250_000
+CACHED_PIECES = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -167,7 +168,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.flat, self.sizes = {}, [], []
+        self.known, self.flat, self.sizes = {}, array("i"), array("i")
         self.ids, self.count, self.start = (np.zeros(0, np.int64),) * 3
 
     def learn(self, pieces: list[str]) -> None:
@@ -176,7 +177,7 @@ class Encoder:
             own = [i] if i >= 0 else self.vocabulary.merged(b)
             self.known[p] = len(self.sizes)
             self.sizes.append(len(own))
-            self.flat += own
+            self.flat.extend(own)
         self.ids, self.count = np.array(self.flat, np.int64), np.array(self.sizes, np.int64)
         self.start = np.cumsum(self.count) - self.count
 
@@ -234,10 +235,13 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "
     def work(batches):
         known = of_worker(key, held)
         for batch in batches:
-            column = batch.column(ids)
+            column, raw = batch.column(ids), []
             sizes = np.array([0 if n is None else n for n in pa.compute.list_value_length(column).to_pylist()], np.int64)
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            raw = known.decode(flat, sizes)
+            flat, at = column.flatten().to_numpy(zero_copy_only=False), 0
+            for a, b in slices(sizes.tolist(), SLICE_IDS):
+                n = int(sizes[a:b].sum())
+                raw += known.decode(flat[at : at + n].astype(np.int64), sizes[a:b])
+                at += n
             yield with_columns(batch, {out: pa.array(raw, pa.binary())})
 
     return df.mapInArrow(work, schema_with(df, f"`{out}` binary"))

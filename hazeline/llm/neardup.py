@@ -43,13 +43,15 @@ def sketcher(buckets: int = BUCKETS, mantissa: int = MANTISSA) -> Callable[[np.n
 
 def chance(n: np.ndarray, m: np.ndarray, mantissa: int = MANTISSA) -> np.ndarray:
     """Probability that a register of two unrelated sets of sizes n and m is equal by chance."""
-    top = 2.0 ** -np.arange(33)[None, :]
+    fine = min(3, mantissa)
+    parts = 1 - np.arange(2**fine + 1) / 2 ** (fine + 1)
+    edges = 2.0 ** -np.arange(32)[:, None] * parts[None, :]  # cells of each octave, from large hashes to small
 
-    def octave(k):
-        k = np.asarray(k, float)[:, None]
-        return (1 - top[:, 1:]) ** k - (1 - top[:, :-1]) ** k
+    def cells(k):
+        below = (1 - edges[None]) ** np.asarray(k, float)[:, None, None]
+        return below[:, :, 1:] - below[:, :, :-1]
 
-    return (octave(n) * octave(m)).sum(1) / 2**mantissa
+    return (cells(n) * cells(m)).sum((1, 2)) / 2 ** (mantissa - fine)
 
 
 def set_builder(width: int) -> Callable[[list[str]], list[np.ndarray]]:

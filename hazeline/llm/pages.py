@@ -60,7 +60,7 @@ def kind_of(tag: str, attributes: str, inside_article: bool) -> str:
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """``(what, value, context)``: tags with their name, and text with what it lies in.
 
-    The context is side inside a menu, footer, form and so on, main inside an article element, link inside an anchor,
+    The context is side inside a menu, footer, form and so on (inner if that lies in an article), main inside an article element, link inside an anchor,
     or the name of the nearest block.  Elements left open end with the element around them.
     """
     stack: list[tuple[str, str]] = []
@@ -68,7 +68,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     def context() -> str:
         kinds = [k for _, k in stack]
         if "side" in kinds:
-            return "side"
+            return "inner" if "main" in kinds[: kinds.index("side")] else "side"
         if any(t == "a" for t, _ in stack) and "main" not in kinds:
             return "link"
         return "main" if "main" in kinds else next((t for t, _ in reversed(stack) if t not in INLINE), "none")
@@ -126,6 +126,8 @@ def region(weights: Weights, page: str) -> list[tuple[str, str, str]]:
     best = total = 0.0
     start = first = last = 0
     for i, (what, value, where) in enumerate(seq):
+        if where == "inner":
+            continue  # left out anyway, so it neither adds nor ends a region
         if what == "text":
             total += len(value.split()) * weights.word.get(where, weights.other)
         else:
@@ -142,7 +144,7 @@ def main_text(weights: Weights, page: str) -> str:
     blocks, own = [], []
     for what, value, where in [*region(weights, page), ("open", "p", "none")]:
         if what == "text":
-            if where not in ("side",):
+            if where not in ("side", "inner"):
                 own.append(value)
         elif value == "br":
             own.append(" ")
