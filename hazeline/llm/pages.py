@@ -109,12 +109,10 @@ class Weights:
             good, bad = counts[name, True] + base[0], counts[name, False] + base[1]
             return float(np.log(good / (sum(v for (_, y), v in counts.items() if y) + 1)) - np.log(bad / (sum(v for (_, y), v in counts.items() if not y) + 1)))
 
-        names = {n for n, _ in words} | {"side", "main", "link", "none", "p", "div"}
-        fixed = {"side": (0.01, 5), "link": (0.1, 2), "main": (5, 0.01), "p": (2, 0.5)}
-        self.word = {n: float(np.clip(odds(words, n, fixed.get(n, (1, 1))), -3, 3)) for n in names}
-        self.word["side"], self.word["main"] = min(self.word["side"], -1.0), max(self.word["main"], 1.0)
-        self.word["p"] = max(self.word["p"], 0.5)
-        self.word["link"] = min(self.word["link"], -0.2)
+        self.word = {n: float(np.clip(odds(words, n, (1, 1)), -3, 3)) for n in {n for n, _ in words}}
+        # surroundings that labelled pages leave open or hold by definition
+        for name, low, high in (("side", -3.0, -1.0), ("main", 1.0, 3.0), ("p", 0.5, 3.0), ("link", -3.0, -0.2), ("none", 0.2, 3.0)):
+            self.word[name] = float(np.clip(self.word.get(name, 0.0), low, high))
         self.other = 0.2
         self.tag = {n: float(np.clip(odds(tags, n, (1, 1)), -3, -0.1)) for n in {n for n, _ in tags}}
         self.rare = -1.0
