@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from hazeline.llm.common import lists, mix, schema_with, sent, slices, texts, with_columns
 
 SLICE_CHARS, SLICE_IDS = 1_000_000, 250_000
-CACHED_PIECES = 500_000
+CACHED_PIECES = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -201,12 +201,14 @@ class Encoder:
         return self.ids[place], np.diff(total)
 
 
-def of_worker(name: str, make):
-    """State kept for the life of a Python worker; functions sent by value start with fresh globals in every task."""
-    home = sys.modules.setdefault("_hazeline_worker_state", types.ModuleType("_hazeline_worker_state"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
+def of_worker(kind: str, key: str, make):
+    """State kept between a Python worker's tasks of one query; functions sent by value start with fresh globals in
+    every task.  One state of each kind is held: that of the query that ran last."""
+    home = sys.modules.setdefault("_hazeline_worker_state", types.ModuleType("_hazeline_worker_state")).__dict__
+    if home.get(kind, ("", None))[0] != key:
+        home.pop(kind, None)
+        home[kind] = (key, make())
+    return home[kind][1]
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -216,7 +218,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
     key = f"bpe_{uuid.uuid4().hex}"
 
     def work(batches):
-        encoder = of_worker(key, lambda: Encoder(held()))
+        encoder = of_worker("encoder", key, lambda: Encoder(held()))
         for batch in batches:
             rows = texts(batch.column(text))
             for a, b in slices([len(t) for t in rows], SLICE_CHARS):
@@ -233,7 +235,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "
     key = f"bpe_{uuid.uuid4().hex}"
 
     def work(batches):
-        known = of_worker(key, held)
+        known = of_worker("vocabulary", key, held)
         for batch in batches:
             column, raw = batch.column(ids), []
             sizes = np.array([0 if n is None else n for n in pa.compute.list_value_length(column).to_pylist()], np.int64)

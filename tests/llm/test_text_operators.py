@@ -140,7 +140,7 @@ more words than that.</p><div class="comment-list"><p>I say this is bad</p></div
 
 
 def test_page_text(spark):
-    rows = [PAGE.format(open="<article>", close="</article>"), None, "", "plain words without any tags", "<p>" + "word " * 50 + "</p><", "<div class='a' <p>x"]
+    rows = [PAGE.format(open="<article>", close="</article>"), None, "", "plain words without any tags", "<p>" + "word " * 50 + "</p>", "<div class='a' <p>x"]
     df = spark.createDataFrame([(i, "u", h, "t") for i, h in enumerate(rows)], "page_id long, url string, html string, text string")
     got = [r.text for r in pages.extracted(df, pages.train(df)).orderBy("page_id").collect()]
     assert got[0] == "Head & line\n\nFirst words of it\n\nSecond part with more words than that.\n\nThird part."
