@@ -7,6 +7,7 @@ Spark adds the tasks up, and the driver solves a system the size of the coeffici
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -28,6 +29,8 @@ class CountFit(NamedTuple):
     inflation: float
     log_lik: float
     offset: str | None
+    steps: int = 0
+    converged: bool = True
 
 
 class _Shape(NamedTuple):
@@ -38,37 +41,72 @@ class _Shape(NamedTuple):
     weights: np.ndarray
 
 
+def log_gamma(x):
+    """Log of the gamma function for x > 0: Stirling's series above 8, recurrence below."""
+    x = np.asarray(x, float)
+    low = np.where(x < 8, x, 8.0)
+    product = np.where(x < 8, low * (low + 1) * (low + 2) * (low + 3) * (low + 4) * (low + 5) * (low + 6) * (low + 7), 1.0)
+    z = np.where(x < 8, x + 8, x)
+    series = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + series - np.log(product)
+
+
+def digamma(x):
+    """Derivative of ``log_gamma``."""
+    x = np.asarray(x, float)
+    low = np.where(x < 8, x, 8.0)
+    shift = np.where(x < 8, sum(1 / (low + i) for i in range(8)), 0.0)
+    z = np.where(x < 8, x + 8, x)
+    return np.log(z) - 1 / (2 * z) - 1 / (12 * z**2) + 1 / (120 * z**4) - 1 / (252 * z**6) + 1 / (240 * z**8) - shift
+
+
+def _modes(y: np.ndarray, fixed: np.ndarray, theta: float, sigma: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mode of every row's random intercept (in standard deviations) and the width of its likelihood there."""
+    u = np.zeros(len(y))
+    for _ in range(30):
+        tail = np.logaddexp(np.log(theta), fixed + sigma * u)
+        share, inverse = np.exp(fixed + sigma * u - tail), np.exp(-tail)
+        slope = sigma * theta * (y * inverse - share) - u
+        curve = 1 + sigma**2 * theta * share * (y + theta) * inverse
+        step = np.clip(slope / curve, -2, 2)
+        u = u + step
+        if np.abs(step).max(initial=0.0) < 1e-10:
+            break
+    return u, 1 / np.sqrt(curve) if len(y) else u
+
+
 def row_scores(par: np.ndarray, y: np.ndarray, off: np.ndarray, x: np.ndarray, shape: _Shape) -> tuple[np.ndarray, np.ndarray]:
     """Log-likelihood and score of every row.
 
-    ``par`` = (beta, log theta[, log sigma][, logit inflation]).  Gamma-function differences at whole-number
-    steps are cumulative sums.
+    ``par`` = (beta, log theta[, log sigma][, logit inflation]).  The quadrature nodes of a random intercept are centred
+    and scaled at each row's own mode, so large counts, whose likelihood is narrow, are integrated as well.
     """
     p = shape.p
     beta, theta = par[:p], np.exp(par[p])
     sigma = np.exp(par[p + 1]) if shape.mixed else 0.0
-    steps = np.arange(int(y.max()) + 1 if len(y) else 1)
-    yi = y.astype(int)
-    log_rising = np.concatenate([[0.0], np.cumsum(np.log(theta + steps))])[yi]
-    rising = np.concatenate([[0.0], np.cumsum(1.0 / (theta + steps))])[yi]
-    log_fact = np.concatenate([[0.0], np.cumsum(np.log(steps + 1.0))])[yi]
-
-    eta = np.clip((off + x @ beta)[:, None] + sigma * shape.nodes[None, :], -30, 30)
-    mu = np.exp(eta)
-    tail = np.log(theta + mu)
+    log_rising = log_gamma(theta + y) - log_gamma(theta)
+    rising = digamma(theta + y) - digamma(theta)
+    log_fact = log_gamma(y + 1.0)
+
+    fixed = off + x @ beta
+    centre, spread_ = _modes(y, fixed, theta, sigma) if shape.mixed else (np.zeros(len(y)), np.ones(len(y)))
+    level = centre[:, None] + spread_[:, None] * shape.nodes[None, :]
+    eta = fixed[:, None] + sigma * level
+    tail = np.logaddexp(np.log(theta), eta)
+    inverse, odds = np.exp(-tail), np.exp(eta - tail)  # 1 / (theta + mu) and mu / (theta + mu)
     k = (log_rising - log_fact + theta * np.log(theta))[:, None] + y[:, None] * eta - (y[:, None] + theta) * tail
-    k = k + np.log(shape.weights)[None, :]
+    k = k + np.log(shape.weights)[None, :] + np.log(spread_)[:, None] + (shape.nodes[None, :] ** 2 - level**2) / 2
     peak = k.max(1, keepdims=True)
     e = np.exp(k - peak)
     total = e.sum(1)
     log_l = peak[:, 0] + np.log(total)
     post = e / total[:, None]
 
-    s = (y[:, None] - mu) * theta / (theta + mu)
-    d_theta = theta * (rising + np.log(theta) + 1.0 - (post * (tail + (y[:, None] + theta) / (theta + mu))).sum(1))
+    s = theta * (y[:, None] * inverse - odds)
+    d_theta = theta * (rising + np.log(theta) + 1.0 - (post * (tail + (y[:, None] + theta) * inverse)).sum(1))
     cols = [x * (post * s).sum(1)[:, None], d_theta[:, None]]
     if shape.mixed:
-        cols.append((post * s * sigma * shape.nodes[None, :]).sum(1)[:, None])
+        cols.append((post * s * sigma * level).sum(1)[:, None])
     score = np.hstack(cols)
     if not shape.inflated:
         return log_l, score
@@ -101,11 +139,17 @@ def _sums(rows: DataFrame, par: np.ndarray, shape: _Shape) -> tuple[float, np.nd
     return float(v[0]), v[1:1 + m], v[1 + m:].reshape(m, m)
 
 
-def _climb(rows: DataFrame, par: np.ndarray, shape: _Shape, max_steps: int, tol: float):
-    """Damped Newton on the score products: damping falls after a gain, rises after a loss."""
+def _climb(rows: DataFrame, par: np.ndarray, shape: _Shape, max_steps: int | None, tol: float):
+    """Damped Newton on the score products: damping falls after a gain, rises after a loss.
+
+    Ends where a step promises less than ``tol``; converged if that step was not shortened by damping.  A caller's
+    own limit raises if it is met before.
+    """
     ll, g, h = _sums(rows, par, shape)
     damp = 1e-3
-    for _ in range(max_steps):
+    for steps in itertools.count(1):
+        if max_steps is not None and steps > max_steps:
+            raise RuntimeError(f"the fit still climbs after {max_steps} steps")
         step = np.linalg.solve(h + damp * np.diag(np.diag(h) + 1e-9), g)
         step *= min(1.0, 3.0 / max(np.abs(step).max(), 1e-12))
         if float(g @ step) < tol:
@@ -117,7 +161,7 @@ def _climb(rows: DataFrame, par: np.ndarray, shape: _Shape, max_steps: int, tol:
             damp *= 10
             if damp > 1e8:
                 break
-    return par, ll, h
+    return par, ll, h, steps, damp <= 1
 
 
 def _design(df: DataFrame, numeric: Sequence[str], factors: Sequence[str]):
@@ -139,7 +183,7 @@ def _design(df: DataFrame, numeric: Sequence[str], factors: Sequence[str]):
 def fit_counts(
     df: DataFrame, response: str, *, numeric: Sequence[str] = (), factors: Sequence[str] = (), exposure: str | None = None,
     mixed: bool = False, inflated: bool = False, level: Sequence[str] = (), model: str | None = None,
-    nodes: int = 21, max_steps: int = 60, tol: float = 1e-5,
+    nodes: int = 21, max_steps: int | None = None, tol: float = 1e-5,
 ) -> CountFit:
     """Fit ``response ~ offset(log(exposure)) + terms [+ (1 | level)]``, optionally with constant zero inflation.
 
@@ -167,7 +211,7 @@ def fit_counts(
         start[p + 1] = np.log(0.5)
     if inflated:
         start[-1] = -2.0
-    par, ll, h = _climb(rows, start, shape, max_steps, tol)
+    par, ll, h, steps, converged = _climb(rows, start, shape, max_steps, tol)
     cov = np.linalg.pinv(h)
     # Back from standardised terms: beta_j / s_j, and the centres move into the intercept.
     back = np.eye(len(par))
@@ -186,7 +230,7 @@ def fit_counts(
     return CountFit(
         table, {t[0]: float(b) for t, b in zip(terms, est)}, float(np.exp(par[p])),
         float(np.exp(par[p + 1])) if mixed else 0.0,
-        float(1 / (1 + np.exp(-par[-1]))) if inflated else 0.0, ll, exposure,
+        float(1 / (1 + np.exp(-par[-1]))) if inflated else 0.0, ll, exposure, steps, converged,
     )
 
 

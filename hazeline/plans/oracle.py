@@ -155,7 +155,7 @@ cases AS (SELECT *, (confirmed OR (undetermined AND fever AND n_symptoms > 0)) A
 
 OUTCOME = _line_list("shipped") + """
 --
-out_axis AS (SELECT unnest(generate_series(TIMESTAMP '1998-01-01', TIMESTAMP '1998-03-31', INTERVAL 1 DAY))::DATE AS date)
+out_axis AS (SELECT unnest(generate_series(TIMESTAMP '1998-01-01', TIMESTAMP '1998-12-31', INTERVAL 1 DAY))::DATE AS date)
 --
 out_count AS (SELECT zone, outcome AS date, %s FROM cases GROUP BY zone, outcome)
 --
@@ -360,9 +360,9 @@ ORACLE: dict[str, str] = {
       FROM (SELECT 'admissions' AS model, regr_slope(ln(1 + admissions), days_above) AS d, regr_slope(ln(1 + admissions), reading) AS r FROM ev_week
         UNION ALL SELECT 'confirmed', regr_slope(ln(1 + confirmed), days_above), regr_slope(ln(1 + confirmed), reading) FROM ev_week)"""),
     "report_overall": _with(BASE, select=f"""SELECT mean_days, {_pct('mean_days')}
-      FROM (SELECT {_half_up('days_above')} AS mean_days FROM season WHERE days_above IS NOT NULL AND {_STATES})"""),
+      FROM (SELECT {_half_up('days_above')} AS mean_days FROM season WHERE {_STATES})"""),
     "report_states": _with(BASE, select=f"""SELECT state, mean_days, {_pct('mean_days')}
-      FROM (SELECT state, {_half_up('days_above')} AS mean_days FROM season WHERE days_above IS NOT NULL GROUP BY state)"""),
+      FROM (SELECT state, {_half_up('days_above')} AS mean_days FROM season GROUP BY state)"""),
     "report_vulnerable": _with(BASE, select=f"""SELECT zone, days_above, name, state, {_pct('days_above')}
       FROM (SELECT zone, {_half_up('days_above')} AS days_above FROM season WHERE zone IN (FROM flagged) GROUP BY zone) JOIN (SELECT zone, name, state FROM census) USING (zone)"""),
     "report_zones": _with(BASE, select=f"""SELECT zone, days_above, name, state, {_pct('days_above', False)}

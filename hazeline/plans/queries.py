@@ -154,7 +154,7 @@ def daily_counts(spark, d):
 
 @query
 def daily_counts_by_outcome(spark, d):
-    axis = dates.day_axis("1998-01-01", "1998-03-31")
+    axis = dates.day_axis("1998-01-01", "1998-12-31")
     return panel.daily_counts(roles.classified(spark, d), "zone", "outcome_date", axis)
 
 
@@ -194,7 +194,7 @@ def monthly_panel(spark, d):
 def outcome_monthly_panel(spark, d):
     cases = roles.classified(spark, d).withColumn("date", F.col("outcome_date"))
     readings = roles.order_readings(spark, d).withColumnRenamed("exposed", "date")
-    axis = dates.day_axis("1998-01-01", "1998-03-31")
+    axis = dates.day_axis("1998-01-01", "1998-12-31")
     daily = panel.daily_panel(cases, readings, "zone", "date", axis, threshold=25000000.0)
     return tidy(panel.monthly_panel(daily, "zone", "date", pool_years=True, skip_missing=True))
 
@@ -385,13 +385,13 @@ def effect_lookup(spark, d):
 
 @query
 def report_overall(spark, d):
-    return tidy(reports.report_overall(roles.event_base_panel(spark, d, ()).filter(F.col("days_above").isNotNull()), roles.effects(),
+    return tidy(reports.report_overall(roles.event_base_panel(spark, d, ()), roles.effects(),
                                        period="week", periods=roles.SEASON, states=roles.STATES))
 
 
 @query
 def report_states(spark, d):
-    base = roles.event_base_panel(spark, d, ()).filter(F.col("days_above").isNotNull())
+    base = roles.event_base_panel(spark, d, ())
     return tidy(reports.report_states(base, roles.effects(), period="week", periods=roles.SEASON))
 
 
@@ -485,7 +485,7 @@ def vulnerable_zones(spark, d):
 
 @query
 def kmeans_elbow(spark, d):
-    return cluster.elbow(_scaled(spark, d), "zone", list(roles.PROFILE), max_k=8, restarts=10)
+    return cluster.elbow(_scaled(spark, d), "zone", list(roles.PROFILE))
 
 
 @query

@@ -18,18 +18,25 @@ def read_delimited(
 ) -> DataFrame:
     """Delimited text with a header, clean names and without the ``drop`` columns.
 
-    The schema is given, never inferred, so the file is read once.  Malformed lines are kept in
-    ``corrupt_record``.  Gzip files cannot be split: ``partitions`` spreads their rows after the scan.
+    The schema is given, never inferred, so only the header line is read twice.  Columns are found by their header
+    name, whatever their order; columns of the file that the schema does not list are left out, a listed one that the
+    file lacks raises.  Malformed lines are kept in ``corrupt_record``.  Gzip files cannot be split: ``partitions`` spreads their rows after the scan.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    header = spark.read.option("header", True).option("sep", sep).csv(path).columns
+    wanted = {f.name: f for f in schema.fields}
+    if absent := sorted(wanted.keys() - set(header)):
+        raise ValueError(f"{path} has no columns {absent}")
+    listed = [wanted.get(c, T.StructField(c, T.StringType())) for c in header]
+    schema = T.StructType([*listed, T.StructField(CORRUPT, T.StringType())])
     df = (
         spark.read.schema(schema).option("header", True).option("sep", sep)
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
     )
     if partitions:
         df = df.repartition(partitions)
+    df = df.select(*[f"`{c}`" for c in (*wanted, CORRUPT)])
     return clean_names(df).drop(*drop)
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import numpy as np
 import pytest
 from pyspark.ml.clustering import KMeans
@@ -150,3 +151,25 @@ def test_residuals_of_the_true_model_are_calm(spark):
     for r in countmodel.residual_check(df, fit, "y", ["uf"], numeric=["x"], factors=["uf"]).collect():
         assert abs(r["mean_residual"]) < 0.1 and 0.8 < r["dispersion"] < 1.25
         assert r["zeros_observed"] == pytest.approx(r["zeros_expected"], abs=5 * np.sqrt(r["zeros_expected"] + 1))
+
+
+@pytest.mark.parametrize("y, theta, sigma", [(200, 50.0, 0.6), (500, 100.0, 1.0), (2000, 200.0, 1.0), (0, 1.0, 0.5)])
+def test_random_intercept_equals_a_dense_integral(y, theta, sigma):
+    z, w = np.polynomial.hermite.hermgauss(21)
+    shape = countmodel._Shape(1, True, False, np.sqrt(2) * z, w / np.sqrt(np.pi))
+    par, u = np.array([np.log(150.0), np.log(theta), np.log(sigma)]), np.linspace(-12, 12, 20001)
+    ll, _ = countmodel.row_scores(par, np.array([float(y)]), np.zeros(1), np.ones((1, 1)), shape)
+    mu = 150 * np.exp(sigma * u)
+    dense = math.lgamma(y + theta) - math.lgamma(theta) - math.lgamma(y + 1) + theta * np.log(theta / (theta + mu)) + y * np.log(mu / (theta + mu))
+    total = np.log((np.exp(dense - dense.max() - u**2 / 2) / np.sqrt(2 * np.pi)).sum() * (u[1] - u[0])) + dense.max()
+    assert abs(ll[0] - total) < 1e-6
+
+
+def test_huge_counts_and_gamma_functions():
+    z, w = np.polynomial.hermite.hermgauss(21)
+    shape = countmodel._Shape(1, True, False, np.sqrt(2) * z, w / np.sqrt(np.pi))
+    ll, g = countmodel.row_scores(np.array([20.0, 1.0, 0.0]), np.array([1e9, 3.0]), np.zeros(2), np.ones((2, 1)), shape)
+    assert np.isfinite(ll).all() and np.isfinite(g).all()
+    for x in (0.1, 1.0, 7.9, 8.0, 123.4, 1e6):
+        assert countmodel.log_gamma(x) == pytest.approx(math.lgamma(x), rel=1e-11, abs=1e-11)
+        assert countmodel.digamma(x) == pytest.approx((math.lgamma(x * (1 + 1e-5)) - math.lgamma(x * (1 - 1e-5))) / (2e-5 * x), rel=1e-4, abs=1e-4)

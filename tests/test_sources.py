@@ -17,6 +17,14 @@ def test_delimited_scan_cleans_drops_and_keeps_bad_lines(spark, tmp_path):
     assert [r["co_mun"] for r in rows] == [110001, None] and rows[1]["corrupt_record"].startswith("x;")
 
 
+def test_delimited_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("b,extra,a\n1,x,2\n")
+    df = tables.read_delimited(spark, str(tmp_path / "b.csv"), "a int, b int")
+    assert df.drop("corrupt_record").collect() == [(2, 1)]
+    with pytest.raises(ValueError):
+        tables.read_delimited(spark, str(tmp_path / "b.csv"), "a int, c int")
+
+
 def test_gzip_scan_is_spread(spark, tmp_path):
     with gzip.open(tmp_path / "c.csv.gz", "wt") as f:
         f.write("date,confirmed\n" + "".join(f"2020-01-{i:02d},{i}\n" for i in range(1, 31)))
