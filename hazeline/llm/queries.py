@@ -1,4 +1,4 @@
-"""The ten operators with production parameters over whole tables, and their SQL twins where SQL can say it."""
+"""The operators with production parameters over whole tables, and their SQL twins where SQL can say it."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeline.llm import bpe, mixing, neardup, neighbours, pages, paragraphs, pii, quality, sketch, toxicity
+from hazeline.llm import bpe, lexical, mixing, neardup, neighbours, pages, paragraphs, pii, quality, secret_scan, sketch, spelling, toxicity
 from hazeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,11 +70,8 @@ def op10_bottom_k(spark, d, k=128):
         sketch.containment(F.col("own"), F.col("new"), k).alias("contained"))
 
 
-@query
-def op2_pii_tagger(spark, d):
-    """Personal data in every text: base patterns, and spans of the trained tagger."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    found = pii.find(docs, pii.train(docs)).drop("text")
+def span_digests(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Counts of the base kinds, the digest of base spans and the list of all spans of each document."""
     base = F.filter("spans", lambda s: s["base"])
 
     def joined(spans):
@@ -83,7 +80,15 @@ def op2_pii_tagger(spark, d):
     def count(kind):
         return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
-    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in kinds], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op2_pii_tagger(spark, d):
+    """Personal data in every text: base patterns, and spans of the trained tagger."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs)).drop("text")
+    return span_digests(found, pii.KINDS)
 
 
 @query
@@ -120,6 +125,26 @@ def op6_block_neighbours(spark, d):
     return neighbours.nearest(every.filter("vec_id % 50 = 0"), every, k=5)
 
 
+@query
+def op11_spelling_variants(spark, d):
+    """Words of six letters or more that occur five times or more, and the frequent word each may be a variant of."""
+    words = spelling.word_counts(table(spark, d, "documents"), "doc_id", "text", spelling.lost_letter)
+    return spelling.variants(words.filter((F.length("word") >= 6) & (F.col("n") >= 5)), shortest_word=6, times=5)
+
+
+@query
+def op12_secret_scan(spark, d):
+    """Secrets in every text: base patterns behind keywords, and formats whose checksum is right."""
+    found = secret_scan.find(table(spark, d, "documents").select("doc_id", "text")).drop("text")
+    return span_digests(found, secret_scan.BASE)
+
+
+@query
+def op13_lexical_ranking(spark, d):
+    """The ten highest-scoring documents of every benchmark item."""
+    return lexical.ranked(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 TREE = ["domain", "lang", "source"]
 WEIGHTS = [{"web": 3, "print": 1}, {"en": 4, "de": 2, "fr": 2}, {}]
 
@@ -152,7 +177,43 @@ def divided_sql(level: int) -> str:
         FROM (SELECT *, max(CASE WHEN fill > level THEN level END) OVER (PARTITION BY {up}) AS water FROM m{level})),"""
 
 
+#: CRC-32 of a list of bytes, eight shifts a byte.
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, {}), lambda s, b: list_reduce([xor(s, b), 1, 1, 1, 1, 1, 1, 1, 1],
+        lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
 ORACLE: dict[str, str] = {
+    "op11_spelling_variants": f"""
+    WITH RECURSIVE d AS (SELECT CAST(doc_id AS VARCHAR) AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[a-zÀ-ÿ]+') AS runs FROM documents),
+    r AS (SELECT coalesce(k, '') AS k, run, count(*) AS n FROM (SELECT k, unnest(runs) AS run FROM d) GROUP BY k, run),
+    b AS (SELECT run, n, flatten([CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END
+        for c in string_split(k || ':' || run, '')]) AS bytes FROM r),
+    h AS (SELECT run, n, {CRC.format('bytes')} AS h FROM b),
+    o AS (SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, (h % length(run))::BIGINT) || substring(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM h),
+    w AS (SELECT word, sum(n)::BIGINT AS n FROM o GROUP BY word HAVING length(word) >= 6 AND sum(n) >= 5),
+    cuts AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS less FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+    near AS (SELECT a.word, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM cuts a JOIN w b ON a.less = b.word
+        UNION SELECT b.word, a.word, a.n FROM cuts a JOIN w b ON a.less = b.word),
+    best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word),
+    form AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.m >= 5 * w.n THEN b.m END AS form_n,
+        CASE WHEN b.m >= 5 * w.n THEN (SELECT min(other) FROM near x WHERE x.word = w.word AND x.m = b.m) END AS form FROM w LEFT JOIN best b USING (word)),
+    chain AS (SELECT word, word AS root FROM form UNION SELECT c.word, f.form FROM chain c JOIN form f ON c.root = f.word WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, c.root, f.n, CAST(n_near AS BIGINT) AS n_near, f.form_n FROM form f
+    JOIN (SELECT c.word, c.root FROM chain c JOIN form f ON c.root = f.word WHERE f.form IS NULL) c USING (word)""",
+    "op13_lexical_ranking": r"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+    s AS (SELECT count(*) AS N, sum(len(terms))::BIGINT AS L FROM d WHERE len(terms) > 0),
+    p AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d) GROUP BY row, term),
+    i AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM benchmark),
+    q AS (SELECT item, term, count(*) AS times FROM (SELECT item, unnest(terms) AS term FROM i) GROUP BY item, term),
+    w AS (SELECT term, CAST(floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p SEMI JOIN q USING (term) GROUP BY term), s),
+    m AS (SELECT row, doc_id, 100 - 75 + ((75 * len(terms)::BIGINT * N) // L) AS m FROM d, s WHERE len(terms) > 0 AND doc_id IS NOT NULL),
+    c AS (SELECT item, row, sum(w * times * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (row) GROUP BY item, row),
+    t AS (SELECT item, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM c JOIN m USING (row) WHERE score > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM t JOIN i USING (item) WHERE rank <= 10""",
     "op6_block_neighbours": """
     WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
     u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE len([x for x in e if x IS NULL OR NOT isfinite(x)]) = 0),
