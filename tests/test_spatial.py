@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -63,19 +65,21 @@ def brute_median(pairs):
             return v
 
 
-@pytest.mark.parametrize("buckets", [1, 2, 16, 1024])
-def test_weighted_summary_against_brute_force(spark, buckets):
+@pytest.mark.parametrize("kw", [{}, {"pivots": 2, "rounds": 1}, {"pivots": 3, "rounds": 3}])
+def test_weighted_summary_against_brute_force(spark, kw):
     rng = random.Random(7)
     rows = [(g, float(rng.choice([rng.randint(0, 9), rng.gauss(0, 1000)])), rng.choice([0.25, 0.5, 1.0]))
             for g in "abc" for _ in range(301)]
-    rows += [("one", 5.0, 0.5), ("same", 1.0, 1.0), ("same", 1.0, 0.5), ("tie", 1.0, 1.0), ("tie", 2.0, 1.0), ("null", None, 1.0)]
+    rows += [("one", 5.0, 0.5), ("same", 1.0, 1.0), ("same", 1.0, 0.5), ("tie", 1.0, 1.0), ("tie", 2.0, 1.0), ("null", None, 1.0), ("zero", 1.0, 0.0), ("hole", 1.0, None)]
+    rows += [("wild", 1e12, 1e-10), ("wild", -1e12, 1e-10), *[("wild", float(i), 1e-10) for i in range(99)], ("heavy", 1e12, 3e9), ("heavy", 0.5, 3e9), ("heavy", 0.25, 1e-10)]
     df = spark.createDataFrame(rows, "g string, v double, w double")
-    got = {r["g"]: r for r in zonal.weighted_summary(df, ["g"], "v", "w", buckets=buckets).collect()}
-    assert set(got) == {"a", "b", "c", "one", "same", "tie"}
+    got = {r["g"]: r for r in zonal.weighted_summary(df, ["g"], "v", "w", **kw).collect()}
+    assert set(got) == {"a", "b", "c", "one", "same", "tie", "wild", "heavy"}
+    assert got["wild"]["median"] == 49.0 and got["heavy"]["median"] == 0.5
     for g, r in got.items():
-        pairs = [(v, w) for h, v, w in rows if h == g]
+        pairs = [(v, Fraction(w)) for h, v, w in rows if h == g]
         assert r["median"] == brute_median(pairs) and r["max"] == max(v for v, _ in pairs)
-        assert r["mean"] == pytest.approx(sum(v * w for v, w in pairs) / sum(w for _, w in pairs))
+        assert r["mean"] == pytest.approx(float(sum(Fraction(v) * w for v, w in pairs) / sum(w for _, w in pairs)))
 
 
 def test_zonal_stats_and_zone_means(spark):
@@ -113,9 +117,40 @@ def test_daily_mean_choices(spark, kw, want):
         raster.daily_mean(raster.consolidate(spark.sql(BANDS)), dedupe="first")
 
 
-def test_large_group_is_spread_over_buckets(spark):
-    """One group holding nearly all rows still gives the exact median."""
+def test_selection_leaves_a_stated_share_of_a_group(spark):
+    """One group holding nearly all rows gives the exact median, and at most two 64ths of it are ever put in order at once."""
     df = spark.range(20_001).select(F.when(F.col("id") < 20_000, "hot").otherwise("cold").alias("g"),
                                     (F.col("id") * 7919 % 20_011).cast("double").alias("v"), F.lit(1.0).alias("w"))
-    got = {r["g"]: r["median"] for r in zonal.weighted_summary(df, ["g"], "v", "w", buckets=64).collect()}
+    got = {r["g"]: r["median"] for r in zonal.weighted_summary(df, ["g"], "v", "w").collect()}
     assert got["hot"] == sorted(i * 7919 % 20_011 for i in range(20_000))[9_999]
+    atoms = df.select("g", F.col("v").alias("_v"), F.col("w").cast("decimal(38,18)").alias("_w"))
+    whole = atoms.groupBy("g").agg(F.sum("_w").cast("decimal(38,18)").alias("_total"), F.lit(0.0).alias("mean"), F.max("_v").alias("max"))
+    whole = whole.withColumns({"_above": F.lit(None).cast("double"), "_upto": F.col("max"), "_before": F.lit(0).cast("decimal(38,18)")})
+    one = zonal._narrowed(atoms, whole, ["g"], 64)
+    assert zonal._held(atoms, one, ["g"]).filter("g = 'hot'").count() <= 2 * 20_000 / 64
+    two = zonal._narrowed(atoms, one, ["g"], 64)
+    assert zonal._held(atoms, two, ["g"]).filter("g = 'hot'").count() <= 2 * 20_000 / 64**2 + 1
+
+
+def test_walk_makes_no_more_rows_than_cells(spark):
+    """Rows between the steps: crossed cells and one carry per edge and column; then covered cells.  No job before that."""
+    rings = [("p", 0, CONCAVE), ("p", 1, HOLE), ("tall", 0, [(0.5, 0.5), (0.5, 900.5), (1.5, 900.5), (1.5, 0.5)])]
+    edges = zonal.ring_edges(spark.createDataFrame(rings, RING), ["polygon"])
+    crossed = carries = 0
+    for (ax, ay), (bx, by) in ((a, b) for _, _, ps in rings for a, b in zip(ps, ps[1:] + ps[:1])):
+        for x in range(math.floor(min(ax, bx)), math.ceil(max(ax, bx))) if ax != bx else ():
+            ends = sorted(ay + (by - ay) / (bx - ax) * (min(max(c, min(ax, bx)), max(ax, bx)) - ax) for c in (x, x + 1))
+            crossed += math.floor(ends[1]) - math.floor(ends[0]) + 1
+            carries += 1
+    steps = zonal.ring_columns(edges, "polygon", x0=0.0, y0=0.0, dx=1.0, dy=1.0)
+    assert steps.count() <= crossed + carries < 100
+    got = {(r["polygon"], r["cell_x"], r["cell_y"]): r["cov"] for r in zonal.coverage(edges, "polygon").collect()}
+    assert sum(c for k, c in got.items() if k[0] == "tall") == pytest.approx(900) and sum(k[0] == "tall" for k in got) == 1802
+
+
+def test_coverage_runs_no_job_when_called(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "coverage")
+    zonal.coverage(zonal.ring_edges(spark.createDataFrame([("p", 0, CONCAVE)], RING), ["polygon"]), "polygon")
+    assert not tracker.getJobIdsForGroup("lazy")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
