@@ -1,8 +1,12 @@
-"""Negative-binomial (NB2) regression with offset: fixed effects, one random intercept per row, zero inflation.
+"""Negative-binomial (NB2) regression with offset: fixed effects, one random intercept per level, zero inflation.
 
-``pyspark.ml`` has no negative-binomial family.  With one row per random-effect level the likelihood is a sum over rows,
-so each step of the fit is one Spark job: tasks add up log-likelihood, score and score products of their rows,
+``pyspark.ml`` has no negative-binomial family.  The likelihood is a sum over levels of the random intercept (over rows
+without one), so each step of the fit is one Spark job: tasks add up log-likelihood, score and score products,
 Spark adds the tasks up, and the driver solves a system the size of the coefficient vector.
+
+Rows of a level share its intercept, which is integrated over their joint likelihood.  Levels are kept together in a
+partition, except those of more than ``HOT_ROWS`` rows: their rows stay where they are, and their sums at the quadrature
+nodes are added up across tasks before they are turned into a likelihood.
 """
 
 from __future__ import annotations
@@ -19,6 +23,9 @@ from pyspark.sql import functions as F
 from hazeline.operators.loops import checkpointed, matrix, spread
 
 
+HOT_ROWS = 50_000  # a level with more rows is summed across tasks
+
+
 class CountFit(NamedTuple):
     """Coefficient table plus the numbers needed to predict."""
 
@@ -120,6 +127,222 @@ def row_scores(par: np.ndarray, y: np.ndarray, off: np.ndarray, x: np.ndarray, s
     return ll, np.hstack([score * share[:, None], d_pi[:, None]])
 
 
+def _row_terms(par: np.ndarray, y: np.ndarray, eta: np.ndarray, shape: _Shape):
+    """At every node: log-likelihood of each row and its derivatives by eta, log theta and logit inflation."""
+    theta = np.exp(par[shape.p])
+    tail = np.logaddexp(np.log(theta), eta)
+    inverse, odds = np.exp(-tail), np.exp(eta - tail)
+    fixed = log_gamma(theta + y) - log_gamma(theta) - log_gamma(y + 1.0) + theta * np.log(theta)
+    rising = digamma(theta + y) - digamma(theta) + np.log(theta) + 1.0
+    y_ = y[:, None]
+    log_l = fixed[:, None] + y_ * eta - (y_ + theta) * tail
+    by_eta = theta * (y_ * inverse - odds)
+    by_theta = theta * (rising[:, None] - tail - (y_ + theta) * inverse)
+    if not shape.inflated:
+        return log_l, by_eta, by_theta, None
+    pi = 1.0 / (1.0 + np.exp(-par[-1]))
+    zero = (y == 0)[:, None]
+    mix = np.logaddexp(np.log(pi), np.log1p(-pi) + log_l)
+    share = np.where(zero, np.exp(np.log1p(-pi) + log_l - mix), 1.0)
+    by_pi = np.where(zero, (1 - pi) * (1 - share) - pi * share, -pi)
+    return np.where(zero, mix, np.log1p(-pi) + log_l), by_eta * share, by_theta * share, by_pi
+
+
+def _slopes(par: np.ndarray, y: np.ndarray, eta: np.ndarray, shape: _Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Per row at one value of its intercept: slope of the log-likelihood by eta and minus its expected curvature."""
+    theta = np.exp(par[shape.p])
+    _, by_eta, _, _ = _row_terms(par, y, eta[:, None], shape)
+    tail = np.logaddexp(np.log(theta), eta)
+    curve = theta * np.exp(eta - tail) * (y + theta) * np.exp(-tail)
+    return by_eta[:, 0], np.where(y == 0, np.abs(by_eta[:, 0]) * theta * np.exp(-tail), curve) if shape.inflated else curve
+
+
+def _level_modes(par: np.ndarray, y: np.ndarray, fixed: np.ndarray, starts: np.ndarray, shape: _Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Mode of every level's intercept (in standard deviations) and the width of its likelihood there."""
+    sigma, owner = np.exp(par[shape.p + 1]), np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(y))))
+    u = np.zeros(len(starts))
+    for _ in range(100):
+        slope, curve = _slopes(par, y, fixed + sigma * u[owner], shape)
+        bent = 1 + sigma**2 * np.add.reduceat(curve, starts)
+        step = np.clip((sigma * np.add.reduceat(slope, starts) - u) / bent, -1, 1)
+        u = u + step
+        if np.abs(step).max(initial=0.0) < 1e-9:
+            break
+    return u, 1 / np.sqrt(bent)
+
+
+def node_sums(par, y, off, x, starts, centre, width, shape: _Shape) -> np.ndarray:
+    """Per level and node: log-likelihood of its rows and that sum's derivatives by all of ``par``, levels x nodes x (1 + m)."""
+    p, sigma = shape.p, np.exp(par[shape.p + 1])
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(y))))
+    level = centre[:, None] + width[:, None] * shape.nodes[None, :]
+    eta = (off + x @ par[:p])[:, None] + sigma * level[owner]
+    log_l, by_eta, by_theta, by_pi = _row_terms(par, y, eta, shape)
+    cols = [log_l, *[by_eta * x[:, j : j + 1] for j in range(p)], by_theta, by_eta * (sigma * level[owner])]
+    cols += [by_pi] if shape.inflated else []
+    return np.stack([np.add.reduceat(c, starts, axis=0) for c in cols], axis=2)
+
+
+def integrated(sums: np.ndarray, centre: np.ndarray, width: np.ndarray, shape: _Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood and score of every level from its ``node_sums``: the quadrature proper."""
+    level = centre[:, None] + width[:, None] * shape.nodes[None, :]
+    k = sums[:, :, 0] + np.log(shape.weights)[None, :] + np.log(width)[:, None] + (shape.nodes[None, :] ** 2 - level**2) / 2
+    peak = k.max(1, keepdims=True)
+    e = np.exp(k - peak)
+    total = e.sum(1)
+    return peak[:, 0] + np.log(total), np.einsum("gk,gkm->gm", e / total[:, None], sums[:, :, 1:])
+
+
+def level_scores(par: np.ndarray, y: np.ndarray, off: np.ndarray, x: np.ndarray, starts: np.ndarray, shape: _Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood and score of every level.  A level's rows follow one another, from ``starts`` on."""
+    centre, width = _level_modes(par, y, off + x @ par[: shape.p], starts, shape)
+    return integrated(node_sums(par, y, off, x, starts, centre, width, shape), centre, width, shape)
+
+
+def whole_levels(batches: Iterator[pa.RecordBatch], most: int = 2000) -> Iterator[tuple[np.ndarray, ...]]:
+    """``(y, off, x, starts, lev)`` of complete levels, some ``most`` rows at a time, from rows sorted by ``lev``."""
+    held: list[tuple] = []
+
+    def joined():
+        y, off, x, lev = (np.concatenate([part[i] for part in held]) for i in range(4))
+        held.clear()
+        starts = np.flatnonzero(np.concatenate(([True], lev[1:] != lev[:-1])))
+        return y, off, x, starts, lev[starts]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        whole = (b.column("y").to_numpy(), b.column("off").to_numpy(), matrix(b, "x"), b.column("lev").to_numpy(zero_copy_only=False))
+        for i in range(0, b.num_rows, most):
+            piece = tuple(c[i : i + most] for c in whole)
+            lev = piece[3]
+            other = np.flatnonzero(lev != lev[-1])
+            last = int(other[-1]) + 1 if len(other) else 0  # where the level that may go on begins
+            if held and (last or held[-1][3][-1] != lev[0]):
+                if held[-1][3][-1] == lev[0]:
+                    held.append(tuple(c[:last] for c in piece))
+                    yield joined()
+                else:
+                    yield joined()
+                    if last:
+                        held.append(tuple(c[:last] for c in piece))
+                        yield joined()
+            elif last:
+                held.append(tuple(c[:last] for c in piece))
+                yield joined()
+            held.append(tuple(c[last:] for c in piece))
+    if held:
+        yield joined()
+
+
+class _Levels(NamedTuple):
+    """Rows of a model with several rows per level: ``cold`` ones sorted by level, ``hot`` ones with their level's number."""
+
+    cold: DataFrame
+    hot: DataFrame | None
+    names: list[str]
+    modes: np.ndarray
+
+
+def _levels(rows: DataFrame) -> _Levels:
+    """Deals ``(y, off, x, lev)``; the names of hot levels, at most one per ``HOT_ROWS`` rows, go to the driver."""
+    sizes = rows.groupBy("lev").count().filter(F.col("count") > HOT_ROWS)
+    names = sorted(r["lev"] for r in sizes.select("lev").collect())
+    hot = None
+    if names:
+        numbers = rows.sparkSession.createDataFrame(list(enumerate(names)), "number int, lev string")
+        hot = checkpointed(spread(rows.join(numbers, "lev").select("y", "off", "x", "number")))
+        rows = rows.join(numbers, "lev", "left_anti")
+    return _Levels(checkpointed(spread(rows, "lev").sortWithinPartitions("lev")), hot, names, np.zeros(len(names)))
+
+
+def _by_number(batch: pa.RecordBatch):
+    """The batch's rows ordered by hot level: ``(y, off, x, starts, numbers)``."""
+    number = batch.column("number").to_numpy()
+    order = np.argsort(number, kind="stable")
+    number = number[order]
+    starts = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+    return batch.column("y").to_numpy()[order], batch.column("off").to_numpy()[order], matrix(batch, "x")[order], starts, number[starts]
+
+
+def _hot_sums(hot: DataFrame, count: int, width: int, terms) -> np.ndarray:
+    """Sums over the rows of each hot level of ``terms(y, off, x, starts, numbers)``, levels x width, added up across tasks."""
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i in range(0, b.num_rows, 2000):
+                y, off, x, starts, numbers = _by_number(b.slice(i, 2000))
+                for n, v in zip(numbers.tolist(), terms(y, off, x, starts, numbers).reshape(len(starts), -1)):
+                    acc[n] = acc.get(n, 0) + v
+        for n, v in acc.items():
+            yield pa.RecordBatch.from_arrays([pa.array([n] * len(v), pa.int32()), pa.array(np.arange(len(v), dtype="int32")), pa.array(v)], ["number", "slot", "v"])
+
+    out = np.zeros((count, width))
+    for r in hot.mapInArrow(partial, "number int, slot int, v double").groupBy("number", "slot").agg(F.sum("v").alias("v")).toLocalIterator():
+        out[r["number"], r["slot"]] = r["v"]
+    return out
+
+
+def _hot_modes(levels: _Levels, par: np.ndarray, shape: _Shape) -> np.ndarray:
+    """Moves ``levels.modes`` to the hot levels' modes, from where the last call left them; returns the widths."""
+    sigma, u = np.exp(par[shape.p + 1]), levels.modes
+
+    def terms(y, off, x, starts, numbers):
+        owner = np.repeat(numbers, np.diff(np.append(starts, len(y))))
+        slope, curve = _slopes(par, y, off + x @ par[: shape.p] + sigma * u[owner], shape)
+        return np.stack([np.add.reduceat(slope, starts), np.add.reduceat(curve, starts)], axis=1)
+
+    while True:
+        slope, curve = _hot_sums(levels.hot, len(u), 2, terms).T
+        bent = 1 + sigma**2 * curve
+        step = np.clip((sigma * slope - u) / bent, -1, 1)
+        u += step
+        if np.abs(step * np.sqrt(bent)).max() < 1e-3:  # a small part of the width: nodes need no better centre
+            return 1 / np.sqrt(bent)
+
+
+def _hot_nodes(levels: _Levels, pars: list[np.ndarray], centre: np.ndarray, width: np.ndarray, shape: _Shape) -> list[np.ndarray]:
+    def terms(y, off, x, starts, numbers):
+        own = [node_sums(q, y, off, x, starts, centre[numbers], width[numbers], shape).reshape(len(starts), -1) for q in pars]
+        return np.concatenate(own, axis=1)
+
+    size = len(shape.nodes) * (1 + len(pars[0]))
+    flat = _hot_sums(levels.hot, len(levels.names), size * len(pars), terms)
+    return [flat[:, i * size : (i + 1) * size].reshape(len(flat), len(shape.nodes), -1) for i in range(len(pars))]
+
+
+def _level_sums(levels: _Levels, par: np.ndarray, shape: _Shape, step: float = 1e-4) -> tuple[float, np.ndarray, np.ndarray]:
+    """Summed log-likelihood, score and observed information.
+
+    Products of level scores would say little about few levels, so the information is the score's own difference at 2 m
+    neighbouring parameter vectors, all worked out in the same pass and around the same modes.
+    """
+    m = len(par)
+    pars = [par, *[par + side * step * np.eye(m)[j] for j in range(m) for side in (1, -1)]]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = np.zeros((len(pars), 1 + m))
+        for y, off, x, starts, _ in whole_levels(batches):
+            centre, width = _level_modes(par, y, off + x @ par[: shape.p], starts, shape)
+            for i, q in enumerate(pars):
+                ll, g = integrated(node_sums(q, y, off, x, starts, centre, width, shape), centre, width, shape)
+                acc[i, 0] += ll.sum()
+                acc[i, 1:] += g.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(acc.size, dtype="int32")), pa.array(acc.ravel())], ["slot", "v"])
+
+    v = np.zeros(len(pars) * (1 + m))
+    for r in levels.cold.mapInArrow(partial, "slot int, v double").groupBy("slot").agg(F.sum("v").alias("v")).collect():
+        v[r["slot"]] = r["v"]
+    v = v.reshape(len(pars), 1 + m)
+    if levels.hot is not None:
+        width = _hot_modes(levels, par, shape)
+        for i, sums in enumerate(_hot_nodes(levels, pars, levels.modes, width, shape)):
+            ll, g = integrated(sums, levels.modes, width, shape)
+            v[i] += np.concatenate([[ll.sum()], g.sum(0)])
+    h = (v[2::2, 1:] - v[1::2, 1:]) / (2 * step)
+    return float(v[0, 0]), v[0, 1:], (h + h.T) / 2
+
+
 def _sums(rows: DataFrame, par: np.ndarray, shape: _Shape) -> tuple[float, np.ndarray, np.ndarray]:
     """Summed log-likelihood, score and score products: one job, m + m^2 + 1 numbers back."""
     m = len(par)
@@ -139,22 +362,29 @@ def _sums(rows: DataFrame, par: np.ndarray, shape: _Shape) -> tuple[float, np.nd
     return float(v[0]), v[1:1 + m], v[1 + m:].reshape(m, m)
 
 
-def _climb(rows: DataFrame, par: np.ndarray, shape: _Shape, max_steps: int | None, tol: float):
-    """Damped Newton on the score products: damping falls after a gain, rises after a loss.
+def _upright(h: np.ndarray) -> np.ndarray:
+    """The matrix with negative curvature turned round, so that a step still climbs."""
+    values, vectors = np.linalg.eigh(h)
+    return h if values[0] > 0 else (vectors * np.maximum(np.abs(values), 1e-8 * np.abs(values).max() + 1e-12)) @ vectors.T
+
+
+def _climb(sums, par: np.ndarray, max_steps: int | None, tol: float):
+    """Damped Newton on ``sums(par)``, log-likelihood, score and information: damping falls after a gain, rises after a loss.
 
     Ends where a step promises less than ``tol``; converged if that step was not shortened by damping.  A caller's
     own limit raises if it is met before.
     """
-    ll, g, h = _sums(rows, par, shape)
+    ll, g, h = sums(par)
     damp = 1e-3
     for steps in itertools.count(1):
         if max_steps is not None and steps > max_steps:
             raise RuntimeError(f"the fit still climbs after {max_steps} steps")
-        step = np.linalg.solve(h + damp * np.diag(np.diag(h) + 1e-9), g)
+        up = _upright(h)
+        step = np.linalg.solve(up + damp * np.diag(np.diag(up) + 1e-9), g)
         step *= min(1.0, 3.0 / max(np.abs(step).max(), 1e-12))
         if float(g @ step) < tol:
             break
-        trial = _sums(rows, par + step, shape)
+        trial = sums(par + step)
         if np.isfinite(trial[0]) and trial[0] > ll:
             par, (ll, g, h), damp = par + step, trial, max(damp / 5, 1e-9)
         else:
@@ -188,7 +418,8 @@ def fit_counts(
     """Fit ``response ~ offset(log(exposure)) + terms [+ (1 | level)]``, optionally with constant zero inflation.
 
     Rows with any missing input, or an exposure of 0 or below, are dropped.  Factors use their first level as
-    the base.  ``level`` names the random-effect key, which must be unique per row.
+    the base.  ``level`` names the random-effect key; its rows share one intercept, nulls being a level of their own.
+    Without it every row has an intercept of its own.
     """
     needed = [response, *numeric, *factors, *([exposure] if exposure else [])]
     known = df.dropna(subset=needed)
@@ -196,11 +427,11 @@ def fit_counts(
         known = known.filter(F.col(exposure) > 0)
     # Checks, moments, levels and every step read these rows: written once, the panel behind them runs once.
     known = checkpointed(spread(known.select(*dict.fromkeys([*needed, *level])), *level))
-    if level and known.groupBy(*level).count().filter("count > 1").limit(1).count():
-        raise ValueError("a random-effect level has several rows: aggregate to one row per level first")
+    shared = mixed and level and not known.groupBy(*level).count().filter("count > 1").isEmpty()
     off = F.log(F.col(exposure).cast("double")) if exposure else F.lit(0.0)
     terms = _design(known, numeric, factors)
-    rows = known.select(F.col(response).cast("double").alias("y"), off.alias("off"), F.array(*[c for _, c, _, _ in terms]).alias("x"))
+    rows = known.select(F.col(response).cast("double").alias("y"), off.alias("off"), F.array(*[c for _, c, _, _ in terms]).alias("x"),
+                        *([F.to_json(F.struct(*level)).alias("lev")] if shared else []))
     p = len(terms)
     z, w = np.polynomial.hermite.hermgauss(nodes) if mixed else (np.zeros(1), np.array([np.sqrt(np.pi)]))
     shape = _Shape(p, mixed, inflated, np.sqrt(2.0) * z, w / np.sqrt(np.pi))
@@ -211,7 +442,11 @@ def fit_counts(
         start[p + 1] = np.log(0.5)
     if inflated:
         start[-1] = -2.0
-    par, ll, h, steps, converged = _climb(rows, start, shape, max_steps, tol)
+    if shared:
+        levels = _levels(rows)
+        par, ll, h, steps, converged = _climb(lambda q: _level_sums(levels, q, shape), start, max_steps, tol)
+    else:
+        par, ll, h, steps, converged = _climb(lambda q: _sums(rows, q, shape), start, max_steps, tol)
     cov = np.linalg.pinv(h)
     # Back from standardised terms: beta_j / s_j, and the centres move into the intercept.
     back = np.eye(len(par))
@@ -234,6 +469,39 @@ def fit_counts(
     )
 
 
+def level_likelihoods(
+    df: DataFrame, fit: CountFit, response: str, level: str, *, numeric: Sequence[str] = (), factors: Sequence[str] = (), nodes: int = 21,
+) -> DataFrame:
+    """Per level of the random intercept, under a given fit: ``level``, its rows ``n`` and its log-likelihood ``log_lik``.
+
+    Rows with a missing input are left out; a null level is one of its own.
+    """
+    known = df.dropna(subset=[response, *numeric, *factors, *([fit.offset] if fit.offset else [])])
+    eta = linear_predictor(fit, numeric, factors)
+    rows = known.select(F.col(response).cast("double").alias("y"), eta.alias("off"), F.array(F.lit(0.0)).alias("x"), F.to_json(F.struct(level)).alias("lev"))
+    z, w = np.polynomial.hermite.hermgauss(nodes)
+    shape = _Shape(1, True, fit.inflation > 0, np.sqrt(2.0) * z, w / np.sqrt(np.pi))
+    par = np.array([0.0, np.log(fit.theta), np.log(fit.sigma), *([np.log(fit.inflation / (1 - fit.inflation))] if fit.inflation else [])])
+    levels = _levels(checkpointed(rows))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for y, off, x, starts, lev in whole_levels(batches):
+            ll, _ = level_scores(par, y, off, x, starts, shape)
+            sizes = np.diff(np.append(starts, len(y)))
+            yield pa.RecordBatch.from_arrays([pa.array(lev, pa.string()), pa.array(sizes, pa.int64()), pa.array(ll)], ["lev", "n", "log_lik"])
+
+    out = levels.cold.mapInArrow(each, "lev string, n bigint, log_lik double")
+    if levels.hot is not None:
+        width = _hot_modes(levels, par, shape)
+        ll, _ = integrated(_hot_nodes(levels, [par], levels.modes, width, shape)[0], levels.modes, width, shape)
+        sizes = {r["number"]: r["count"] for r in levels.hot.groupBy("number").count().collect()}
+        rows = [(name, sizes[i], float(v)) for i, (name, v) in enumerate(zip(levels.names, ll))]
+        out = out.unionByName(df.sparkSession.createDataFrame(rows, "lev string, n bigint, log_lik double"))
+    kind = df.schema[level].dataType
+    back = F.from_json("lev", f"`{level}` {kind.simpleString()}")[level]
+    return out.select(back.alias(level), "n", "log_lik")
+
+
 def linear_predictor(fit: CountFit, numeric: Sequence[str], factors: Sequence[str]) -> Column:
     """Offset plus terms, as a Column over the model's input table."""
     eta = F.lit(fit.beta["(Intercept)"])

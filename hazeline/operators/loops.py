@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -17,15 +18,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="hazeline-checkpoint-"))
     return df.checkpoint()
 
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Rows over all cores: fits do much work per row, and small inputs arrive coalesced into few partitions."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *by)
+    """Rows over all cores, or over the session's shuffle partitions if these are more: fits do much work per row, and
+    small inputs arrive coalesced into few partitions."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
 
 
 def matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:

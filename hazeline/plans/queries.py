@@ -490,7 +490,7 @@ def kmeans_elbow(spark, d):
 
 @query
 def kmeans_gap(spark, d):
-    return cluster.gap_statistic(_scaled(spark, d), "zone", list(roles.PROFILE), max_k=6, references=8, restarts=5)
+    return cluster.gap_statistic(_scaled(spark, d), "zone", list(roles.PROFILE), max_k=10, references=50, restarts=25)
 
 
 _TERMS = dict(numeric=["balance", "price"], factors=["segment"])

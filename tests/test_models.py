@@ -71,6 +71,46 @@ def test_gap_peaks_at_the_true_number(blobs):
     assert max(rows, key=lambda r: r["gap"])["k"] == 4 and all(r["std_error"] > 0 for r in rows)
 
 
+@pytest.mark.parametrize("rows", [10_000, 60])
+def test_same_cost_as_plain_lloyd_from_the_same_starts(blobs, monkeypatch, rows):
+    """Refined on the whole table or on a part of it, a fit ends where its centres are the means of their rows, and with
+    the whole table in the sample the passes end at once."""
+    monkeypatch.setattr(cluster, "SAMPLE_ROWS", rows)
+    vectors = cluster._vectors(blobs, "zone", FEATURES, 41)
+    x = np.array([r["x"] for r in vectors.collect()])
+    stacks = cluster._starts(vectors, [5], 1, 6, 41)
+    centers, cost = cluster.lloyd(vectors, stacks, max_iter=1 if rows > 240 else None)[(0, 5)]
+    plain = []
+    for c in stacks[(0, 5)][1]:
+        while True:
+            d = ((x[:, None] - c[None]) ** 2).sum(2)
+            new = np.array([x[d.argmin(1) == j].mean(0) for j in range(5)])
+            if np.abs(new - c).max() < 1e-9:
+                break
+            c = new
+        plain.append(d.min(1).sum())
+    assert cost == pytest.approx(min(plain)) and ((x[:, None] - centers[None]) ** 2).sum(2).min(1).sum() == pytest.approx(cost)
+
+
+def test_reference_points_do_not_depend_on_partitions_and_fill_the_box():
+    spot = np.random.default_rng(0).integers(-(2**63), 2**63, 20_000)
+    box = cluster.Box(np.array([1.0, 2.0]), np.array([[0.6, -0.8], [0.8, 0.6]]), np.array([-1.0, -3.0]), np.array([2.0, 4.0]))
+    x = cluster._points(np.zeros((20_000, 2)), spot, 3, box)
+    assert (cluster._points(np.zeros((5, 2)), spot[100:105], 3, box) == x[100:105]).all()
+    along = (x - box.mean) @ box.axes
+    assert (along >= box.low - 1e-9).all() and (along <= box.high + 1e-9).all()
+    assert along.mean(0) == pytest.approx((box.low + box.high) / 2, abs=0.05) and abs(np.corrcoef(along.T)[0, 1]) < 0.03
+    assert not np.allclose(cluster._points(np.zeros((20_000, 2)), spot, 4, box), x)
+
+
+def test_summary_and_stored_centres(spark, blobs):
+    centers = np.array([[0.0, 0, 0], [8, 0, 0], [0, 8, 1], [12, 8, -3]])
+    got = {r["cluster"]: r for r in cluster.summary(blobs, "zone", FEATURES, centers).collect()}
+    assert {c: r["n"] for c, r in got.items()} == dict.fromkeys((1, 2, 3, 4), 60)
+    assert [got[4][c] for c in FEATURES] == pytest.approx([12, 8, -3], abs=0.4)
+    assert (cluster.load_centers(cluster.centers_table(spark, centers, FEATURES), FEATURES) == centers).all()
+
+
 def test_too_few_rows(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "zone string, x double")
     with pytest.raises(ValueError):
@@ -137,12 +177,78 @@ def test_zero_inflation_recovered(spark):
     assert fit.log_lik > countmodel.fit_counts(df, "y", **ARGS).log_lik
 
 
-def test_missing_rows_are_dropped_and_repeated_levels_refused(spark):
+def test_missing_rows_are_dropped(spark):
     df = simulate(spark, n=400)
     holes = df.unionByName(df.limit(20).withColumn("x", F.lit(None).cast("double")))
     assert countmodel.fit_counts(holes, "y", **ARGS).log_lik == pytest.approx(countmodel.fit_counts(df, "y", **ARGS).log_lik, abs=1e-3)
-    with pytest.raises(ValueError):
-        countmodel.fit_counts(df.unionByName(df.limit(1)), "y", mixed=True, level=["zone"], **ARGS)
+
+
+def simulate_levels(spark, sizes, theta=4.0, sigma=0.7, seed=2):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for g, n in enumerate(sizes):
+        u, x = sigma * rng.normal(), rng.normal(0, 1, n)
+        y = rng.poisson(np.exp(1.2 + 0.4 * x + u) * rng.gamma(theta, 1 / theta, n))
+        rows += [(f"g{g}", float(a), int(v)) for a, v in zip(x, y)]
+    return spark.createDataFrame(rows, "zone string, x double, y bigint")
+
+
+def test_levels_with_several_rows_recovered(spark):
+    sizes = np.random.default_rng(1).integers(1, 51, 120)
+    fit = countmodel.fit_counts(simulate_levels(spark, sizes), "y", numeric=["x"], mixed=True, level=["zone"])
+    got = terms(fit)
+    for key, truth in ((("cond", "x"), 0.4), (("cond", "(Intercept)"), 1.2), (("random", "log_sigma"), np.log(0.7)), (("disp", "log_theta"), np.log(4.0))):
+        est, err = got[key]
+        assert abs(est - truth) < 3 * err and 0 < err < 0.2, key
+    assert fit.converged
+
+
+def test_hot_levels_give_the_same_fit(spark, monkeypatch):
+    df = simulate_levels(spark, [400, 900, 3, 1, 12, 30, 7, 25, 40, 6])
+    args = dict(numeric=["x"], mixed=True, level=["zone"])
+    whole = countmodel.fit_counts(df, "y", **args)
+    direct = {r["zone"]: (r["n"], r["log_lik"]) for r in countmodel.level_likelihoods(df, whole, "y", "zone", numeric=["x"]).collect()}
+    monkeypatch.setattr(countmodel, "HOT_ROWS", 100)
+    split = countmodel.fit_counts(df, "y", **args)
+    assert split.log_lik == pytest.approx(whole.log_lik, abs=1e-4) and split.sigma == pytest.approx(whole.sigma, rel=1e-3)
+    parts = {r["zone"]: (r["n"], r["log_lik"]) for r in countmodel.level_likelihoods(df, whole, "y", "zone", numeric=["x"]).collect()}
+    assert set(parts) == set(direct) and all(parts[k] == (n, pytest.approx(ll, abs=1e-5)) for k, (n, ll) in direct.items())
+    assert sum(ll for _, ll in direct.values()) == pytest.approx(whole.log_lik, abs=1e-4)
+
+
+@pytest.mark.parametrize("inflated", [False, True])
+def test_levels_of_one_row_equal_the_row_likelihood(inflated):
+    rng = np.random.default_rng(4)
+    y, off, x = rng.poisson(3, 50).astype(float) * (rng.uniform(0, 1, 50) > 0.2), rng.normal(0, 0.3, 50), np.hstack([np.ones((50, 1)), rng.normal(0, 1, (50, 1))])
+    z, w = np.polynomial.hermite.hermgauss(41)
+    shape = countmodel._Shape(2, True, inflated, np.sqrt(2) * z, w / np.sqrt(np.pi))
+    par = np.array([0.9, 0.2, 1.1, -0.5, *([-1.0] if inflated else [])])
+    a, b = countmodel.row_scores(par, y, off, x, shape), countmodel.level_scores(par, y, off, x, np.arange(50), shape)
+    assert a[0] == pytest.approx(b[0], abs=1e-6) and a[1] == pytest.approx(b[1], abs=1e-5)
+
+
+def test_level_score_is_the_gradient_and_the_integral_is_exact():
+    rng = np.random.default_rng(6)
+    sizes = [1, 40, 3, 200]
+    n, starts = sum(sizes), np.cumsum([0, *sizes[:-1]])
+    y, x = rng.poisson(5, n).astype(float) * (rng.uniform(0, 1, n) > 0.2), np.hstack([np.ones((n, 1)), rng.normal(0, 1, (n, 1))])
+    z, w = np.polynomial.hermite.hermgauss(31)
+    shape = countmodel._Shape(2, True, True, np.sqrt(2) * z, w / np.sqrt(np.pi))
+    par = np.array([1.4, 0.2, 1.1, -0.3, -1.5])
+    ll, score = countmodel.level_scores(par, y, np.zeros(n), x, starts, shape)
+    for j in range(5):
+        side = [countmodel.level_scores(par + s * 1e-5 * np.eye(5)[j], y, np.zeros(n), x, starts, shape)[0] for s in (1, -1)]
+        assert score[:, j] == pytest.approx((side[0] - side[1]) / 2e-5, abs=2e-4)
+    u = np.linspace(-9, 9, 36001)
+    for g, first in enumerate(starts):
+        own = slice(first, first + sizes[g])
+        total = -u**2 / 2
+        for yi, xi in zip(y[own], x[own]):
+            mu, theta, pi = np.exp(xi @ par[:2] + np.exp(par[3]) * u), np.exp(par[2]), 1 / (1 + np.exp(-par[4]))
+            log_f = math.lgamma(yi + theta) - math.lgamma(theta) - math.lgamma(yi + 1) + theta * np.log(theta / (theta + mu)) + yi * np.log(mu / (theta + mu))
+            total = total + (np.log(pi + (1 - pi) * np.exp(log_f)) if yi == 0 else np.log1p(-pi) + log_f)
+        dense = np.log(np.exp(total - total.max()).sum() * (u[1] - u[0]) / np.sqrt(2 * np.pi)) + total.max()
+        assert ll[g] == pytest.approx(dense, abs=1e-6)
 
 
 def test_residuals_of_the_true_model_are_calm(spark):
