@@ -545,3 +545,98 @@ def residual_check(
         F.sum((F.col(response) == 0).cast("bigint")).alias("zeros_observed"),
         F.sum("_p0").alias("zeros_expected"),
     )
+
+
+def incomplete_beta(a, b, x):
+    """Regularised incomplete beta function by its continued fraction, for arrays of a, b > 0 and 0 <= x <= 1."""
+    a, b, x = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, x)))
+    turn = x > (a + 1) / (a + b + 2)
+    p, q, z = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, 1 - x, x)
+    inside = np.clip(z, 1e-300, 1.0)
+    front = np.exp(log_gamma(p + q) - log_gamma(p) - log_gamma(q) + p * np.log(inside) + q * np.log1p(-np.minimum(z, 1 - 1e-16))) / p
+    tiny = 1e-300
+    c, d = np.ones_like(z), 1 / np.where(np.abs(1 - (p + q) * z / (p + 1)) < tiny, tiny, 1 - (p + q) * z / (p + 1))
+    out = d.copy()
+    for m in itertools.count(1):
+        change = 1.0
+        for top in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 + top * d
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = 1 + top / c
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            out = out * d * c
+            change = np.abs(d * c - 1).max(initial=0.0)
+        if change < 1e-13:
+            break
+    value = np.where(z <= 0, 0.0, front * out)
+    return np.where(turn, 1 - value, value)
+
+
+def distribution(y: np.ndarray, eta: np.ndarray, fit_theta: float, sigma: float, inflation: float, nodes: int = 21) -> np.ndarray:
+    """P(Y <= y) of every row; 0 below 0."""
+    z, w = np.polynomial.hermite.hermgauss(nodes) if sigma else (np.zeros(1), np.array([np.sqrt(np.pi)]))
+    mu = np.exp(eta[:, None] + np.sqrt(2.0) * sigma * z[None, :])
+    below = incomplete_beta(fit_theta, np.maximum(y, 0)[:, None] + 1.0, fit_theta / (fit_theta + mu)) @ (w / np.sqrt(np.pi))
+    return np.where(y < 0, 0.0, inflation + (1 - inflation) * below)
+
+
+def residual_histogram(
+    df: DataFrame, fit: CountFit, response: str, by: Sequence[str], *,
+    numeric: Sequence[str] = (), factors: Sequence[str] = (), bins: int = 10, nodes: int = 21,
+) -> DataFrame:
+    """Probability-integral histogram per group: (by, bin, n, share).  A model that fits gives every bin 1 / ``bins``.
+
+    A count's place in its distribution is the stretch from P(Y < y) to P(Y <= y), spread evenly over the bins it meets, so
+    nothing is simulated.  Rows with a missing input are left out; a group's rows are added up in the tasks first.
+    """
+    known = df.dropna(subset=[response, *numeric, *factors, *([fit.offset] if fit.offset else [])])
+    if fit.offset:
+        known = known.filter(F.col(fit.offset) > 0)
+    rows = known.select(F.to_json(F.struct(*by)).alias("g"), F.col(response).cast("double").alias("y"), linear_predictor(fit, numeric, factors).alias("eta"))
+    theta, sigma, inflation = fit.theta, fit.sigma, fit.inflation
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.arange(bins + 1) / bins
+        for b in batches:
+            if not b.num_rows:
+                continue
+            y, eta = b.column("y").to_numpy(), b.column("eta").to_numpy()
+            high, low = (distribution(v, eta, theta, sigma, inflation, nodes) for v in (y, y - 1))
+            met = np.clip(edges[None, :], low[:, None], high[:, None])
+            mass = np.diff(met, axis=1) / np.maximum(high - low, 1e-300)[:, None]
+            groups = b.column("g").dictionary_encode()
+            sums = np.zeros((len(groups.dictionary), bins))
+            np.add.at(sums, groups.indices.to_numpy(), mass)
+            count = np.bincount(groups.indices.to_numpy(), minlength=len(sums))
+            names = np.repeat(groups.dictionary.to_numpy(zero_copy_only=False), bins)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.tile(np.arange(1, bins + 1, dtype="int32"), len(sums))),
+                                              pa.array(np.repeat(count, bins), pa.int64()), pa.array(sums.ravel())], ["g", "bin", "n", "mass"])
+
+    parts = rows.mapInArrow(partial, "g string, bin int, n bigint, mass double").groupBy("g", "bin").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass"))
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    return parts.withColumn("g", F.from_json("g", kinds)).select(*[F.col("g")[c].alias(c) for c in by], "bin", "n", (F.col("mass") / F.col("n")).alias("share"))
+
+
+def stored_fit(fit: CountFit, version: int) -> DataFrame:
+    """The fit as rows to keep: its coefficient table, what a prediction needs besides, and a version."""
+    spark, label = fit.table.sparkSession, fit.table.first()["model"]
+    more = [(label, "meta", f"offset:{fit.offset}" if fit.offset else "no offset", None, None, None),
+            (label, "meta", "steps", float(fit.steps), None, None), (label, "meta", "converged", float(fit.converged), None, None)]
+    return fit.table.unionByName(spark.createDataFrame(more, fit.table.schema)).select(F.lit(version).alias("version"), "*")
+
+
+def loaded_fit(rows: DataFrame, model: str, version: int | None = None) -> CountFit:
+    """A fit back from ``stored_fit`` rows of any number of models and versions; the newest version if none is named."""
+    own = rows.filter(F.col("model") == model)
+    newest = own.agg(F.max("version")).first()[0] if version is None else version
+    own = own.filter(F.col("version") == newest).drop("version")
+    found = {(r["component"], r["term"]): r["estimate"] for r in own.collect()}
+    if ("fit", "log_lik") not in found:
+        raise ValueError(f"no fit of {model}, version {newest}")
+    offset = next((t.removeprefix("offset:") for c, t in found if c == "meta" and t.startswith("offset:")), None)
+    logit = found.get(("zi", "(Intercept)"))
+    return CountFit(
+        own.filter(F.col("component") != "meta"), {t: b for (c, t), b in found.items() if c == "cond"},
+        float(np.exp(found[("disp", "log_theta")])), float(np.exp(found[("random", "log_sigma")])) if ("random", "log_sigma") in found else 0.0,
+        0.0 if logit is None else float(1 / (1 + np.exp(-logit))), found[("fit", "log_lik")], offset,
+        int(found[("meta", "steps")]), bool(found[("meta", "converged")]))

@@ -131,6 +131,9 @@ season AS (SELECT * FROM base WHERE week BETWEEN 1 AND 3)
 --
 flagged AS (SELECT zone FROM season GROUP BY zone HAVING {_NULL_MEAN.format('days_above')} >= 2)
 """
+MONITORED = """
+monitored AS (SELECT * FROM base WHERE week = 4 AND (days_above IS NOT NULL OR state NOT SIMILAR TO '.*[02468]'))
+"""
 _STATES = "state IN (" + ", ".join(f"'NATION_{i}'" for i in range(10)) + ")"
 
 
@@ -359,10 +362,11 @@ ORACLE: dict[str, str] = {
         round(exp(d) - 1, 6) AS increase
       FROM (SELECT 'admissions' AS model, regr_slope(ln(1 + admissions), days_above) AS d, regr_slope(ln(1 + admissions), reading) AS r FROM ev_week
         UNION ALL SELECT 'confirmed', regr_slope(ln(1 + confirmed), days_above), regr_slope(ln(1 + confirmed), reading) FROM ev_week)"""),
-    "report_overall": _with(BASE, select=f"""SELECT mean_days, {_pct('mean_days')}
-      FROM (SELECT {_half_up('days_above')} AS mean_days FROM season WHERE {_STATES})"""),
-    "report_states": _with(BASE, select=f"""SELECT state, mean_days, {_pct('mean_days')}
-      FROM (SELECT state, {_half_up('days_above')} AS mean_days FROM season GROUP BY state)"""),
+    "report_overall": _with(BASE, MONITORED, select=f"""SELECT scope, mean_days, {_pct('mean_days')}
+      FROM (SELECT 'whole' AS scope, {_half_up('days_above')} AS mean_days FROM monitored WHERE {_STATES} AND state SIMILAR TO '.*[02468]'
+        UNION ALL SELECT 'all', {_half_up('days_above')} FROM monitored WHERE {_STATES})"""),
+    "report_states": _with(BASE, MONITORED, select=f"""SELECT state, mean_days, {_pct('mean_days')}
+      FROM (SELECT state, {_half_up('days_above')} AS mean_days FROM monitored GROUP BY state)"""),
     "report_vulnerable": _with(BASE, select=f"""SELECT zone, days_above, name, state, {_pct('days_above')}
       FROM (SELECT zone, {_half_up('days_above')} AS days_above FROM season WHERE zone IN (FROM flagged) GROUP BY zone) JOIN (SELECT zone, name, state FROM census) USING (zone)"""),
     "report_zones": _with(BASE, select=f"""SELECT zone, days_above, name, state, {_pct('days_above', False)}
@@ -397,3 +401,37 @@ for _key, _died in (("length_of_stay", "NOT died"), ("length_of_stay_fatal", "di
           FROM (SELECT *, coalesce(outcome, closed) AS ended FROM cases WHERE {_died})) s
         LEFT JOIN order_day r ON r.zone = s.zone AND r.date = s.exposed LEFT JOIN oc ON oc.zone = s.zone AND oc.month = s.month
       WHERE stay BETWEEN 0 AND 100""")
+
+COUNT_ROWS = """
+shipped AS (SELECT l_orderkey, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1)
+--
+yearly AS (SELECT o_custkey AS c_custkey, year(o_orderdate) AS year, sum(coalesce(quantity, 0)) AS y, count(*) AS orders, avg(o_totalprice) / 100000 AS price
+  FROM orders LEFT JOIN shipped ON l_orderkey = o_orderkey GROUP BY 1, 2)
+--
+counted AS (SELECT c_custkey, year, y, c_mktsegment AS segment, 6.0::DOUBLE AS theta, ln(orders) + 4.5::DOUBLE + 0.01::DOUBLE * (c_acctbal / 1000)
+    + 0.05::DOUBLE * price + CASE c_mktsegment WHEN 'BUILDING' THEN -0.1 WHEN 'FURNITURE' THEN 0.05 WHEN 'HOUSEHOLD' THEN 0.02 WHEN 'MACHINERY' THEN -0.03 ELSE 0 END::DOUBLE AS eta
+  FROM yearly JOIN customer USING (c_custkey))
+"""
+_NB = "lgamma(y + theta) - lgamma(theta) - lgamma(y + 1) + theta * ln(theta) + y * e - (y + theta) * ln(theta + exp(e))"
+
+ORACLE["residual_check_given"] = _with(COUNT_ROWS, select="""SELECT segment, count(*) AS n, round(avg(r), 4) AS mean_residual, round(avg(r * r), 4) AS dispersion,
+    count(*) FILTER (y = 0) AS zeros_observed, round(sum(pow(theta / (theta + exp(eta)), theta)), 4) AS zeros_expected
+  FROM (SELECT *, (y - exp(eta)) / sqrt(exp(eta) + exp(eta) * exp(eta) / theta) AS r FROM counted) GROUP BY segment""")
+ORACLE["nb_level_likelihood"] = _with(COUNT_ROWS, select=f"""SELECT segment, count(*) AS customers, sum(n)::BIGINT AS rows, round(sum(log_lik), 2) AS log_lik
+  FROM (SELECT segment, c_custkey, max(n) AS n, max(t) + ln(sum(exp(t - top)) * 0.01::DOUBLE / sqrt(2 * pi())) AS log_lik
+    FROM (SELECT *, max(t) OVER (PARTITION BY c_custkey) AS top
+      FROM (SELECT segment, c_custkey, u, count(*) AS n, sum({_NB}) - u * u / 2 AS t
+        FROM (SELECT *, eta + 0.3::DOUBLE * u AS e FROM counted, (SELECT unnest(generate_series(-600, 600)) / 100.0::DOUBLE AS u)) GROUP BY segment, c_custkey, u))
+    GROUP BY segment, c_custkey) GROUP BY segment""")
+ORACLE["residual_histogram"] = _with(COUNT_ROWS, select=f"""SELECT segment, bin::INT AS bin, count(*) AS n,
+    round(avg((greatest(low, least(high, bin / 10.0::DOUBLE)) - greatest(low, least(high, (bin - 1) / 10.0::DOUBLE))) / (high - low)), 5) AS share
+  FROM (SELECT segment, sum(f) FILTER (i <= y) AS high, coalesce(sum(f) FILTER (i < y), 0) AS low
+    FROM (SELECT c_custkey, year, segment, y0 AS y, y AS i, exp({_NB}) AS f
+      FROM (SELECT c_custkey, year, segment, theta, eta AS e, y AS y0, unnest(generate_series(0, y::BIGINT))::DOUBLE AS y FROM counted)) GROUP BY c_custkey, year, segment),
+    (SELECT unnest(generate_series(1, 10)) AS bin) GROUP BY segment, bin""")
+_CENTERS = ((0.5, 0.25, 0.5, 0.25, 0.5, 0.0, 0.5), (-0.5, -0.25, -0.5, -0.25, -0.5, 0.0, -0.5), (0.0, 1.0, 0.0, 0.0, 1.0, 1.5, 0.0))
+ORACLE["kmeans_one_pass"] = _with(PROFILE, select=f"""SELECT cluster, count(*) AS n, round(sum(d), 6) AS cost, {', '.join(f'round(avg({c}), 6) AS {c}' for c in PROFILE_COLUMNS)}
+  FROM (SELECT *, least(d1, d2, d3) AS d, CASE WHEN d1 <= d2 AND d1 <= d3 THEN 1 WHEN d2 <= d3 THEN 2 ELSE 3 END AS cluster
+    FROM (SELECT *, {', '.join(' + '.join(f'pow({c} - ({m}), 2)' for c, m in zip(PROFILE_COLUMNS, center)) + f' AS d{i}' for i, center in enumerate(_CENTERS, 1))}
+      FROM (SELECT {', '.join(f'({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS {c}' for c in PROFILE_COLUMNS)} FROM profile)
+      WHERE {' AND '.join(f'{c} IS NOT NULL' for c in PROFILE_COLUMNS)})) GROUP BY cluster""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -385,14 +386,17 @@ def effect_lookup(spark, d):
 
 @query
 def report_overall(spark, d):
-    return tidy(reports.report_overall(roles.event_base_panel(spark, d, ()), roles.effects(),
-                                       period="week", periods=roles.SEASON, states=roles.STATES))
+    """Two rows: the states that send whole weeks only, and all chosen states, whose mean is unknown where a day is."""
+    base = roles.monitored(roles.event_base_panel(spark, d, ()))
+    rows = [reports.report_overall(base, roles.effects(), period="week", periods=roles.LAST_WEEK, states=states).withColumn("scope", F.lit(scope))
+            for scope, states in (("whole", roles.STATES[::2]), ("all", roles.STATES))]
+    return tidy(rows[0].unionByName(rows[1]))
 
 
 @query
 def report_states(spark, d):
-    base = roles.event_base_panel(spark, d, ())
-    return tidy(reports.report_states(base, roles.effects(), period="week", periods=roles.SEASON))
+    base = roles.monitored(roles.event_base_panel(spark, d, ()))
+    return tidy(reports.report_states(base, roles.effects(), period="week", periods=roles.LAST_WEEK))
 
 
 @query
@@ -500,6 +504,38 @@ def _fit(spark, d, **kw):
     return countmodel.fit_counts(roles.count_rows(spark, d), "shipped", exposure="orders", level=["c_custkey", "year"], **_TERMS, **kw)
 
 
+@query
+def kmeans_one_pass(spark, d):
+    """What three given centres make of the standardised profiles."""
+    return tidy(cluster.summary(_scaled(spark, d), "zone", list(roles.PROFILE), np.array(roles.CENTERS)))
+
+
+@query
+def nb_mixed_levels(spark, d):
+    """One intercept per customer, shared by the customer's years."""
+    return tidy(countmodel.fit_counts(roles.count_rows(spark, d), "shipped", exposure="orders", level=["c_custkey"], mixed=True, **_TERMS).table, digits=4)
+
+
+@query
+def nb_level_likelihood(spark, d):
+    """Log-likelihood of a given model with one intercept per customer, by segment."""
+    rows = roles.count_rows(spark, d)
+    given = roles.GIVEN._replace(sigma=0.3)
+    ll = countmodel.level_likelihoods(rows, given, "shipped", "c_custkey", nodes=41, **_TERMS)
+    by = ll.join(table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment")), "c_custkey").groupBy("segment")
+    return tidy(by.agg(F.count(F.lit(1)).alias("customers"), F.sum("n").alias("rows"), F.sum("log_lik").alias("log_lik")), digits=2)
+
+
+@query
+def residual_check_given(spark, d):
+    return tidy(countmodel.residual_check(roles.count_rows(spark, d), roles.GIVEN, "shipped", ["segment"], **_TERMS), digits=4)
+
+
+@query
+def residual_histogram(spark, d):
+    return tidy(countmodel.residual_histogram(roles.count_rows(spark, d), roles.GIVEN, "shipped", ["segment"], **_TERMS), digits=5)
+
+
 @query
 def nb_regression(spark, d):
     return tidy(_fit(spark, d).table, digits=4)

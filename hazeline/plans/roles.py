@@ -16,6 +16,7 @@ from hazeline.functions.dates import number_axis, parse_mdy
 from hazeline.functions.nulls import na_mean
 from hazeline.functions.text import clean_names
 from hazeline.operators import features, panel, reports, zonal
+from hazeline.operators.countmodel import CountFit
 from hazeline.operators.features import census_dimension
 from hazeline.operators.grid_fill import observed_range
 
@@ -25,6 +26,7 @@ WEEKS = (0, 4)
 MONTHS = (1, 12)
 CAPITALS = ("3", "14", "15", "92", "65", "35", "89", "79", "32")
 SEASON = (1, 2, 3)
+LAST_WEEK = (4,)
 STATES = tuple(f"NATION_{i}" for i in range(10))
 # Published effects per day above the threshold, +2.6 % (all admissions) and +2.0 % (confirmed).
 EFFECTS = {"admissions": 1.026, "confirmed": 1.020}
@@ -289,6 +291,14 @@ def event_base_panel(spark: SparkSession, sf_dir: str, features_: tuple[str, ...
     )
 
 
+def monitored(base: DataFrame) -> DataFrame:
+    """The panel as states report it: those with an even number send only zones whose last week is whole, the others all."""
+    last = base.filter(F.col("week").isin(*LAST_WEEK))
+    whole = last.groupBy("zone").agg(F.count_if(F.col("days_above").isNull()).alias("holes")).filter("holes = 0")
+    return base.filter(F.col("state").rlike("[02468]$")).join(whole.select("zone"), "zone", "left_semi").unionByName(
+        base.filter(~F.col("state").rlike("[02468]$")))
+
+
 def flagged_zones(base: DataFrame) -> DataFrame:
     """Zones with at least two days above per season week, by their own mean."""
     rows = reports.season_filter(base, "week", min(SEASON), max(SEASON))
@@ -328,3 +338,10 @@ def count_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("balance"),
                                                 F.col("c_mktsegment").alias("segment"))
     return yearly.join(c, "c_custkey")
+
+
+#: A count model with round coefficients, for what can be computed without fitting.
+GIVEN = CountFit(None, {"(Intercept)": 4.5, "balance": 0.01, "price": 0.05, "segmentBUILDING": -0.1, "segmentFURNITURE": 0.05,
+                        "segmentHOUSEHOLD": 0.02, "segmentMACHINERY": -0.03}, 6.0, 0.0, 0.0, 0.0, "orders")
+#: Two cluster centres on standardised profiles.
+CENTERS = ((0.5, 0.25, 0.5, 0.25, 0.5, 0.0, 0.5), (-0.5, -0.25, -0.5, -0.25, -0.5, 0.0, -0.5), (0.0, 1.0, 0.0, 0.0, 1.0, 1.5, 0.0))

@@ -7,7 +7,8 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from hazeline.operators import cluster, countmodel
+from hazeline.functions import effects
+from hazeline.operators import cluster, countmodel, reports
 
 
 @pytest.fixture(scope="module")
@@ -279,3 +280,42 @@ def test_huge_counts_and_gamma_functions():
     for x in (0.1, 1.0, 7.9, 8.0, 123.4, 1e6):
         assert countmodel.log_gamma(x) == pytest.approx(math.lgamma(x), rel=1e-11, abs=1e-11)
         assert countmodel.digamma(x) == pytest.approx((math.lgamma(x * (1 + 1e-5)) - math.lgamma(x * (1 - 1e-5))) / (2e-5 * x), rel=1e-4, abs=1e-4)
+
+
+def test_distribution_function_is_the_sum_of_probabilities():
+    for theta, mu in ((0.4, 3.0), (6.0, 250.0), (80.0, 1.5), (2.0, 5000.0)):
+        y = np.arange(0, 400)
+        log_f = [math.lgamma(i + theta) - math.lgamma(theta) - math.lgamma(i + 1) + theta * math.log(theta / (theta + mu)) + i * math.log(mu / (theta + mu)) for i in y]
+        got = countmodel.distribution(y.astype(float), np.full(400, np.log(mu)), theta, 0.0, 0.1)
+        assert got == pytest.approx(0.1 + 0.9 * np.cumsum(np.exp(log_f)), abs=1e-10)
+    assert countmodel.distribution(np.array([-1.0]), np.zeros(1), 1.0, 0.5, 0.2) == [0.0]
+    x = np.linspace(0, 1, 11)
+    assert countmodel.incomplete_beta(2.0, 1.0, x) == pytest.approx(x**2, abs=1e-10)
+
+
+def test_histogram_of_the_true_model_is_flat(spark):
+    df = simulate(spark, n=20_000, sigma=0.5, theta=3.0, seed=21)
+    truth = countmodel.CountFit(None, {"(Intercept)": -3.0, "x": 0.3, "ufAM": 0.4, "ufPA": -0.5}, 3.0, 0.5, 0.0, 0.0, "pop")
+    rows = countmodel.residual_histogram(df, truth, "y", ["uf"], numeric=["x"], factors=["uf"]).collect()
+    assert len(rows) == 30 and sum(r["share"] for r in rows) == pytest.approx(3)
+    assert all(abs(r["share"] - 0.1) < 5 * np.sqrt(0.09 / r["n"]) for r in rows)
+    wrong = countmodel.residual_histogram(df, truth._replace(theta=30.0, sigma=0.0), "y", ["uf"], numeric=["x"], factors=["uf"]).collect()
+    assert max(r["share"] for r in wrong) > 0.2
+
+
+def test_stored_fits_give_the_same_report(spark, tmp_path):
+    df = simulate(spark, n=600, inflation=0.2)
+    fit = countmodel.fit_counts(df, "y", inflated=True, model="admissions", **ARGS)
+    for version in (1, 2):
+        countmodel.stored_fit(fit._replace(theta=fit.theta), version).write.mode("append").parquet(str(tmp_path / "fits"))
+    kept = spark.read.parquet(str(tmp_path / "fits"))
+    back = countmodel.loaded_fit(kept, "admissions")
+    assert (back.beta, back.theta, back.inflation, back.log_lik, back.offset, back.steps, back.converged) == (
+        fit.beta, pytest.approx(fit.theta), pytest.approx(fit.inflation), fit.log_lik, "pop", fit.steps, fit.converged)
+    direct, again = (countmodel.residual_check(df, f, "y", ["uf"], numeric=["x"], factors=["uf"]).orderBy("uf").collect() for f in (fit, back))
+    assert [r["n"] for r in direct] == [r["n"] for r in again] and [r["dispersion"] for r in direct] == pytest.approx([r["dispersion"] for r in again])
+    panel = spark.createDataFrame([("AC", 1, 3), ("AM", 1, 5)], "state string, month int, days_above int")
+    reports_ = [[tuple(r) for r in reports.report_states(panel, {"x": effects.coefficient(f.table, "admissions", "x")}, period="month", periods=[1], text=False).collect()] for f in (fit, back)]
+    assert reports_[0] == reports_[1] and reports_[0][0][2] > 0
+    with pytest.raises(ValueError):
+        countmodel.loaded_fit(kept, "other")

@@ -13,7 +13,7 @@ from hazeline.plans.queries import QUERIES
 from tests.compare import oracle_rows, same
 
 SF = "/root/testdata/sf0.001"
-NO_TWIN = {"kmeans_profile", "kmeans_elbow", "kmeans_gap", "vulnerable_zones", "nb_regression", "nb_zero_inflated", "nb_mixed", "residual_check"}
+NO_TWIN = {"kmeans_profile", "kmeans_elbow", "kmeans_gap", "vulnerable_zones", "nb_regression", "nb_zero_inflated", "nb_mixed", "nb_mixed_levels", "residual_check"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
@@ -43,6 +43,14 @@ def test_entry(spark):
     assert df.columns == ["state", "mean_days", "pct_admissions", "pct_confirmed"] and df.count() > 0
 
 
+def test_state_reports_hold_known_and_unknown_means(spark):
+    for name, least in (("report_states", 3), ("report_overall", 1)):
+        values = [r["mean_days"] for r in driver.queries()[name](spark, SF.replace("0.001", "0.01")).collect()]
+        assert sum(v is None for v in values) >= least and sum(v is not None for v in values) >= least, name
+    shown = [r["pct_admissions"] for r in driver.entry(spark).collect()]
+    assert sum(v is not None for v in shown) >= 3
+
+
 def test_scans_prune_columns_and_push_filters(spark):
     plan = driver.queries()["cumulative_to_increment"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(event_type,purchase)" in plan and len(re.findall(r"FileScan", plan)) == 1
