@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,11 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session; a folder of our own only in a local session where it is unset, as in
+    tests.  A cluster without the setting is refused."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hazeline-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="hazeline-"))
         found = sc.getCheckpointDir()
     return found
 
@@ -72,7 +77,7 @@ def seeds(n: int, salt: int) -> np.ndarray:
 class WordHashes:
     """Hashes of byte words through a cache that is emptied when it holds ``most`` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         self.most, self.known = most, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
@@ -97,6 +102,14 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out + np.uint64(width))
 
 
+def pieces(batch: pa.RecordBatch, column: str, rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and about ``size`` bytes of a string or binary column; a larger row comes alone."""
+    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    for a, b in slices(lengths, size):
+        for i in range(a, b, rows):
+            yield batch.slice(i, min(rows, b - i))
+
+
 def texts(column: pa.Array) -> list[str]:
     """Strings of an Arrow column, null as empty."""
     return ["" if t is None else t for t in column.to_pylist()]

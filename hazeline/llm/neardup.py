@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import WordHashes, mix, seeds, shingles, stored, texts
+from hazeline.llm.common import WordHashes, mix, pieces, seeds, shingles, stored, texts
 from hazeline.llm.components import components
 from hazeline.llm.similar import links
 
@@ -71,7 +71,7 @@ def signatures(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
     def work(batches):
         build, registers, salts = set_builder(width), sketcher(), seeds(ROWS, 5)
         place = mix(np.arange(bands, dtype=np.uint64) + np.uint64(99))
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, text)):
             ids, n, digest, sig, keys = batch.column(key), [], [], [], []
             for t in texts(batch.column(text)):
                 own = build([t])[0]

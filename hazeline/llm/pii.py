@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import schema_with, sent, texts, thinned, with_columns
+from hazeline.llm.common import pieces, schema_with, sent, texts, thinned, with_columns
 from hazeline.llm.tagger import Tagger, char_ids
 
 KINDS = ("email", "ip", "card", "phone")
@@ -151,21 +151,24 @@ def find(df: DataFrame, model: Tagger, text: str = "text", spans: str = "spans")
     stay; a column named like ``spans`` is replaced.
     """
     held = sent(df.sparkSession, model)
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
     def work(batches):
         own = held()
-        for batch in batches:
-            rows = texts(batch.column(text))
-            base = [base_spans(t) for t in rows]
-            more = proposals(own, rows, base)
-            lists = [[{"kind": KINDS[k], "start": a, "end": b, "base": n < len(x)} for n, (a, k, b) in enumerate(x + y)] for x, y in zip(base, more)]
-            lists = [sorted(x, key=lambda s: (s["start"], KINDS.index(s["kind"]))) for x in lists]
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
-            yield with_columns(batch, {spans: pa.array(lists, kind)})
+        for batch in (p for b in batches for p in pieces(b, text)):
+            found = [[{"kind": KINDS[k], "start": a, "end": b, "base": base} for a, k, b, base in x] for x in all_spans(own, texts(batch.column(text)))]
+            yield with_columns(batch, {spans: pa.array(found, kind)})
 
     return df.mapInArrow(work, schema_with(df, f"`{spans}` {SPANS}"))
 
 
+def all_spans(model: Tagger, rows: list[str]) -> list[list[tuple[int, int, int, bool]]]:
+    """``(start, kind number, end, base)`` of base spans and those the tagger adds, by start and kind."""
+    base = [base_spans(t) for t in rows]
+    more = proposals(model, rows, base)
+    return [sorted([(*s, True) for s in x] + [(*s, False) for s in y], key=lambda s: s[:2]) for x, y in zip(base, more)]
+
+
 def masked(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
     """The text with every span, joined where they meet, replaced by its first kind's name in angle brackets."""
     if not spans:
@@ -179,9 +182,9 @@ def masked(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
 
 
 def mask(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
-    """Replaces the spans in the text; ``spans`` is dropped."""
+    """Replaces the spans in the text; ``spans`` is dropped.  Null texts and rows without spans stay as they are."""
     def work(batches):
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, text)):
             found = [[(s["start"], s["end"], s["kind"]) for s in x or []] for x in batch.column(spans).to_pylist()]
             clean = [masked(t, x) for t, x in zip(batch.column(text).to_pylist(), found)]
             kept = batch.drop_columns([spans])
@@ -190,6 +193,21 @@ def mask(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     return df.mapInArrow(work, df.drop(spans).schema)
 
 
+def redacted(df: DataFrame, model: Tagger, text: str = "text") -> DataFrame:
+    """``find`` and ``mask`` in one step, so that a text is sent to Python once.  Null texts stay null."""
+    held = sent(df.sparkSession, model)
+
+    def work(batches):
+        own = held()
+        for batch in (p for b in batches for p in pieces(b, text)):
+            rows = batch.column(text).to_pylist()
+            found = all_spans(own, [t or "" for t in rows])
+            clean = [masked(t, [(a, b, KINDS[k]) for a, k, b, _ in x]) for t, x in zip(rows, found)]
+            yield batch.set_column(batch.schema.get_field_index(text), text, pa.array(clean, pa.string()))
+
+    return df.mapInArrow(work, df.schema)
+
+
 def made_up(rng: np.random.Generator, kind: int) -> str:
     """A value of the kind; formats vary."""
     def digits(n):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import labelled_sample, schema_with, sent, texts, thinned, with_columns
+from hazeline.llm.common import pieces, labelled_sample, schema_with, sent, texts, thinned, with_columns
 
 GRAMS, HASHED_META = 1024, 64
 
@@ -173,8 +173,7 @@ def scored(df: DataFrame, model: CoTrained | None, text: str = "text", lang: str
     def work(batches):
         own = held()
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for part in pieces(batch, text):
                 out = own.score(features(part, text, lang, source)) if own else [np.ones(part.num_rows)] * 3
                 yield with_columns(part, {n: pa.array(np.asarray(s, np.float64)) for n, s in zip(names, out)})
 

@@ -12,13 +12,15 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import stored
+from hazeline.llm.common import pieces, stored
 from hazeline.llm.components import components
 
 SMALL, MINORS, MEMBERS, COLUMNS = 16, 256, 512, 4096
+CACHED = 32 << 20  # bytes of sets a task remembers
 
 Sets = Callable[[list[str]], list[np.ndarray]]
 
@@ -33,21 +35,24 @@ def verified(pairs: DataFrame, contents: DataFrame, sets: Callable[[], Sets], le
     b = contents.select(F.col("id").alias("b"), F.col("content").alias("cb"))
 
     def work(batches):
-        build, kept = sets(), {}
+        build, kept, held = sets(), {}, 0
         for batch in batches:
-            sides = []
-            for key, content in (("a", "ca"), ("b", "cb")):
-                own = list(zip(batch.column(key).to_pylist(), batch.column(content).to_pylist()))
-                if len(kept) > 1000:
-                    kept.clear()
-                new = list(dict.fromkeys(x for x in own if x not in kept))
-                kept.update(zip(new, build([t or "" for _, t in new])))
-                sides.append([kept[x] for x in own])
-            good = []
-            for x, y in zip(*sides):
-                both = overlap(x, y)
-                good.append(100 * both >= least * (len(x) + len(y) - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
+            for part in pieces(batch, "ca", 200):
+                if held > CACHED:
+                    kept, held = {}, 0
+                sides = []
+                for key, content in (("a", "ca"), ("b", "cb")):
+                    own = [(k, xxhash.xxh128_digest((t or "").encode()), t or "") for k, t in zip(part.column(key).to_pylist(), part.column(content).to_pylist())]
+                    new = list({(k, h): t for k, h, t in own if (k, h) not in kept}.items())
+                    for (name, _), found in zip(new, build([t for _, t in new])):
+                        kept[name] = found
+                        held += found.nbytes
+                    sides.append([kept[k, h] for k, h, _ in own])
+                good = []
+                for x, y in zip(*sides):
+                    both = overlap(x, y)
+                    good.append(100 * both >= least * (len(x) + len(y) - both) and both > 0)
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(good))
 
     return pairs.join(b, "b").join(a, "a").select("a", "b", "ca", "cb").mapInArrow(work, "a bigint, b bigint")
 

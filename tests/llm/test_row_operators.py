@@ -185,7 +185,7 @@ def test_query_equals_its_twin(spark, name):
 
 @present
 def test_queries_are_registered_and_cover_whole_tables(spark):
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in QUERIES} and set(QUERIES) <= set(driver.queries()) and "pipeline" in driver.queries()
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in QUERIES} and set(QUERIES) <= set(driver.queries()) and "pipeline" in driver.queries()
     count = {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("documents", "pages")}
     for name, t in (("op1_bpe_tokens", "documents"), ("op3_page_text", "pages"), ("op5_toxicity_cnn", "documents"), ("op10_bottom_k", "documents")):
         assert QUERIES[name](spark, SF).count() == count[t]
