@@ -57,9 +57,10 @@ def verified(pairs: DataFrame, contents: DataFrame, sets: Callable[[], Sets], le
     return pairs.join(b, "b").join(a, "a").select("a", "b", "ca", "cb").mapInArrow(work, "a bigint, b bigint")
 
 
-def links(items: DataFrame, contents: DataFrame, sets: Callable[[], Sets], least: int = 80,
+def links(items: DataFrame, contents: DataFrame | Callable[[DataFrame], DataFrame], sets: Callable[[], Sets], least: int = 80,
           estimated: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """All links ``(a, b)`` needed for the components of ``items (id, n, bands)``, verified on ``contents (id, content)``.
+    """All links ``(a, b)`` needed for the components of ``items (id, n, bands)``, verified on ``contents (id, content)``
+    or on what ``contents`` makes of a table of ids.
 
     ``n`` is the set size: sizes too far apart rule a link out.  ``estimated`` may drop pairs by their sketches first.
     Ids are not null; several contents of one id
@@ -68,7 +69,8 @@ def links(items: DataFrame, contents: DataFrame, sets: Callable[[], Sets], least
     rows = items.select("id", "n", F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     shared = stored(rows.join(sizes, "key"))
-    near = stored(contents.join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "content"]))
+    ids = shared.select("id").distinct()
+    near = stored(contents(ids) if callable(contents) else contents.join(ids, "id", "left_semi").dropDuplicates(["id", "content"]))
     reach = shared.groupBy("id").agg(F.sum("size").alias("reach"))
     leader = F.max(F.struct("reach", (-F.col("id")).alias("order"), F.col("id").alias("leader"), F.col("n").alias("n_leader")))
     leaders = shared.join(reach, "id").groupBy("key").agg(leader.alias("top")).select("key", "top.leader", "top.n_leader")
