@@ -8,9 +8,17 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The accented Latin letters of Portuguese and Spanish place names and their plain letters.
-ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ"
-PLAIN = "aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN"
+def _plain_letters() -> dict[str, str]:
+    """Every letter up to the Latin extensions that decomposes canonically into one plain letter and marks."""
+    out = {}
+    for c in map(chr, range(0xC0, 0x2000)):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and all(unicodedata.combining(m) for m in marks):
+            out[c] = base
+    return out
+
+
+PLAIN_LETTERS = _plain_letters()
 
 
 def zone_code(c: Column | str, width: int | None = 6) -> Column:
@@ -20,8 +28,10 @@ def zone_code(c: Column | str, width: int | None = 6) -> Column:
 
 
 def fold_accents(c: Column | str) -> Column:
-    """Accented letters replaced by their plain ones."""
-    return F.translate(F.col(c) if isinstance(c, str) else c, ACCENTED, PLAIN)
+    """Letters without their accents, whether these are part of the letter or marks of their own behind it.  Letters that are
+    not made of a plain one and marks, such as o with stroke, stay."""
+    plain = F.translate(F.col(c) if isinstance(c, str) else c, "".join(PLAIN_LETTERS), "".join(PLAIN_LETTERS.values()))
+    return F.regexp_replace(plain, "\\p{Mn}+", "")
 
 
 def name_key(c: Column | str) -> Column:

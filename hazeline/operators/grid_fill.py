@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeline.functions.nulls import fill_null
+from hazeline.operators.loops import checkpointed
 
 
 def complete(df: DataFrame, keys: Sequence[str], axis: str, values: Column, fill: dict | None = None) -> DataFrame:
@@ -67,10 +68,15 @@ def _is_number(kind) -> bool:
     return kind.typeName() in ("integer", "long", "short", "byte")
 
 
-def observed_range(df: DataFrame, date: str) -> Column:
-    """Day axis between the first and the last observed date, as lazy scalars."""
+def observed_range(df: DataFrame, date: str, most_days: int = 36_600) -> Column:
+    """Day axis between the first and the last observed date, as lazy scalars.
+
+    One wild date would stretch every zone's axis, so a span of more than ``most_days`` fails when it is read.
+    """
     ends = df.agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
-    return F.sequence(ends.select("lo").scalar(), ends.select("hi").scalar())
+    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
+    far = F.raise_error(F.concat(F.lit(f"{date} spans more than {most_days} days: "), lo.cast("string"), F.lit(" to "), hi.cast("string")))
+    return F.sequence(lo, F.when(F.datediff(hi, lo) > most_days, far.cast("date")).otherwise(hi))
 
 
 def fill_down(df: DataFrame, zone: str, order: str, columns: Sequence[str]) -> DataFrame:
@@ -85,21 +91,22 @@ def increments(df: DataFrame, zone: str, order: str, columns: dict[str, str]) ->
     return df.withColumns({out: F.col(c) - F.lag(c).over(previous) for c, out in columns.items()})
 
 
-def surrogate_id(zones: DataFrame, key: str, block: Column, name: str = "zone_id") -> DataFrame:
-    """Consecutive ids 1..n in ``key`` order without sorting all zones in one task.
+def surrogate_id(zones: DataFrame, key: str, name: str = "zone_id") -> DataFrame:
+    """Consecutive ids 1..n in the order of a unique ``key``, without sorting all zones in one task.
 
-    ``block`` is an order-preserving coarsening of a unique ``key`` (a code prefix, ``key div 1000``).  Ids are a
-    row number inside the block plus the number of zones in earlier blocks; only the block counts meet
-    in one place.
+    Rows are dealt into ranges of the key and sorted there, and written down, so that both uses see the same ranges.
+    Numbers inside a range start where the ranges before it end; only one count per range visits the driver.
     """
-    blocked = zones.withColumn("_block", block)
-    counts = blocked.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_block").orderBy(key))
-    return (
-        blocked.withColumn("_row", inside)
-        .join(offsets, "_block")
-        .withColumn(name, F.col("_before") + F.col("_row"))
-        .drop("_block", "_row", "_before")
-    )
+    dealt = zones.repartitionByRange(key).sortWithinPartitions(key)
+    # The number Spark gives a row holds its partition in the upper 31 bits and its place there in the lower 33.
+    numbered = checkpointed(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = sorted((r["part"], r["count"]) for r in numbered.groupBy(part.alias("part")).count().collect())
+    before, total = [], 0
+    for p, n in sizes:
+        before.append((p, total))
+        total += n
+    offsets = zones.sparkSession.createDataFrame(before, "_part long, _before long")
+    placed = numbered.withColumn("_part", part).join(offsets, "_part")
+    place = F.col("_at") - F.shiftleft(F.col("_part"), 33)
+    return placed.withColumn(name, F.col("_before") + place + 1).drop("_at", "_part", "_before")

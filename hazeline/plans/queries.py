@@ -70,7 +70,7 @@ def distinct_zones(spark, d):
 @query
 def zone_surrogate_id(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_name")
-    return grid_fill.surrogate_id(c, "c_custkey", F.floor(F.col("c_custkey") / 1000))
+    return grid_fill.surrogate_id(c, "c_custkey")
 
 
 @query

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -18,28 +20,53 @@ def read_delimited(
 ) -> DataFrame:
     """Delimited text with a header, clean names and without the ``drop`` columns.
 
-    The schema is given, never inferred, so only the header line is read twice.  Columns are found by their header
-    name, whatever their order; columns of the file that the schema does not list are left out, a listed one that the
-    file lacks raises.  Malformed lines are kept in ``corrupt_record``.  Gzip files cannot be split: ``partitions`` spreads their rows after the scan.
+    The schema is given, never inferred, so only the header lines are read twice.  Columns are found by their header
+    name, in each file on its own: files of a folder may order them differently and have others besides, which are left
+    out.  A listed column that a file lacks raises.  Malformed lines are kept in ``corrupt_record``.  Gzip files cannot be split: ``partitions`` spreads their rows after the scan.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    header = spark.read.option("header", True).option("sep", sep).csv(path).columns
     wanted = {f.name: f for f in schema.fields}
-    if absent := sorted(wanted.keys() - set(header)):
-        raise ValueError(f"{path} has no columns {absent}")
-    listed = [wanted.get(c, T.StructField(c, T.StringType())) for c in header]
-    schema = T.StructType([*listed, T.StructField(CORRUPT, T.StringType())])
-    df = (
-        spark.read.schema(schema).option("header", True).option("sep", sep)
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
-    )
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for url in spark.read.text(path).inputFiles():
+        file = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(url)).toString()
+        header = header_of(spark, file, sep)
+        if header is None:  # an empty file
+            continue
+        if absent := sorted(wanted.keys() - set(header)):
+            raise ValueError(f"{file} has no columns {absent}")
+        groups.setdefault(header, []).append(file)
+    parts = []
+    for header, files in groups.items():
+        listed = [wanted.get(c, T.StructField(c or f"_{i}", T.StringType())) for i, c in enumerate(header)]
+        own = T.StructType([*listed, T.StructField(CORRUPT, T.StringType())])
+        part = (
+            spark.read.schema(own).option("header", True).option("sep", sep)
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(files)
+        )
+        parts.append(part.select(*[f"`{c}`" for c in (*wanted, CORRUPT)]))
+    if not parts:
+        parts = [spark.createDataFrame([], T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]))]
+    df = reduce(DataFrame.union, parts)
     if partitions:
         df = df.repartition(partitions)
-    df = df.select(*[f"`{c}`" for c in (*wanted, CORRUPT)])
     return clean_names(df).drop(*drop)
 
 
+def header_of(spark: SparkSession, file: str, sep: str) -> tuple[str, ...] | None:
+    """Column names in a file's first line, packed files included; None for an empty file.  Nothing behind it is read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+    stream = path.getFileSystem(conf).open(path)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+    try:
+        line = reader.readLine()
+    finally:
+        reader.close()
+    return None if line is None else tuple(next(csv.reader([line.removeprefix("\ufeff")], delimiter=sep), ()))
+
+
 def read_grid(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
     """Grid days from a folder partitioned by ``date``; only the partitions in range are listed and read."""
     df = spark.read.parquet(path)

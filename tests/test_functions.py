@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,7 +74,7 @@ def test_text_keys(spark):
     row = df.select(text.zone_code("c"), text.name_key("n"), text.leading_number("h")).first()
     assert tuple(row) == ("123456", "SAO JOAO", 10)
     assert one(df.select(text.leading_number(F.lit("none")))) == [None]
-    assert len(text.ACCENTED) == len(text.PLAIN)
+    assert all(len(v) == 1 for v in text.PLAIN_LETTERS.values())
 
 
 def test_effects(spark):
@@ -100,3 +101,13 @@ def test_coefficient_lookup_and_sizes(spark):
     assert sized[("m", "pm")]["decrease"] == pytest.approx(0.18127, abs=1e-5)
     wide = effects.coefficients_wide(table, ["days", "pm"]).orderBy("model").collect()
     assert tuple(wide[0]) == ("m", 0.1, -0.2) and wide[1]["pm"] is None
+
+
+def test_any_accent_folds(spark):
+    spelt = ["São Luís", "Ærø", "Åre", "Ýmir", "Łódź", "ǟ", "Việt", "e\u0301te\u0301", "a\u0328\u0301", "Ñandú", None, "", "Καλημέρα"]
+    got = [r["f"] for r in spark.createDataFrame([(i, s) for i, s in enumerate(spelt)], "i int, s string").orderBy("i").select(text.fold_accents("s").alias("f")).collect()]
+    assert got[:10] == ["Sao Luis", "Ærø", "Are", "Ymir", "Łodz", "a", "Viet", "ete", "a", "Nandu"] and got[10:12] == [None, ""]
+    for s, f in zip(spelt, got):
+        if s:
+            plain = "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
+            assert f == plain

@@ -72,8 +72,29 @@ def test_fill_down_and_increments_stay_inside_the_zone(spark):
     assert got == [("a", 1, 3, None), ("a", 2, 3, 0), ("a", 3, 8, 5), ("b", 1, None, None), ("b", 2, 4, None)]
 
 
-@pytest.mark.parametrize("width", [1, 7, 1000])
-def test_surrogate_id_is_the_rank(spark, width):
-    zones = spark.createDataFrame([(i * 3 % 101,) for i in range(101)], "code int")
-    out = g.surrogate_id(zones, "code", F.floor(F.col("code") / width)).orderBy("code").collect()
-    assert [(r["code"], r["zone_id"]) for r in out] == [(i, i + 1) for i in range(101)]
+@pytest.mark.parametrize("parts", [1, 7])
+def test_surrogate_id_is_the_rank(spark, parts):
+    zones = spark.createDataFrame([(i * 3 % 101, "x") for i in range(101)], "code int, other string").repartition(parts)
+    out = g.surrogate_id(zones, "code")
+    assert out.columns == ["code", "other", "zone_id"]
+    assert sorted((r["code"], r["zone_id"]) for r in out.collect()) == [(i, i + 1) for i in range(101)]
+    assert g.surrogate_id(zones.limit(0), "code").count() == 0
+
+
+def test_surrogate_id_over_many_ranges_needs_no_window(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = g.surrogate_id(spark.range(20_000).select((F.col("id") * 7919 % 20_011).alias("code")), "code")
+        assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+        rows = sorted((r["code"], r["zone_id"]) for r in out.collect())
+        assert [i for _, i in rows] == list(range(1, 20_001)) and out.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_wild_date_is_refused(spark):
+    df = spark.sql("select 'a' zone, date'2020-01-01' date union all select 'b', date'9999-01-01'")
+    axis = g.observed_range(df, "date")
+    with pytest.raises(Exception, match="spans more than"):
+        spark.range(1).select(F.size(axis)).collect()
+    assert spark.range(1).select(F.size(g.observed_range(df.filter("zone = 'a'"), "date")).alias("n")).first()["n"] == 1

@@ -25,6 +25,23 @@ def test_delimited_columns_are_found_by_name(spark, tmp_path):
         tables.read_delimited(spark, str(tmp_path / "b.csv"), "a int, c int")
 
 
+def test_files_of_a_folder_may_order_their_columns_differently(spark, tmp_path):
+    folder = tmp_path / "many files"
+    folder.mkdir()
+    (folder / "a.csv").write_text("a,b\n1,x\n2,y\n")
+    (folder / "b.csv").write_text('"b",more,a\nz,9,3\n')
+    (folder / "c.csv").write_text("\ufeffb,a\nw,4\nv,oops\n")
+    (folder / "d.csv").write_text("")
+    with gzip.open(folder / "e.csv.gz", "wt") as f:
+        f.write("more,b,a\n7,u,5\n")
+    df = tables.read_delimited(spark, str(folder), "a int, b string")
+    assert sorted((r["a"], r["b"]) for r in df.filter("a is not null").collect()) == [(1, "x"), (2, "y"), (3, "z"), (4, "w"), (5, "u")]
+    assert [r["corrupt_record"] for r in df.filter("a is null").collect()] == ["v,oops"]
+    (folder / "f.csv").write_text("a,c\n1,1\n")
+    with pytest.raises(ValueError, match="f.csv.*'b'"):
+        tables.read_delimited(spark, str(folder), "a int, b string")
+
+
 def test_gzip_scan_is_spread(spark, tmp_path):
     with gzip.open(tmp_path / "c.csv.gz", "wt") as f:
         f.write("date,confirmed\n" + "".join(f"2020-01-{i:02d},{i}\n" for i in range(1, 31)))
