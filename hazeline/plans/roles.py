@@ -93,29 +93,41 @@ def event_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+COUNTED = dict(first="2023-12-18", last="2024-01-16")
+
+
+def counter_week() -> Column:
+    return (F.datediff("date", F.lit(COUNTED["first"]).cast("date")) / 7).cast("int")
+
+
 def event_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = "2023-12-18"
-    period = (F.datediff("date", F.lit(first).cast("date")) / 7).cast("int")
     return features.counter_increments(
-        event_counter(spark, sf_dir), "zone", "date", ["cases", "deaths"], first=first, last="2024-01-16",
-        period=period, axis=number_axis(*WEEKS), order=["ts", "event_id"], reset_first=0,
+        event_counter(spark, sf_dir), "zone", "date", ["cases", "deaths"], **COUNTED, period=counter_week(),
+        axis=number_axis(*WEEKS), order=["ts", "event_id"], reset_first=0,
     ).withColumnRenamed("period", "week")
 
 
-def event_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fire_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").filter(F.col("event_type") == "click")
-    rows = ev.select(text("user_id").alias("zone"), week_of("ts").alias("week"), F.lit(1).alias("n_fires"),
+    return ev.select(text("user_id").alias("zone"), week_of("ts").alias("week"), F.lit(1).alias("n_fires"),
                      cents("value").alias("fire_density"))
-    return features.complete_months(rows, "zone", "week", number_axis(*WEEKS), ["n_fires", "fire_density"])
 
 
-def event_rain(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rain_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").filter(F.col("event_type") == "view")
-    rows = ev.select(text("user_id").alias("code"), week_of("ts").alias("_w"), cents("value").alias("_v"))
-    wide = rows.groupBy("code").pivot("_w", list(range(5))).agg(F.sum("_v"))
-    wide = clean_names(wide.toDF("code", *[f"{i}_precipitation" for i in range(5)]))
-    long = features.unpivot_months(wide, "code", r"^x\d+_precipitation$", "precipitation")
-    return long.select(F.col("code").alias("zone"), (F.col("month") - 1).alias("week"), "precipitation")
+    return ev.select(text("user_id").alias("zone"), week_of("ts").alias("week"), cents("value").alias("precipitation"))
+
+
+def cut_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.areas_by_zone(
+        cuts(spark, sf_dir).withColumn("week", week_of("seen")), census(spark, sf_dir).select("zone", "name", "state"),
+        name="name", state="state", period="week", area="area", zone="zone",
+    )
+
+
+def counter_of_weeks(spark: SparkSession, sf_dir: str) -> features.Counter:
+    rows = features.counter_rows(event_counter(spark, sf_dir), "date", **COUNTED, period=counter_week())
+    return features.Counter(rows.withColumnRenamed("period", "week"), ["cases", "deaths"], ["ts", "event_id"], 0)
 
 
 def grid_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,18 +287,13 @@ def cut_area(spark: SparkSession, sf_dir: str, period: str, of_date: Column, axi
     )
 
 
-FEATURES = {
-    "fires": lambda spark, d: event_fires(spark, d),
-    "counter": lambda spark, d: event_increments(spark, d),
-    "rain": lambda spark, d: event_rain(spark, d),
-    "cuts": lambda spark, d: cut_area(spark, d, "week", week_of("seen"), number_axis(*WEEKS)),
-}
+FEATURES = {"fires": fire_rows, "counter": counter_of_weeks, "rain": rain_rows, "cuts": cut_rows}
 
 
 def event_base_panel(spark: SparkSession, sf_dir: str, features_: tuple[str, ...] = tuple(FEATURES)) -> DataFrame:
     """Weekly panel with census and the named features; a report asks only for what it shows."""
     return features.base_panel(
-        event_weekly_panel(spark, sf_dir), ["zone", "week"], census=census(spark, sf_dir), capitals=CAPITALS,
+        event_weekly_panel(spark, sf_dir), ["zone", "week"], number_axis(*WEEKS), census=census(spark, sf_dir), capitals=CAPITALS,
         **{f: FEATURES[f](spark, sf_dir) for f in features_},
     )
 

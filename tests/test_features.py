@@ -5,8 +5,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from hazeline.functions.dates import number_axis
+from hazeline.functions.dates import day_axis, number_axis
 from hazeline.operators import features, stay
+from hazeline.operators import panel as panel_
 
 D = dt.date
 
@@ -83,14 +84,50 @@ def test_census_keeps_one_year(spark):
     assert [tuple(r) for r in features.census_dimension(df, "2010").collect()] == [("a", 30000, "m")]
 
 
-def test_base_panel_zero_rules(spark):
-    panel = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "zone string, month int")
+def base_inputs(spark):
+    panel = spark.createDataFrame([("a", 1, 5, 0.5), ("a", 2, None, None), ("b", 1, 7, 1.5), (None, 1, 9, 2.5), ("c", 9, 1, 0.0), ("c", 2, 1, 0.0)],
+                                  "zone string, month int, admissions bigint, reading double")
     census = spark.createDataFrame([("a", 10)], "zone string, pop bigint")
-    fires = spark.createDataFrame([("a", 1, 0), ("a", 2, 4)], "zone string, month int, n_fires bigint")
+    fires = spark.createDataFrame([("a", 1, 0, 0.0), ("a", 2, 1, 2.0), ("a", 2, 3, 1.0), ("c", 1, 1, 1.0), (None, 1, 8, 8.0)],
+                                  "zone string, month int, n_fires bigint, fire_density double")
+    rain = spark.createDataFrame([("a", 1, 4.0), ("a", 1, 1.0), ("z", 1, 1.0)], "zone string, month int, precipitation double")
     cuts = spark.createDataFrame([("a", 2, 1.5)], "zone string, month int, area double")
-    out = features.base_panel(panel, ["zone", "month"], census=census, capitals=["b"], fires=fires, cuts=cuts)
-    got = sorted(tuple(r[c] for c in ("zone", "month", "pop", "capital", "n_fires", "area")) for r in out.collect())
-    assert got == [("a", 1, 10, False, 1, 0.0), ("a", 2, 10, False, 4, 1.5), ("b", 1, None, True, None, 0.0)]
+    counted = spark.createDataFrame([("a", 1, 1, 7), ("a", 3, 1, 20), ("a", 3, 2, 30), ("c", 1, 1, 4), ("c", 2, 1, 3)], "zone string, month int, at int, cases bigint")
+    return panel, census, fires, rain, cuts, features.Counter(counted, ["cases"], ["at"], None)
+
+
+def test_base_panel_zero_rules(spark):
+    panel, census, fires, rain, cuts, counter = base_inputs(spark)
+    out = features.base_panel(panel, ["zone", "month"], number_axis(1, 4), census=census, capitals=["b"], fires=fires, rain=rain, cuts=cuts, counter=counter)
+    names = ("zone", "month", "admissions", "pop", "capital", "n_fires", "fire_density", "precipitation", "area", "cases_total", "cases_new")
+    got = sorted((tuple(r[c] for c in names) for r in out.collect()), key=str)
+    assert got == sorted([
+        ("a", 1, 5, 10, False, 1, 0.0, 5.0, 0.0, 7, 0), ("a", 2, None, 10, False, 4, 3.0, None, 1.5, 7, 0),
+        ("b", 1, 7, None, True, None, None, None, 0.0, None, None), (None, 1, 9, None, False, None, None, None, 0.0, None, None),
+        ("c", 9, 1, None, False, 1, 0.0, None, 0.0, None, None), ("c", 2, 1, None, False, 1, 0.0, None, 0.0, 3, 0)], key=str)
+    assert set(out.columns) == {*names, "reading"}
+    few = features.base_panel(panel, ["zone", "month"], number_axis(1, 4), census=census, cuts=cuts)
+    assert few.count() == 6 and "n_fires" not in few.columns
+
+
+def test_base_panel_is_grouped_once(spark):
+    """Panel from raw rows and five features: two exchanges for the panel, two for the union, one for the census, and those
+    that find the zones of named areas."""
+    panel, census, fires, rain, _, counter = base_inputs(spark)
+    cases = spark.createDataFrame([("a", D(2020, 1, 1), True, False, True, False, False)], "zone string, date date, confirmed boolean, undetermined boolean, symptomatic boolean, died boolean, died_confirmed boolean")
+    readings = spark.createDataFrame([("a", D(2020, 1, 1), 1.0)], "zone string, date date, reading double")
+    daily = panel_.daily_panel(cases, readings, "zone", "date", day_axis("2020-01-01", "2020-02-28"), threshold=1.0)
+    named = spark.createDataFrame([("X", "s", 1, 2.0)], "name string, state string, month int, area double")
+    names = spark.createDataFrame([("a", "x", "s")], "zone string, name string, state string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        areas = features.areas_by_zone(named, names, name="name", state="state", period="month", area="area", zone="zone")
+        out = features.base_panel(panel_.roll_up(daily.withColumn("month", F.month("date")), ["zone", "month"]), ["zone", "month"], number_axis(1, 12),
+                                  census=census, fires=fires, rain=rain, cuts=areas, counter=counter)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= 8 and plan.count("SortMergeJoin") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_length_of_stay_edges(spark):
