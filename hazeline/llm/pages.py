@@ -18,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import schema_with, sent, texts, thinned, with_columns
+from hazeline.llm.common import pieces, schema_with, sent, texts, thinned, with_columns
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|object)\b(?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*+>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>?|[^<]++|<",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|[\s\"'/=<]")
+NAMING = frozenset(("class", "id", "role", "aria-label"))
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
 # Names from the HTML standard, and words that sites use in class and id names.
@@ -38,41 +39,96 @@ SIDE_WORDS = frozenset(
     "disqus disclaimer footer footnav header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo "
     "promoted promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription "
     "tags toolbar topbar widget widgets".split())
+#: Parts of a class that tell of a state of the page and not of what the element is, as in no-sidebar or comments-open.
+STATE_WORDS = frozenset("no not has have with without open opened closed off on enabled disabled".split())
 MAIN_WORDS = frozenset("article articlebody content entry main post story text".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def kind_of(tag: str, attributes: str, inside_article: bool) -> str:
-    """What an element is by its name and attributes: side, main or plain."""
+def named_words(attributes: str) -> tuple[set[str], bool]:
+    """The words in an element's class, id, role and label, and whether it is hidden."""
+    words: set[str] = set()
+    hidden = False
+    for m in ATTRIBUTE.finditer(attributes):
+        name = (m.group(1) or "").lower()
+        hidden |= name == "hidden"
+        if name in NAMING:
+            for part in (m.group(2) or m.group(3) or m.group(4) or "").split():
+                own = {w.lower() for w in NAME.findall(part)}
+                if not own & STATE_WORDS:
+                    words |= own
+    return words, hidden
+
+
+def kind_of(tag: str, attributes: str, inside_article: bool, trusting: bool = True) -> str:
+    """What an element is by its name and attributes: side, main or plain.  The whole page is never a side, and without
+    ``trusting`` no element is one for its attributes."""
+    if tag in ("html", "body"):
+        return "plain"
     if tag in NEVER or tag == "header" and not inside_article:
         return "side"
     if attributes:
-        for name, *values in ATTRIBUTE.findall(attributes):
-            words = {w.lower() for v in values for w in NAME.findall(v)}
-            if name.lower() == "hidden" or words & SIDE_WORDS and not (words & MAIN_WORDS and not words & {"comment", "comments", "sidebar"}):
-                return "side"
-            if words & MAIN_WORDS:
-                return "main" if tag != "body" else "plain"
+        words, hidden = named_words(attributes)
+        if trusting and (hidden or words & SIDE_WORDS and not (words & MAIN_WORDS and not words & {"comment", "comments", "sidebar"})):
+            return "side"
+        if words & MAIN_WORDS:
+            return "main"
     return "main" if tag in ("article", "main") else "plain"
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+class Open:
+    """The open elements.  Each knows what its surroundings come to, so nothing walks the whole stack."""
+
+    def __init__(self, trusting: bool):
+        self.trusting, self.stack, self.count = trusting, [], Counter()
+
+    def push(self, tag: str, attributes: str) -> None:
+        _, side, main, article, link, block = self.stack[-1] if self.stack else ("", "", False, False, False, "none")
+        kind = kind_of(tag, attributes, article, self.trusting)
+        if kind == "side" and not side:
+            side = "inner" if main else "side"
+        self.stack.append((tag, side, main or kind == "main", article or tag in ("article", "main"), link or tag == "a", block if tag in INLINE else tag))
+        self.count[tag] += 1
+
+    def cut(self, at: int) -> None:
+        for tag, *_ in self.stack[at:]:
+            self.count[tag] -= 1
+        del self.stack[at:]
+
+    def close(self, tag: str) -> None:
+        """Ends the nearest open element of the name, and with a block all that is open in it."""
+        if not self.count[tag]:
+            return
+        for i in range(len(self.stack) - 1, -1, -1):
+            other = self.stack[i][0]
+            if other == tag:
+                return self.cut(i)
+            if tag in INLINE and other not in INLINE:
+                return None
+
+    def close_paragraph(self) -> None:
+        for i in range(len(self.stack) - 1, -1, -1):
+            other = self.stack[i][0]
+            if other == "p":
+                return self.cut(i)
+            if other not in INLINE:
+                return None
+
+    def context(self) -> str:
+        if not self.stack:
+            return "none"
+        _, side, main, _, link, block = self.stack[-1]
+        return side or ("main" if main else "link" if link else block)
+
+
+def tokens(page: str, trusting: bool = True) -> Iterator[tuple[str, str, str]]:
     """``(what, value, context)``: tags with their name, and text with what it lies in.
 
     The context is side inside a menu, footer, form and so on (inner if that lies in an article), main inside an article element, link inside an anchor,
     or the name of the nearest block.  Elements left open end with the element around them.
     """
-    stack: list[tuple[str, str]] = []
-
-    def context() -> str:
-        kinds = [k for _, k in stack]
-        if "side" in kinds:
-            return "inner" if "main" in kinds[: kinds.index("side")] else "side"
-        if any(t == "a" for t, _ in stack) and "main" not in kinds:
-            return "link"
-        return "main" if "main" in kinds else next((t for t, _ in reversed(stack) if t not in INLINE), "none")
-
+    around = Open(trusting)
     now = "none"
     for m in TOKEN.finditer(page):
         raw = m.group()
@@ -84,23 +140,20 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             continue
         tag, closing = name.lower(), bool(m.group(2))
         if closing:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None and not (tag in INLINE and any(t not in INLINE for t, _ in stack[at:])):
-                del stack[at:]
+            around.close(tag)
         elif tag not in VOID and not m.group(4).rstrip().endswith("/"):
-            if tag in CLOSES_P:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-                if at is not None and all(t in INLINE for t, _ in stack[at + 1 :]):
-                    del stack[at:]
-            for other in SELF_CLOSING.get(tag, ()):
-                if stack and stack[-1][0] == other:
-                    stack.pop()
-                    break
-            stack.append((tag, kind_of(tag, m.group(4), any(t in ("article", "main") for t, _ in stack))))
-        now = context()
+            if tag in CLOSES_P and around.count["p"]:
+                around.close_paragraph()
+            if around.stack and around.stack[-1][0] in SELF_CLOSING.get(tag, ()):
+                around.cut(len(around.stack) - 1)
+            around.push(tag, m.group(4))
+        now = around.context()
         yield ("close" if closing else "open"), tag, now
 
 
+FEW = 20
+
+
 class Weights:
     """Log odds of contexts and tag names, with one smoothing count."""
 
@@ -119,8 +172,17 @@ class Weights:
 
 
 def region(weights: Weights, page: str) -> list[tuple[str, str, str]]:
-    """The tokens with the largest sum of weights, by one scan; the first of equal ones."""
+    """The tokens with the largest sum of weights, by one scan; the first of equal ones.
+
+    If elements named like menus, notices or comments hold all of a page's words but a few, the names say nothing, and only
+    tag names tell.
+    """
     seq = list(tokens(page))
+    outside = sum(len(v.split()) for what, v, where in seq if what == "text" and where not in ("side", "inner"))
+    if outside < FEW:
+        other = list(tokens(page, trusting=False))
+        if sum(len(v.split()) for what, v, where in other if what == "text" and where not in ("side", "inner")) >= 2 * FEW:
+            seq = other
     best = total = 0.0
     start = first = last = 0
     for i, (what, value, where) in enumerate(seq):
@@ -176,8 +238,8 @@ def counted(page: str) -> tuple[Counter, Counter] | None:
 
 
 def train(pages: DataFrame, page: str = "html", most: int = 500) -> Weights:
-    """Weights from the counts of at most ``most`` pages that carry article marks, by hash order; the counts are made on
-    the executors, only sums reach the driver."""
+    """Weights from the counts of about 1.5 times ``most`` pages, by hash order, that carry article marks.  Counts are made on
+    the executors; only sums reach the driver, of names seen more than a few times, as rarer ones weigh next to nothing."""
     order = F.xxhash64(F.lit("pages"), page)
     some = thinned(pages.select(page).filter(F.col(page).isNotNull()), order, most, pages.count())
 
@@ -193,7 +255,7 @@ def train(pages: DataFrame, page: str = "html", most: int = 500) -> Weights:
 
     sums = some.mapInArrow(work, "kind string, name string, good boolean, n bigint").groupBy("kind", "name", "good").agg(F.sum("n").alias("n"))
     words, tags = Counter(), Counter()
-    for r in sums.orderBy(F.desc("n"), "kind", "name", "good").limit(1000).collect():
+    for r in sums.filter("n >= 5").orderBy("kind", "name", "good").collect():
         (words if r.kind == "word" else tags)[r.name, r.good] = r.n
     return Weights(words, tags)
 
@@ -205,7 +267,7 @@ def extracted(df: DataFrame, weights: Weights, page: str = "html", text: str = "
 
     def work(batches):
         own = held()
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, page)):
             yield with_columns(batch, {text: pa.array([main_text(own, p) for p in texts(batch.column(page))], pa.string())})
 
     return df.mapInArrow(work, schema_with(df, f"`{text}` string"))

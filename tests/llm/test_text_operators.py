@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import time
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -148,6 +150,31 @@ def test_page_text(spark):
     assert pages.extracted(df.limit(0), pages.train(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("around", [
+    '<article class="post hentry comments-open">{}</article>', '<body class="single no-sidebar"><article>{}</article></body>', '<p title="a hidden gem">{}</p>',
+    '<div aria-hidden="false"><p>{}</p></div>', '<p data-id="menu">{}</p>', '<div class="notice-board"><p>{}</p></div>', "<div class=content data-x='a class=\"ad\"'>{}</div>"])
+def test_articles_are_not_lost_to_attributes(around):
+    body = " ".join(f"word{i % 7}" for i in range(80))
+    weights = pages.Weights(Counter({("main", True): 900, ("side", False): 300, ("link", False): 100, ("p", True): 900}), Counter())
+    page = "<html><nav><a href='/'>home</a></nav>" + around.format(body) + "<div class='comment-list'>what a day</div><footer>the end</footer></html>"
+    assert pages.main_text(weights, page) == body
+
+
+def test_words_in_menus_forms_and_comments_stay_out():
+    weights = pages.Weights(Counter({("main", True): 900, ("side", False): 300, ("link", False): 100, ("p", True): 900}), Counter())
+    body = " ".join(f"word{i % 7}" for i in range(60))
+    for side in ("<div class='ad'>{}</div>", "<div id=cookie-banner>{}</div>", "<section hidden>{}</section>", "<aside>{}</aside>", "<ul class='share-buttons'><li>{}</ul>", "<div role='navigation'>{}</div>"):
+        assert pages.main_text(weights, f"<article><p>{body}</p>{side.format('never say this')}<p>{body}</p></article>") == body + "\n\n" + body, side
+
+
+def test_deep_pages_take_time_in_proportion():
+    weights = pages.Weights(Counter({("main", True): 9, ("p", True): 9}), Counter())
+    for page in ("<div>" * 80_000 + "some words here", "<b>" + "<div>" * 40_000 + "</b>" * 40_000, "<p>" + "<i>" * 40_000 + "</u>" * 40_000, "<a>x" * 40_000):
+        begun = time.perf_counter()
+        pages.main_text(weights, page)
+        assert time.perf_counter() - begun < 5
+
+
 def made(n=240):
     rng = np.random.default_rng(4)
     vocabulary_ = ["".join(rng.choice(list("abcdefghij"), 4)) for _ in range(200)]
