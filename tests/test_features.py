@@ -148,30 +148,40 @@ def test_length_of_stay_edges(spark):
     assert [r["id"] for r in stay.length_of_stay(cases, readings, counter, "zone", died=True).collect()] == ["dead"]
 
 
-def test_a_hot_zone_is_split_in_the_stay_joins(spark):
-    """Half the rows share one zone and month: Spark splits that partition, and every row comes back once."""
-    conf = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB",
-    }
-    n = 40_000
+def crowded_cases(spark, n):
     hot = F.col("id") % 2 == 0
     cases = spark.range(0, n, 1, 16).select(
-        "id", F.when(hot, "hot").otherwise(F.concat(F.lit("z"), F.col("id") % 500)).alias("zone"), F.lit(False).alias("died"),
+        "id", F.when(hot, "hot").otherwise(F.concat(F.lit("z"), F.col("id") % 500)).alias("zone"), (F.col("id") % 3 == 0).alias("died"),
         F.lit(D(2020, 1, 8)).alias("admitted"), F.date_add(F.lit(D(2020, 1, 1)), (F.col("id") % 1).cast("int")).alias("exposed"),
         F.lit("10/01/2020").alias("dt_evoluca"), F.lit(None).cast("string").alias("dt_encerra"))
     zones = cases.select("zone").distinct()
-    readings = zones.select("zone", F.lit(D(2020, 1, 1)).alias("exposed"), F.lit(30.0).alias("reading"))
-    counter = zones.select("zone", F.lit(1).alias("month"), F.lit(5).alias("cases_new"))
+    return cases, zones.select("zone", F.lit(D(2020, 1, 1)).alias("exposed"), F.lit(30.0).alias("reading")), zones.select("zone", F.lit(1).alias("month"), F.lit(5).alias("cases_new"))
+
+
+def test_a_hot_zone_is_split_in_the_stay_joins(spark):
+    """Half the rows share one zone and month: no task joins more than a small part of them, and every row comes back once."""
+    n, conf = 40_000, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
-        out = stay.length_of_stay(cases, readings, counter, "zone", died=False)
+        out = stay.length_of_stay(*crowded_cases(spark, n), "zone", heavy=1000, salts=64)
+        assert out._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 2
+        tasks = out.groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in tasks) < n / 4 and len(tasks) == 8
         rows = out.collect()
         assert len(rows) == n and {r["id"] for r in rows} == set(range(n))
         assert all(r["above"] and r["cases_new"] == 5 for r in rows)
-        assert out._jdf.queryExecution().executedPlan().toString().count("skew=true") >= 2
     finally:
         for k in conf:
             spark.conf.unset(k)
+
+
+def test_stays_of_both_kinds_in_one_pass_and_no_job_when_called(spark):
+    inputs = crowded_cases(spark, 900)
+    spark.sparkContext.setJobGroup("stays", "built only")
+    both = stay.length_of_stay(*inputs, "zone", heavy=100)
+    apart = [stay.length_of_stay(*inputs, "zone", died=d) for d in (False, True)]
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("stays")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    rows = sorted(tuple(r) for r in both.select(apart[0].columns).fillna("").collect())
+    assert rows == sorted(tuple(r) for a in apart for r in a.fillna("").collect()) and len(rows) == 900
