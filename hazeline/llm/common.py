@@ -103,11 +103,13 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces(batch: pa.RecordBatch, column: str, rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``rows`` rows and about ``size`` bytes of a string or binary column; a larger row comes alone."""
+    """Slices of at most ``rows`` rows and about ``size`` bytes of a string or binary column; a larger row comes alone.
+    Behind each slice the memory that Arrow holds in reserve goes back to the system: workers wait with it otherwise."""
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
     for a, b in slices(lengths, size):
         for i in range(a, b, rows):
             yield batch.slice(i, min(rows, b - i))
+            pa.default_memory_pool().release_unused()
 
 
 def texts(column: pa.Array) -> list[str]:

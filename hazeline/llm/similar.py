@@ -80,7 +80,8 @@ def links(items: DataFrame, contents: DataFrame | Callable[[DataFrame], DataFram
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = pairs.distinct()
-        return verified(estimated(pairs) if estimated else pairs, near, sets, least)
+        # Written between the two Python steps, so that a task never runs both at once.
+        return verified(stored(estimated(pairs)) if estimated else pairs, near, sets, least)
 
     led = shared.join(stored(leaders), "key").filter("id <> leader").filter(close(F.col("n"), F.col("n_leader")))
     first = stored(checked(led.select(F.col("id").alias("a"), F.col("leader").alias("b"))))
