@@ -435,3 +435,14 @@ ORACLE["kmeans_one_pass"] = _with(PROFILE, select=f"""SELECT cluster, count(*) A
     FROM (SELECT *, {', '.join(' + '.join(f'pow({c} - ({m}), 2)' for c, m in zip(PROFILE_COLUMNS, center)) + f' AS d{i}' for i, center in enumerate(_CENTERS, 1))}
       FROM (SELECT {', '.join(f'({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS {c}' for c in PROFILE_COLUMNS)} FROM profile)
       WHERE {' AND '.join(f'{c} IS NOT NULL' for c in PROFILE_COLUMNS)})) GROUP BY cluster""")
+
+_WARNED = ("admissions", "reading", "days_above")
+ORACLE["report_warned"] = _with(BASE, f"""
+last_profile AS (SELECT zone, {', '.join(f'{_NULL_MEAN.format(c)} AS {c}' for c in _WARNED)} FROM base WHERE week = 4 AND reading IS NOT NULL GROUP BY zone)
+--
+last_scaled AS (SELECT zone, {', '.join(f'({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS {c}' for c in _WARNED)} FROM last_profile)
+--
+warned AS (SELECT zone FROM (SELECT *, {', '.join(' + '.join(f'pow({c} - ({m}), 2)' for c, m in zip(_WARNED, center)) + f' AS d{i}'
+    for i, center in enumerate(((1.0, 0.5, 1.0), (0.0, 0.0, 0.0), (-1.0, -0.5, -1.0)), 1))} FROM last_scaled) WHERE d1 <= d2 AND d1 <= d3)
+""", select=f"""SELECT zone, days_above, name, state, {_pct('days_above', False)}
+  FROM (SELECT zone, {_half_up('days_above')} AS days_above FROM base WHERE week = 4 AND zone IN (FROM warned) GROUP BY zone) JOIN (SELECT zone, name, state FROM census) USING (zone)""")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hazeline.functions import dates, effects, nulls
 from hazeline.functions import text as tx
-from hazeline.operators import cluster, countmodel, features, grid_fill, panel, raster, reports, stay, zonal
+from hazeline.operators import cluster, countmodel, features, grid_fill, manylevels, panel, raster, reports, stay, zonal
 from hazeline.operators.loops import checkpointed
 from hazeline.plans import roles
 from hazeline.plans.roles import cents, table, text
@@ -406,6 +406,14 @@ def report_vulnerable(spark, d):
                                           period="week", periods=roles.SEASON))
 
 
+@query
+def report_warned(spark, d):
+    """Clusters to report: the zones of the most exposed cluster and the extra admissions of their last week."""
+    base = checkpointed(roles.event_base_panel(spark, d, ()))
+    return tidy(reports.report_vulnerable(base, roles.warned_zones(spark, base), _names(spark, d), roles.effects(), zone="zone",
+                                          period="week", periods=roles.LAST_WEEK, text=False))
+
+
 @query
 def report_zones(spark, d):
     return tidy(reports.report_zones(roles.event_base_panel(spark, d, ()), _names(spark, d), roles.effects(), zone="zone",
@@ -487,6 +495,14 @@ def vulnerable_zones(spark, d):
     return cluster.vulnerable_zones(roles.order_profile(spark, d), "zone", list(roles.PROFILE))
 
 
+@query
+def kmeans_variants(spark, d):
+    """The clustering with all features, without the population, and on exposure alone."""
+    every = list(roles.PROFILE)
+    sets = {"all": every, "without population": [c for c in every if c != "pop"], "exposure": ["admissions", "reading", "days_above"]}
+    return tidy(cluster.variants(roles.order_profile(spark, d), "zone", sets))
+
+
 @query
 def kmeans_elbow(spark, d):
     return cluster.elbow(_scaled(spark, d), "zone", list(roles.PROFILE))
@@ -516,6 +532,15 @@ def nb_mixed_levels(spark, d):
     return tidy(countmodel.fit_counts(roles.count_rows(spark, d), "shipped", exposure="orders", level=["c_custkey"], mixed=True, **_TERMS).table, digits=4)
 
 
+@query
+def nb_many_levels(spark, d):
+    """One fixed effect per customer beside the price: how the effects spread, and the shared coefficient."""
+    fit = manylevels.fit_many_levels(roles.count_rows(spark, d), "shipped", "c_custkey", numeric=["price"], exposure="orders")
+    kept = fit.levels.filter(F.col("effect") > float("-inf"))
+    return tidy(kept.agg(F.count(F.lit(1)).alias("levels"), F.avg("effect").alias("mean_effect"), F.stddev_samp("effect").alias("spread")).withColumns(
+        {"price": F.lit(fit.beta["price"]), "theta": F.lit(fit.theta), "log_lik": F.lit(fit.log_lik)}), digits=3)
+
+
 @query
 def nb_level_likelihood(spark, d):
     """Log-likelihood of a given model with one intercept per customer, by segment."""

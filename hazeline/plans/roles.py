@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeline.functions.dates import number_axis, parse_mdy
 from hazeline.functions.nulls import na_mean
 from hazeline.functions.text import clean_names
-from hazeline.operators import features, panel, reports, zonal
+from hazeline.operators import cluster, features, panel, reports, zonal
 from hazeline.operators.countmodel import CountFit
 from hazeline.operators.features import census_dimension
 from hazeline.operators.grid_fill import observed_range
@@ -350,5 +351,15 @@ def count_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: A count model with round coefficients, for what can be computed without fitting.
 GIVEN = CountFit(None, {"(Intercept)": 4.5, "balance": 0.01, "price": 0.05, "segmentBUILDING": -0.1, "segmentFURNITURE": 0.05,
                         "segmentHOUSEHOLD": 0.02, "segmentMACHINERY": -0.03}, 6.0, 0.0, 0.0, 0.0, "orders")
-#: Two cluster centres on standardised profiles.
+#: Three cluster centres on standardised profiles.
 CENTERS = ((0.5, 0.25, 0.5, 0.25, 0.5, 0.0, 0.5), (-0.5, -0.25, -0.5, -0.25, -0.5, 0.0, -0.5), (0.0, 1.0, 0.0, 0.0, 1.0, 1.5, 0.0))
+#: Centres of a stored clustering of the weekly panel, by admissions, reading and days above.
+WARNED = ("admissions", "reading", "days_above")
+STORED_CENTERS = ((1.0, 0.5, 1.0), (0.0, 0.0, 0.0), (-1.0, -0.5, -1.0))
+
+
+def warned_zones(spark: SparkSession, base: DataFrame) -> DataFrame:
+    """Zones of the most exposed cluster: the last week's profiles against a stored clustering."""
+    kept = cluster.centers_table(spark, np.array(STORED_CENTERS), WARNED)
+    profile = reports.zone_profile(base.filter(F.col("week").isin(*LAST_WEEK)), "zone", {c: c for c in WARNED}, required="reading")
+    return cluster.zones_of_worst(cluster.standardize(profile, list(WARNED)), "zone", list(WARNED), cluster.load_centers(kept, list(WARNED)))

@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from hazeline.functions import effects
-from hazeline.operators import cluster, countmodel, reports
+from hazeline.operators import cluster, countmodel, manylevels, reports
 
 
 @pytest.fixture(scope="module")
@@ -112,6 +112,13 @@ def test_summary_and_stored_centres(spark, blobs):
     assert (cluster.load_centers(cluster.centers_table(spark, centers, FEATURES), FEATURES) == centers).all()
 
 
+def test_variants_show_who_is_named(spark, blobs):
+    sets = {"all": FEATURES, "two": FEATURES[:2], "noise": ["pop", "reading", "days_above"]}
+    got = {r["variant"]: r for r in cluster.variants(blobs, "zone", sets, k=4, restarts=8).collect()}
+    assert got["all"]["vulnerable"] == got["all"]["shared"] == got["two"]["shared"] == got["noise"]["shared"] == 60
+    assert {r["zones"] for r in got.values()} == {240} and got["two"]["features"] == "days_above, reading" and got["two"]["cost"] < got["all"]["cost"]
+
+
 def test_too_few_rows(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "zone string, x double")
     with pytest.raises(ValueError):
@@ -319,3 +326,32 @@ def test_stored_fits_give_the_same_report(spark, tmp_path):
     assert reports_[0] == reports_[1] and reports_[0][0][2] > 0
     with pytest.raises(ValueError):
         countmodel.loaded_fit(kept, "other")
+
+
+def test_many_levels_equal_the_dummy_columns(spark):
+    df = simulate(spark, n=3000)
+    wide = countmodel.fit_counts(df, "y", **ARGS)
+    own = manylevels.fit_many_levels(df, "y", "uf", numeric=["x"], exposure="pop")
+    assert own.beta["x"] == pytest.approx(wide.beta["x"], abs=1e-4) and own.theta == pytest.approx(wide.theta, rel=1e-3)
+    assert own.log_lik == pytest.approx(wide.log_lik, abs=1e-3)
+    effects_ = {r["uf"]: r["effect"] for r in own.levels.collect()}
+    base = wide.beta["(Intercept)"]
+    assert effects_ == pytest.approx({"AC": base, "AM": base + wide.beta["ufAM"], "PA": base + wide.beta["ufPA"]}, abs=1e-3)
+    assert own.std_error["x"] == pytest.approx(terms(wide)[("cond", "x")][1], rel=0.1)
+
+
+def test_a_table_of_level_effects(spark):
+    """Thousands of levels, one hot, some without counts and a null one; the effects come back as a table."""
+    rng, levels_ = np.random.default_rng(12), 4000
+    lev = np.concatenate([np.repeat(np.arange(levels_), 6), np.zeros(6000, int)])
+    effect, x = rng.normal(1.0, 0.5, levels_), rng.normal(0, 1, len(lev))
+    effect[7] = -50.0
+    y = rng.poisson(np.exp(effect[lev] + 0.3 * x) * rng.gamma(5.0, 0.2, len(lev)))
+    df = spark.createDataFrame([(None if l == 3 else int(l), float(a), int(v)) for l, a, v in zip(lev, x, y)], "zone int, x double, y bigint")
+    fit = manylevels.fit_many_levels(df, "y", "zone", numeric=["x"])
+    assert abs(fit.beta["x"] - 0.3) < 4 * fit.std_error["x"] < 0.05
+    got = {r["zone"]: (r["n"], r["effect"]) for r in fit.levels.collect()}
+    assert len(got) == levels_ and got[7] == (6, -math.inf) and got[None][0] == 6
+    assert got[0][0] == 6006 and got[0][1] == pytest.approx(effect[0], abs=0.1)
+    found = [(e, effect[z]) for z, (n, e) in got.items() if z not in (None, 0, 7) and e > -5]
+    assert np.corrcoef(np.array(found).T)[0, 1] > 0.8

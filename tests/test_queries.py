@@ -13,7 +13,7 @@ from hazeline.plans.queries import QUERIES
 from tests.compare import oracle_rows, same
 
 SF = "/root/testdata/sf0.001"
-NO_TWIN = {"kmeans_profile", "kmeans_elbow", "kmeans_gap", "vulnerable_zones", "nb_regression", "nb_zero_inflated", "nb_mixed", "nb_mixed_levels", "residual_check"}
+NO_TWIN = {"kmeans_profile", "kmeans_elbow", "kmeans_gap", "vulnerable_zones", "nb_regression", "nb_zero_inflated", "nb_mixed", "nb_mixed_levels", "nb_many_levels", "kmeans_variants", "residual_check"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
