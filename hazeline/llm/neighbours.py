@@ -72,7 +72,9 @@ def tile_best(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray, k: i
     c8, cs, ce = quantised(c / top_c)
     out = []
     for a in range(0, len(q), 256):
-        rough = (q8[a : a + 256].astype(np.float32) @ c8.astype(np.float32).T) * qs[a : a + 256, None] * cs  # exact: sums stay below 2**24
+        # Whole numbers: over a thousand dimensions a sum stays below 2**24 and so exact in single precision.
+        sums = [q8[a : a + 256, j : j + 1024].astype(np.float32) @ c8[:, j : j + 1024].astype(np.float32).T for j in range(0, max(1, q8.shape[1]), 1024)]
+        rough = sum(s.astype(np.float64) for s in sums) * qs[a : a + 256, None] * cs
         slack = qe[a : a + 256, None] * (1 + ce) + ce + 1e-6
         low, high = rough - slack, rough + slack
         own = qi[a : a + 256, None] == ci[None, :]

@@ -67,7 +67,8 @@ def links(items: DataFrame, contents: DataFrame | Callable[[DataFrame], DataFram
     count as one item that is linked when any of them is.
     """
     rows = items.select("id", "n", F.explode("bands").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    # Sizes are written before they are joined: Spark splits a hot key's partition of plain rows, not of an aggregate.
+    sizes = stored(rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
     shared = stored(rows.join(sizes, "key"))
     ids = shared.select("id").distinct()
     near = stored(contents(ids) if callable(contents) else contents.join(ids, "id", "left_semi").dropDuplicates(["id", "content"]))
@@ -87,9 +88,9 @@ def links(items: DataFrame, contents: DataFrame | Callable[[DataFrame], DataFram
     first = stored(checked(led.select(F.col("id").alias("a"), F.col("leader").alias("b"))))
     at = stored(components(first))
     placed = shared.join(at, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    mixed = stored(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high"))
     open_ = stored(placed.join(mixed.select("key"), "key", "left_semi").select("key", "id", "n", "component"))
-    few = open_.groupBy("key").agg(F.count("*").alias("members"))
+    few = stored(open_.groupBy("key").agg(F.count("*").alias("members")))
     small = open_.join(few.filter(F.col("members") <= SMALL).select("key"), "key", "left_semi")
     other = small.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "component")])
     across = small.join(other, "key").filter("component < component_b").filter(close(F.col("n"), F.col("n_b")))

@@ -65,13 +65,21 @@ def merge_groups(df: DataFrame, by: list[str], s: str = "sketch", k: int = 128)
     return kept.groupBy(*by).agg(F.sort_array(F.collect_set("_h")).alias(s))
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], parts: int = 256) -> DataFrame:
+RANGE_BYTES, TASK_RANGES = 8 << 20, 4
+
+
+def with_next(df: DataFrame, key: str, columns: list[str], parts: int | None = None) -> DataFrame:
     """Adds ``next_<column>`` from the row with the next larger ``key``; the last row takes those of the first.
 
-    Rows are cut into ranges of the key at ``parts`` approximate quantiles (all the driver ever holds); the first row
-    of a range is copied into the range before, so that no window spans ranges.  Rows with a null key come first;
-    equal keys are ordered by the carried columns.
+    Rows are cut into ranges of the key at approximate quantiles (all the driver ever holds): as many as the first carried
+    column's bytes ask for, some ``RANGE_BYTES`` each, unless ``parts`` is given.  Ranges are dealt over tasks that hold
+    some ``TASK_RANGES`` of them.  The first row of a range is copied into the range before, so that no window spans
+    ranges.  Rows with a null key come first; equal keys are ordered by the carried columns, and share a range.  The
+    names ``_part``, ``_home`` and ``_next`` are taken.
     """
+    if parts is None:
+        weight = df.agg(F.coalesce(F.sum(F.octet_length(columns[0])), F.lit(0))).first()[0]
+        parts = max(256, -(-weight // RANGE_BYTES))
     share = [i / parts for i in range(1, parts)]
     found = df.agg(
         F.percentile_approx(key, F.lit(share), F.lit(20 * parts)).alias("cuts"), F.min(key).alias("least"),
@@ -92,6 +100,8 @@ def with_next(df: DataFrame, key: str, columns: list[str], parts: int = 256) ->
         F.when(first, F.array(home(F.lit(len(cuts)), 2))).otherwise(none),
     )
     rows = df.withColumn("_part", part).withColumn("_home", F.explode(homes))
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, parts // TASK_RANGES)
+    rows = rows.repartition(tasks, F.col("_home.part"))
     w = Window.partitionBy("_home.part").orderBy("_home.late", F.col(key).asc_nulls_first(), *columns)
     out = rows.withColumn("_next", F.lead(F.struct(*columns)).over(w)).filter(F.col("_home.late") == 0)
     return out.select(*df.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])

@@ -285,3 +285,16 @@ def test_pipeline_equals_its_stages_checked_one_by_one(spark):
     assert clean.filter(F.col("text").rlike(r"[a-z0-9.]+@[a-z0-9]+\.[a-z]+")).count() == 0
     whole = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in whole.select("doc_id").collect()} == {r.doc_id for r in tokens.collect()}
+
+
+def test_wide_vectors_keep_their_bounds():
+    """Sums of products of thousands of dimensions are still whole numbers, so no neighbour is lost."""
+    rng = np.random.default_rng(2)
+    q, c = np.sign(rng.normal(size=(5, 4096))), np.sign(rng.normal(size=(300, 4096)))
+    c[7] = q[0]
+    c[9] = -q[1]
+    ids, found, scores = neighbours.tile_best(np.arange(1000, 1005), q, np.arange(300), c, 3)
+    cos = q @ c.T / 4096
+    for i in range(5):
+        best = sorted(range(300), key=lambda j: (-cos[i, j], j))[:3]
+        assert found[ids == 1000 + i].tolist() == best and scores[ids == 1000 + i] == pytest.approx(cos[i, best])
