@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from hazeline.operators.loops import checkpointed, matrix, spread
 
 
+MOST_LEVELS = 500  # of a factor, each of which is a column of the design
 HOT_ROWS = 50_000  # a level with more rows is summed across tasks
 
 
@@ -70,7 +71,7 @@ def digamma(x):
 def _modes(y: np.ndarray, fixed: np.ndarray, theta: float, sigma: float) -> tuple[np.ndarray, np.ndarray]:
     """Mode of every row's random intercept (in standard deviations) and the width of its likelihood there."""
     u = np.zeros(len(y))
-    for _ in range(30):
+    for _ in range(100):  # a mode not met exactly only places the nodes a little off
         tail = np.logaddexp(np.log(theta), fixed + sigma * u)
         share, inverse = np.exp(fixed + sigma * u - tail), np.exp(-tail)
         slope = sigma * theta * (y * inverse - share) - u
@@ -405,7 +406,9 @@ def _design(df: DataFrame, numeric: Sequence[str], factors: Sequence[str]):
                 raise ValueError(f"term {c} is constant")
             terms.append((c, (F.col(c).cast("double") - centre) / scale, centre, scale))
     for c in factors:
-        levels = sorted(r[0] for r in df.select(F.col(c).cast("string")).distinct().collect())
+        levels = sorted(r[0] for r in df.select(F.col(c).cast("string")).distinct().limit(MOST_LEVELS + 1).collect())
+        if len(levels) > MOST_LEVELS:
+            raise ValueError(f"{c} has more than {MOST_LEVELS} levels: see manylevels.fit_many_levels")
         terms += [(f"{c}{v}", (F.col(c).cast("string") == v).cast("double"), 0.0, 1.0) for v in levels[1:]]
     return terms
 

@@ -191,6 +191,12 @@ def test_missing_rows_are_dropped(spark):
     assert countmodel.fit_counts(holes, "y", **ARGS).log_lik == pytest.approx(countmodel.fit_counts(df, "y", **ARGS).log_lik, abs=1e-3)
 
 
+def test_factors_of_too_many_levels_are_refused(spark):
+    df = spark.range(600).select(F.col("id").cast("string").alias("uf"), F.lit(1).alias("y"))
+    with pytest.raises(ValueError, match="manylevels"):
+        countmodel.fit_counts(df, "y", factors=["uf"])
+
+
 def simulate_levels(spark, sizes, theta=4.0, sigma=0.7, seed=2):
     rng = np.random.default_rng(seed)
     rows = []

@@ -31,7 +31,9 @@ def test_query_equals_its_twin(spark, name):
 
 @pytest.mark.parametrize("name, columns", [
     ("kmeans_profile", {"cluster", "n", "vulnerable", "cost"}), ("nb_regression", {"term", "estimate", "std_error"}),
-    ("residual_check", {"segment", "dispersion"}),
+    ("residual_check", {"segment", "dispersion"}), ("kmeans_elbow", {"k", "cost"}), ("kmeans_gap", {"k", "gap", "std_error"}),
+    ("kmeans_variants", {"variant", "cost", "shared"}), ("vulnerable_zones", {"zone"}), ("nb_zero_inflated", {"term", "estimate"}),
+    ("nb_mixed", {"term", "estimate"}), ("nb_mixed_levels", {"term", "estimate"}), ("nb_many_levels", {"levels", "price"}),
 ])
 def test_model_queries(spark, name, columns):
     df = driver.queries()[name](spark, SF)
