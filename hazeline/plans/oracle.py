@@ -408,7 +408,7 @@ shipped AS (SELECT l_orderkey, sum(l_quantity) AS quantity FROM lineitem GROUP B
 yearly AS (SELECT o_custkey AS c_custkey, year(o_orderdate) AS year, sum(coalesce(quantity, 0)) AS y, count(*) AS orders, avg(o_totalprice) / 100000 AS price
   FROM orders LEFT JOIN shipped ON l_orderkey = o_orderkey GROUP BY 1, 2)
 --
-counted AS (SELECT c_custkey, year, y, c_mktsegment AS segment, 6.0::DOUBLE AS theta, ln(orders) + 4.5::DOUBLE + 0.01::DOUBLE * (c_acctbal / 1000)
+counted AS (SELECT c_custkey, year, y, price, c_mktsegment AS segment, 6.0::DOUBLE AS theta, ln(orders) + 4.5::DOUBLE + 0.01::DOUBLE * (c_acctbal / 1000)
     + 0.05::DOUBLE * price + CASE c_mktsegment WHEN 'BUILDING' THEN -0.1 WHEN 'FURNITURE' THEN 0.05 WHEN 'HOUSEHOLD' THEN 0.02 WHEN 'MACHINERY' THEN -0.03 ELSE 0 END::DOUBLE AS eta
   FROM yearly JOIN customer USING (c_custkey))
 """
@@ -417,12 +417,21 @@ _NB = "lgamma(y + theta) - lgamma(theta) - lgamma(y + 1) + theta * ln(theta) + y
 ORACLE["residual_check_given"] = _with(COUNT_ROWS, select="""SELECT segment, count(*) AS n, round(avg(r), 4) AS mean_residual, round(avg(r * r), 4) AS dispersion,
     count(*) FILTER (y = 0) AS zeros_observed, round(sum(pow(theta / (theta + exp(eta)), theta)), 4) AS zeros_expected
   FROM (SELECT *, (y - exp(eta)) / sqrt(exp(eta) + exp(eta) * exp(eta) / theta) AS r FROM counted) GROUP BY segment""")
-ORACLE["nb_level_likelihood"] = _with(COUNT_ROWS, select=f"""SELECT segment, count(*) AS customers, sum(n)::BIGINT AS rows, round(sum(log_lik), 2) AS log_lik
+
+
+def _level_likelihood(rows: str, log_f: str) -> str:
+    return _with(COUNT_ROWS, select=f"""SELECT segment, count(*) AS customers, sum(n)::BIGINT AS rows, round(sum(log_lik), 2) AS log_lik
   FROM (SELECT segment, c_custkey, max(n) AS n, max(t) + ln(sum(exp(t - top)) * 0.01::DOUBLE / sqrt(2 * pi())) AS log_lik
     FROM (SELECT *, max(t) OVER (PARTITION BY c_custkey) AS top
-      FROM (SELECT segment, c_custkey, u, count(*) AS n, sum({_NB}) - u * u / 2 AS t
-        FROM (SELECT *, eta + 0.3::DOUBLE * u AS e FROM counted, (SELECT unnest(generate_series(-600, 600)) / 100.0::DOUBLE AS u)) GROUP BY segment, c_custkey, u))
+      FROM (SELECT segment, c_custkey, u, count(*) AS n, sum({log_f}) - u * u / 2 AS t
+        FROM (SELECT *, {_NB} AS lf FROM (SELECT *, eta + 0.3::DOUBLE * u AS e FROM {rows}, (SELECT unnest(generate_series(-600, 600)) / 100.0::DOUBLE AS u))) GROUP BY segment, c_custkey, u))
     GROUP BY segment, c_custkey) GROUP BY segment""")
+
+
+ORACLE["nb_level_likelihood"] = _level_likelihood("counted", "lf")
+ORACLE["nb_zero_inflated_likelihood"] = _level_likelihood(
+    "(SELECT c_custkey, segment, theta, eta, CASE WHEN price > 2.5 THEN 0.0 ELSE y END::DOUBLE AS y FROM counted)",
+    "CASE WHEN y = 0 THEN ln(0.1::DOUBLE + 0.9::DOUBLE * exp(lf)) ELSE ln(0.9::DOUBLE) + lf END")
 ORACLE["residual_histogram"] = _with(COUNT_ROWS, select=f"""SELECT segment, bin::INT AS bin, count(*) AS n,
     round(avg((greatest(low, least(high, bin / 10.0::DOUBLE)) - greatest(low, least(high, (bin - 1) / 10.0::DOUBLE))) / (high - low)), 5) AS share
   FROM (SELECT segment, sum(f) FILTER (i <= y) AS high, coalesce(sum(f) FILTER (i < y), 0) AS low

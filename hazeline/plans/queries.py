@@ -544,8 +544,19 @@ def nb_many_levels(spark, d):
 @query
 def nb_level_likelihood(spark, d):
     """Log-likelihood of a given model with one intercept per customer, by segment."""
+    return _level_likelihood(spark, d, roles.GIVEN._replace(sigma=0.3))
+
+
+@query
+def nb_zero_inflated_likelihood(spark, d):
+    """The same with a tenth of structural zeros, counting orders dear enough as no shipment."""
+    return _level_likelihood(spark, d, roles.GIVEN._replace(sigma=0.3, inflation=0.1), zeros=True)
+
+
+def _level_likelihood(spark, d, given, zeros=False):
     rows = roles.count_rows(spark, d)
-    given = roles.GIVEN._replace(sigma=0.3)
+    if zeros:
+        rows = rows.withColumn("shipped", F.when(F.col("price") > 2.5, 0.0).otherwise(F.col("shipped")))
     ll = countmodel.level_likelihoods(rows, given, "shipped", "c_custkey", nodes=41, **_TERMS)
     by = ll.join(table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment")), "c_custkey").groupBy("segment")
     return tidy(by.agg(F.count(F.lit(1)).alias("customers"), F.sum("n").alias("rows"), F.sum("log_lik").alias("log_lik")), digits=2)
