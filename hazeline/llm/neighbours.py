@@ -2,8 +2,12 @@
 
 Vectors are packed into blocks of rows, each scaled to int8.  Every pair of a query block and a candidate block is one
 tile: an integer product gives all its cosines with a bound on the rounding error, pairs that cannot be among the
-nearest are dropped, the others are computed again in double precision.  A tile keeps its ``k`` best for each query;
-bounded heaps merge them over tiles.  Tiles are spread evenly, so equal vectors or common blocks make no task large.
+nearest are dropped, the others are computed again in double precision.
+
+Tiles lie on a grid of cells.  A cell holds some query blocks and sees its candidate blocks one after the other, with the
+``k`` best of each query so far as a floor; so a query block travels once per column of the grid and a candidate block once
+per row, not once per tile.  Bounded heaps merge what the cells found.  Blocks are spread evenly, so equal vectors make no
+task large.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from pyspark.sql import functions as F
 
 from hazeline.llm.common import stored
 
+HELD_BYTES = 32 << 20  # of query vectors in a cell
 BLOCK = "part bigint, dim int, ids binary, rows binary"
 
 
@@ -65,8 +70,8 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b)))
 
 
-def tile_best(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray, k: int):
-    """``(query, candidate, cosine)`` of the ``k`` nearest candidates of every query within one tile."""
+def tile_best(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray, k: int, least: np.ndarray | None = None):
+    """``(query, candidate, cosine)`` of the ``k`` nearest candidates of every query within one tile, none below ``least``."""
     top_q, top_c = (np.abs(x).max(1, keepdims=True) for x in (q, c))  # keeps squares of extreme values finite
     q8, qs, qe = quantised(q / top_q)
     c8, cs, ce = quantised(c / top_c)
@@ -80,6 +85,7 @@ def tile_best(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray, k: i
         own = qi[a : a + 256, None] == ci[None, :]
         low[own] = high[own] = -np.inf
         floor = np.partition(low, len(ci) - k, axis=1)[:, len(ci) - k] if len(ci) > k else np.full(len(low), -np.inf)
+        floor = floor if least is None else np.maximum(floor, least[a : a + 256])
         r, s = np.nonzero((high >= floor[:, None]) & ~own)
         score = np.concatenate([exact(q[a + r[i : i + 65536]], c[s[i : i + 65536]]) for i in range(0, len(r), 65536)] or [np.zeros(0)])
         order = np.lexsort((ci[s], -score, r))
@@ -90,6 +96,44 @@ def tile_best(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray, k: i
     return [np.concatenate(x) for x in zip(*out)]
 
 
+class Cell:
+    """Query blocks, and the ``k`` best candidates of each of their queries among the blocks seen so far."""
+
+    def __init__(self, k: int):
+        self.k, self.blocks = k, []
+
+    def take(self, side: int, ids: np.ndarray, rows: np.ndarray) -> None:
+        if side == 0:
+            none = np.zeros(0, np.int64)
+            self.blocks.append([ids, rows, (none, none, np.zeros(0)), np.full(len(ids), -np.inf)])
+            return
+        for block in self.blocks:
+            qi, q, best, least = block
+            block[2] = a, _, s = kept([np.concatenate(x) for x in zip(best, tile_best(qi, q, ids, rows, self.k, least))], self.k)
+            # A query with k found already needs no candidate below the last of them.
+            size = np.searchsorted(a, qi, "right") - np.searchsorted(a, qi, "left")
+            full = size >= self.k
+            least[full] = s[np.searchsorted(a, qi, "right")[full] - 1]
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        for _, _, best, _ in self.blocks:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], ["query_id", "id", "score"])
+
+
+def kept(found: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best ``(query, candidate, cosine)`` of each query, by query, best first; a candidate once."""
+    a, b, s = found
+    order = np.lexsort((-s, b, a))
+    a, b, s = a[order], b[order], s[order]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a, b, s = a[fresh], b[fresh], s[fresh]
+    order = np.lexsort((b, -s, a))
+    a, b, s = a[order], b[order], s[order]
+    near = np.arange(len(a)) - np.searchsorted(a, a, "left") < k
+    return a[near], b[near], s[near]
+
+
 def nearest(queries: DataFrame, candidates: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5,
             query_size: int = 1024, block_size: int = 4096) -> DataFrame:
     """``query_id, rank, <key>, score`` of the ``k`` nearest candidates by cosine, ties to the smaller key.
@@ -100,23 +144,37 @@ def nearest(queries: DataFrame, candidates: DataFrame, key: str = "vec_id", vect
     """
     q = stored(packed(queries, key, vector, query_size))
     c = stored(packed(candidates, key, vector, block_size))
-    # both sides are named by the pair of blocks they meet in; the numbers of blocks are small
-    c_ids = c.groupBy("dim").agg(F.collect_set("part").alias("others"))
-    q_ids = q.groupBy("dim").agg(F.collect_set("part").alias("others"))
-    left = q.join(c_ids, "dim").select("dim", F.col("part").alias("q"), F.explode("others").alias("c"), F.col("ids").alias("qi"), F.col("rows").alias("qr"))
-    right = c.join(q_ids, "dim").select("dim", F.col("part").alias("c"), F.explode("others").alias("q"), F.col("ids").alias("ci"), F.col("rows").alias("cr"))
+    # Rows of the grid by the bytes of queries a task holds, columns as many as keep all cores busy.
+    cores = 4 * queries.sparkSession.sparkContext.defaultParallelism
+    high = q.groupBy("dim").agg(F.ceil(F.sum(F.octet_length("rows")) / HELD_BYTES).cast("int").alias("high"))
+    wide = c.groupBy("dim").agg(F.count("*").alias("blocks")).join(high, "dim")
+    grid = wide.select("dim", "high", F.least("blocks", F.ceil(F.lit(cores) / F.col("high"))).cast("int").alias("wide"))
+    grid = stored(grid)
+
+    def dealt(n: str):
+        return F.pmod(F.xxhash64("part"), F.col(n)).cast("int")
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    left = q.join(grid, "dim").select("dim", dealt("high").alias("down"), every("wide").alias("across"), F.lit(0).alias("side"), "ids", "rows")
+    right = c.join(grid, "dim").select("dim", every("high").alias("down"), dealt("wide").alias("across"), F.lit(1).alias("side"), "ids", "rows")
+    cell = ["dim", "down", "across"]
+    cells = left.unionByName(right).repartition(cores, *cell).sortWithinPartitions(*cell, "side")
 
     def tiles(batches):
+        own, now = Cell(k), None
         for batch in batches:
             for row in batch.to_pylist():
-                qi, ci = np.frombuffer(row["qi"], np.int64), np.frombuffer(row["ci"], np.int64)
-                ci, once = np.unique(ci, return_index=True)
-                qi, q_once = np.unique(qi, return_index=True)
-                x, y = (np.frombuffer(row[n], np.float64).reshape(-1, row["dim"]) for n in ("qr", "cr"))
-                a, b, s = tile_best(qi, x[q_once], ci, y[once], k)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["query_id", "id", "score"])
-
-    found = left.join(right, ["dim", "q", "c"]).select("dim", "qi", "qr", "ci", "cr").mapInArrow(tiles, "query_id bigint, id bigint, score double")
+                at = (row["dim"], row["down"], row["across"])
+                if at != now:
+                    yield from own.found()
+                    own, now = Cell(k), at
+                ids, once = np.unique(np.frombuffer(row["ids"], np.int64), return_index=True)
+                own.take(row["side"], ids, np.frombuffer(row["rows"], np.float64).reshape(-1, row["dim"])[once])
+        yield from own.found()
+
+    found = cells.mapInArrow(tiles, "query_id bigint, id bigint, score double")
 
     def merge(own: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heap: list[tuple[float, int]] = []

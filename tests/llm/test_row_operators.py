@@ -173,7 +173,9 @@ def test_band_tuning():
     assert (1 - 0.8**rows) ** bands <= 0.01
 
 
-def test_neighbours_equal_brute_force(spark):
+@pytest.mark.parametrize("held", [32 << 20, 1000])
+def test_neighbours_equal_brute_force(spark, monkeypatch, held):
+    monkeypatch.setattr(neighbours, "HELD_BYTES", held)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 8)).astype(np.float32)
     x[50:90] = x[50]
