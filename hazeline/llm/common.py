@@ -36,14 +36,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """The rows written once to the shared folder and read back: lineage is cut, lost executors cost nothing.
 
     The folder is removed when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
@@ -58,8 +58,7 @@ def sent(spark: SparkSession, value) -> Callable[[], object]:
     return lambda: pickle.loads(held.value)
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
+word_hash = xxhash.xxh64_intdigest
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,19 +74,26 @@ def seeds(n: int, salt: int) -> np.ndarray:
 
 
 class WordHashes:
-    """Hashes of byte words through a cache that is emptied when it holds ``most`` words."""
-
-    def __init__(self, most: int = 150_000):
-        self.most, self.known = most, {}
+    """Hashes of byte words.  A text has so many rare words that hashing all costs less than remembering some."""
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = word_hash(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(word_hash, words), np.uint64, len(words))
+
+
+class Marks:
+    """A set of 64-bit hashes as a bitmap of fixed size: never misses a member, and holds some others the fuller it is."""
+
+    def __init__(self, members: DataFrame):
+        """``members`` has one column of hashes.  At most 2**21 words of 64 bits reach the driver, whatever their number."""
+        h = F.col(members.columns[0])
+        words = members.groupBy(F.shiftrightunsigned(h, 43).alias("word")).agg(
+            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(63).cast("int"))).alias("bits")).toArrow()
+        self.words = np.zeros(1 << 21, np.uint64)
+        self.words[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        h = hashes.astype(np.int64, copy=False).view(np.uint64)
+        return (self.words[(h >> np.uint64(43)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) > 0
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as driver
 import corpus_pipeline
 from hazeline.llm import mixing, neardup, neighbours, paragraphs
-from hazeline.llm.common import WordHashes, mix
+from hazeline.llm.common import Marks, WordHashes, mix
 from hazeline.llm.components import components
 from hazeline.llm.queries import ORACLE, QUERIES
 from tests.compare import oracle_rows, same
@@ -168,9 +168,19 @@ def test_a_shared_run_of_47_words_always_shares_a_paragraph():
         assert a & b
 
 
-def test_band_tuning():
-    bands, rows = paragraphs.tuned(80)
-    assert (1 - 0.8**rows) ** bands <= 0.01
+@pytest.mark.parametrize("miss, most", [(0.01, 8), (0.05, 3), (0.15, 2)])
+def test_band_tuning(miss, most):
+    bands, rows = paragraphs.tuned(80, miss, most)
+    assert (1 - 0.8**rows) ** bands <= miss and bands <= most
+    assert all((1 - 0.8 ** (rows + 1)) ** b > miss for b in range(1, most + 1))
+
+
+def test_marks_hold_every_member(spark):
+    rng = np.random.default_rng(5)
+    own = rng.integers(-(2**63), 2**63 - 1, 5000)
+    marks = Marks(spark.createDataFrame([(int(x),) for x in own], "h bigint"))
+    assert marks(own).all() and marks(rng.integers(-(2**63), 2**63 - 1, 20_000)).mean() < 0.01
+    assert not Marks(spark.createDataFrame([], "h bigint"))(own).any()
 
 
 @pytest.mark.parametrize("held", [32 << 20, 1000])
