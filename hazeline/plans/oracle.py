@@ -365,8 +365,9 @@ ORACLE: dict[str, str] = {
     "report_overall": _with(BASE, MONITORED, select=f"""SELECT scope, mean_days, {_pct('mean_days')}
       FROM (SELECT 'whole' AS scope, {_half_up('days_above')} AS mean_days FROM monitored WHERE {_STATES} AND state SIMILAR TO '.*[02468]'
         UNION ALL SELECT 'all', {_half_up('days_above')} FROM monitored WHERE {_STATES})"""),
-    "report_states": _with(BASE, MONITORED, select=f"""SELECT state, mean_days, {_pct('mean_days')}
-      FROM (SELECT state, {_half_up('days_above')} AS mean_days FROM monitored GROUP BY state)"""),
+    "report_states": _with(BASE, select=f"""SELECT state, mean_days, {_pct('mean_days')}, scope
+      FROM (SELECT state, 'season' AS scope, {_half_up('days_above')} AS mean_days FROM season GROUP BY state
+        UNION ALL SELECT state, 'last week', {_half_up('days_above')} FROM base WHERE week = 4 GROUP BY state)"""),
     "report_vulnerable": _with(BASE, select=f"""SELECT zone, days_above, name, state, {_pct('days_above')}
       FROM (SELECT zone, {_half_up('days_above')} AS days_above FROM season WHERE zone IN (FROM flagged) GROUP BY zone) JOIN (SELECT zone, name, state FROM census) USING (zone)"""),
     "report_zones": _with(BASE, select=f"""SELECT zone, days_above, name, state, {_pct('days_above', False)}

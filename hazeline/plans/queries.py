@@ -395,8 +395,11 @@ def report_overall(spark, d):
 
 @query
 def report_states(spark, d):
-    base = roles.monitored(roles.event_base_panel(spark, d, ()))
-    return tidy(reports.report_states(base, roles.effects(), period="week", periods=roles.LAST_WEEK))
+    """Every state twice, from all its zones: over the season's weeks and over the last week, which is known more often."""
+    base = checkpointed(roles.event_base_panel(spark, d, ()))
+    rows = [reports.report_states(base, roles.effects(), period="week", periods=weeks).withColumn("scope", F.lit(scope))
+            for scope, weeks in (("season", roles.SEASON), ("last week", roles.LAST_WEEK))]
+    return tidy(rows[0].unionByName(rows[1]))
 
 
 @query

@@ -53,6 +53,18 @@ def test_state_reports_hold_known_and_unknown_means(spark):
     assert sum(v is not None for v in shown) >= 3
 
 
+def test_state_report_covers_every_zone_and_week_of_the_season(spark, tmp_path):
+    days = [f"2024-01-{n:02d}" for n in range(1, 32)]
+    # Zone 1 is above on every day of the season, zone 2 on none; zone 3, of another state, lacks one day of the season.
+    events = [(z, d, "purchase" if z < 3 else "error", 90.0 if z == 1 else 20.0) for z in (1, 2, 3) for d in days if (z, d) != (3, "2024-01-10")]
+    spark.createDataFrame(events, "user_id long, d string, event_type string, value double").selectExpr(
+        "monotonically_increasing_id() AS event_id", "CAST(d AS timestamp_ntz) AS ts", "user_id", "event_type", "value", "'{\"k\": 1}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(z, f"C{z}", 0 if z < 3 else 1, 100.0, "M") for z in (1, 2, 3)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, "NATION_0", 0), (1, "NATION_1", 0)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    got = {(r["state"], r["scope"]): r["mean_days"] for r in QUERIES["report_states"](spark, str(tmp_path)).collect()}
+    assert got == {("NATION_0", "season"): 3.5, ("NATION_1", "season"): None, ("NATION_0", "last week"): 1.5, ("NATION_1", "last week"): 0.0}
+
+
 def test_scans_prune_columns_and_push_filters(spark):
     plan = driver.queries()["cumulative_to_increment"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(event_type,purchase)" in plan and len(re.findall(r"FileScan", plan)) == 1
