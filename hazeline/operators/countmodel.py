@@ -68,6 +68,15 @@ def digamma(x):
     return np.log(z) - 1 / (2 * z) - 1 / (12 * z**2) + 1 / (120 * z**4) - 1 / (252 * z**6) + 1 / (240 * z**8) - shift
 
 
+def trigamma(x):
+    """Derivative of ``digamma``."""
+    x = np.asarray(x, float)
+    low = np.where(x < 8, x, 8.0)
+    shift = np.where(x < 8, sum(1 / (low + i) ** 2 for i in range(8)), 0.0)
+    z = np.where(x < 8, x + 8, x)
+    return 1 / z + 1 / (2 * z**2) + 1 / (6 * z**3) - 1 / (30 * z**5) + 1 / (42 * z**7) - 1 / (30 * z**9) + shift
+
+
 def _modes(y: np.ndarray, fixed: np.ndarray, theta: float, sigma: float) -> tuple[np.ndarray, np.ndarray]:
     """Mode of every row's random intercept (in standard deviations) and the width of its likelihood there."""
     u = np.zeros(len(y))
@@ -128,34 +137,62 @@ def row_scores(par: np.ndarray, y: np.ndarray, off: np.ndarray, x: np.ndarray, s
     return ll, np.hstack([score * share[:, None], d_pi[:, None]])
 
 
-def _row_terms(par: np.ndarray, y: np.ndarray, eta: np.ndarray, shape: _Shape):
-    """At every node: log-likelihood of each row and its derivatives by eta, log theta and logit inflation."""
-    theta = np.exp(par[shape.p])
+def _tails(theta: float, eta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``log(theta + mu)``, ``1 / (theta + mu)`` and ``mu / (theta + mu)``; only far steps of a fit need them by logarithms."""
+    if theta > 1e-200 and eta.max(initial=0.0) < 600:
+        mu = np.exp(eta)
+        whole = theta + mu
+        inverse = 1 / whole
+        return np.log(whole), inverse, mu * inverse
     tail = np.logaddexp(np.log(theta), eta)
-    inverse, odds = np.exp(-tail), np.exp(eta - tail)
+    return tail, np.exp(-tail), np.exp(eta - tail)
+
+
+def _row_terms(par: np.ndarray, y: np.ndarray, eta: np.ndarray, shape: _Shape, second: bool = False):
+    """At every node: log-likelihood of each row and its derivatives by eta, log theta and logit inflation.
+
+    With ``second`` also the second derivatives: by eta twice, eta and log theta, log theta twice, then by logit inflation
+    and eta, log theta and itself.
+    """
+    theta = np.exp(par[shape.p])
+    tail, inverse, odds = _tails(theta, eta)
     fixed = log_gamma(theta + y) - log_gamma(theta) - log_gamma(y + 1.0) + theta * np.log(theta)
     rising = digamma(theta + y) - digamma(theta) + np.log(theta) + 1.0
     y_ = y[:, None]
+    rest = (y_ + theta) * inverse
     log_l = fixed[:, None] + y_ * eta - (y_ + theta) * tail
     by_eta = theta * (y_ * inverse - odds)
-    by_theta = theta * (rising[:, None] - tail - (y_ + theta) * inverse)
+    by_theta = theta * (rising[:, None] - tail - rest)
+    bends = None
+    if second:
+        turn = trigamma(theta + y) - trigamma(theta) + 1 / theta
+        bends = [-theta * odds * rest, by_eta * odds, by_theta + theta**2 * (turn[:, None] + inverse * (rest - 2))]
     if not shape.inflated:
-        return log_l, by_eta, by_theta, None
+        return (log_l, by_eta, by_theta, None, *([*bends, None, None, None] if second else []))
     pi = 1.0 / (1.0 + np.exp(-par[-1]))
     zero = (y == 0)[:, None]
     mix = np.logaddexp(np.log(pi), np.log1p(-pi) + log_l)
     share = np.where(zero, np.exp(np.log1p(-pi) + log_l - mix), 1.0)
     by_pi = np.where(zero, (1 - pi) * (1 - share) - pi * share, -pi)
-    return np.where(zero, mix, np.log1p(-pi) + log_l), by_eta * share, by_theta * share, by_pi
+    first = np.where(zero, mix, np.log1p(-pi) + log_l), by_eta * share, by_theta * share, by_pi
+    if not second:
+        return first
+    both = share * (1 - share)
+    bends = [share * b + both * c for b, c in zip(bends, (by_eta**2, by_eta * by_theta, by_theta**2))]
+    return *first, *bends, -both * by_eta, -both * by_theta, both - pi * (1 - pi)
 
 
 def _slopes(par: np.ndarray, y: np.ndarray, eta: np.ndarray, shape: _Shape) -> tuple[np.ndarray, np.ndarray]:
     """Per row at one value of its intercept: slope of the log-likelihood by eta and minus its expected curvature."""
     theta = np.exp(par[shape.p])
-    _, by_eta, _, _ = _row_terms(par, y, eta[:, None], shape)
-    tail = np.logaddexp(np.log(theta), eta)
-    curve = theta * np.exp(eta - tail) * (y + theta) * np.exp(-tail)
-    return by_eta[:, 0], np.where(y == 0, np.abs(by_eta[:, 0]) * theta * np.exp(-tail), curve) if shape.inflated else curve
+    tail, inverse, odds = _tails(theta, eta)
+    slope, curve = theta * (y * inverse - odds), theta * odds * (y + theta) * inverse
+    if not shape.inflated:
+        return slope, curve
+    pi = 1.0 / (1.0 + np.exp(-par[-1]))
+    own = np.log1p(-pi) + theta * (np.log(theta) - tail)  # of a count of zero that is not structural
+    slope = np.where(y == 0, slope * np.exp(own - np.logaddexp(np.log(pi), own)), slope)
+    return slope, np.where(y == 0, np.abs(slope) * theta * inverse, curve)
 
 
 def _level_modes(par: np.ndarray, y: np.ndarray, fixed: np.ndarray, starts: np.ndarray, shape: _Shape) -> tuple[np.ndarray, np.ndarray]:
@@ -174,24 +211,74 @@ def _level_modes(par: np.ndarray, y: np.ndarray, fixed: np.ndarray, starts: np.n
 
 def node_sums(par, y, off, x, starts, centre, width, shape: _Shape) -> np.ndarray:
     """Per level and node: log-likelihood of its rows and that sum's derivatives by all of ``par``, levels x nodes x (1 + m)."""
-    p, sigma = shape.p, np.exp(par[shape.p + 1])
+    owner, shift = _shifts(par, y, starts, centre, width, shape)
+    return _added(_row_terms(par, y, (off + x @ par[: shape.p])[:, None] + shift[owner], shape), x, starts, shift, shape)
+
+
+def _shifts(par, y, starts, centre, width, shape: _Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Number of every row's level, and what its intercept adds to eta at each node."""
     owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(y))))
-    level = centre[:, None] + width[:, None] * shape.nodes[None, :]
-    eta = (off + x @ par[:p])[:, None] + sigma * level[owner]
-    log_l, by_eta, by_theta, by_pi = _row_terms(par, y, eta, shape)
-    cols = [log_l, *[by_eta * x[:, j : j + 1] for j in range(p)], by_theta, by_eta * (sigma * level[owner])]
-    cols += [by_pi] if shape.inflated else []
-    return np.stack([np.add.reduceat(c, starts, axis=0) for c in cols], axis=2)
+    return owner, np.exp(par[shape.p + 1]) * (centre[:, None] + width[:, None] * shape.nodes[None, :])
 
 
-def integrated(sums: np.ndarray, centre: np.ndarray, width: np.ndarray, shape: _Shape) -> tuple[np.ndarray, np.ndarray]:
-    """Log-likelihood and score of every level from its ``node_sums``: the quadrature proper."""
+def _added(terms, x: np.ndarray, starts: np.ndarray, shift: np.ndarray, shape: _Shape) -> np.ndarray:
+    """``node_sums`` from the first derivatives of the rows."""
+    log_l, by_eta, by_theta, by_pi = terms
+    add = lambda c: np.add.reduceat(c, starts, axis=0)
+    cols = [add(log_l), *[add(by_eta * x[:, j : j + 1]) for j in range(shape.p)], add(by_theta), add(by_eta) * shift]
+    cols += [add(by_pi)] if shape.inflated else []
+    return np.stack(cols, axis=2)
+
+
+def _posterior(sums: np.ndarray, centre: np.ndarray, width: np.ndarray, shape: _Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood of every level from its ``node_sums``, and the share of each node in it: the quadrature proper."""
     level = centre[:, None] + width[:, None] * shape.nodes[None, :]
     k = sums[:, :, 0] + np.log(shape.weights)[None, :] + np.log(width)[:, None] + (shape.nodes[None, :] ** 2 - level**2) / 2
     peak = k.max(1, keepdims=True)
     e = np.exp(k - peak)
     total = e.sum(1)
-    return peak[:, 0] + np.log(total), np.einsum("gk,gkm->gm", e / total[:, None], sums[:, :, 1:])
+    return peak[:, 0] + np.log(total), e / total[:, None]
+
+
+def integrated(sums: np.ndarray, centre: np.ndarray, width: np.ndarray, shape: _Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood and score of every level from its ``node_sums``."""
+    log_l, post = _posterior(sums, centre, width, shape)
+    return log_l, np.einsum("gk,gkm->gm", post, sums[:, :, 1:])
+
+
+def _bent(seconds, first: np.ndarray, weight: np.ndarray, x: np.ndarray, shift: np.ndarray, shape: _Shape) -> np.ndarray:
+    """Second derivatives by all of ``par``, summed over rows and nodes with ``weight``; ``first`` is the slope by eta."""
+    p, m = shape.p, shape.p + 2 + shape.inflated
+    ee, et, tt, ep, tp, pp = seconds
+    over = lambda c, w: np.einsum("nk,nk->n", w, c)
+    moved = weight * shift
+    h = np.zeros((m, m))
+    h[:p, :p] = x.T @ (x * over(ee, weight)[:, None])
+    h[:p, p], h[:p, p + 1] = x.T @ over(et, weight), x.T @ over(ee, moved)
+    h[p, p], h[p, p + 1] = np.vdot(weight, tt), np.vdot(moved, et)
+    h[p + 1, p + 1] = np.vdot(moved, ee * shift + first)
+    if shape.inflated:
+        h[:p, -1], h[p, -1], h[p + 1, -1], h[-1, -1] = x.T @ over(ep, weight), np.vdot(weight, tp), np.vdot(moved, ep), np.vdot(weight, np.broadcast_to(pp, weight.shape))
+    return np.triu(h) + np.triu(h, 1).T
+
+
+def _spread_of(sums: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """What the scores at a level's nodes add to its second derivatives, summed over levels: their spread over the nodes."""
+    each = (np.sqrt(post)[:, :, None] * sums[:, :, 1:]).reshape(-1, sums.shape[2] - 1)
+    mean = np.einsum("gk,gkm->gm", post, sums[:, :, 1:])
+    return each.T @ each - mean.T @ mean
+
+
+def level_curves(par: np.ndarray, y: np.ndarray, off: np.ndarray, x: np.ndarray, starts: np.ndarray, shape: _Shape) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood, score and second derivatives, summed over levels, nodes standing at the levels' modes."""
+    fixed = off + x @ par[: shape.p]
+    centre, width = _level_modes(par, y, fixed, starts, shape)
+    owner, shift = _shifts(par, y, starts, centre, width, shape)
+    terms = _row_terms(par, y, fixed[:, None] + shift[owner], shape, second=True)
+    sums = _added(terms[:4], x, starts, shift, shape)
+    log_l, post = _posterior(sums, centre, width, shape)
+    h = _bent(terms[4:], terms[1], post[owner], x, shift[owner], shape) + _spread_of(sums, post)
+    return log_l.sum(), np.einsum("gk,gkm->m", post, sums[:, :, 1:]), h
 
 
 def level_scores(par: np.ndarray, y: np.ndarray, off: np.ndarray, x: np.ndarray, starts: np.ndarray, shape: _Shape) -> tuple[np.ndarray, np.ndarray]:
@@ -302,46 +389,53 @@ def _hot_modes(levels: _Levels, par: np.ndarray, shape: _Shape) -> np.ndarray:
             return 1 / np.sqrt(bent)
 
 
-def _hot_nodes(levels: _Levels, pars: list[np.ndarray], centre: np.ndarray, width: np.ndarray, shape: _Shape) -> list[np.ndarray]:
+def _hot_nodes(levels: _Levels, par: np.ndarray, centre: np.ndarray, width: np.ndarray, shape: _Shape) -> np.ndarray:
+    """``node_sums`` of the hot levels."""
     def terms(y, off, x, starts, numbers):
-        own = [node_sums(q, y, off, x, starts, centre[numbers], width[numbers], shape).reshape(len(starts), -1) for q in pars]
-        return np.concatenate(own, axis=1)
+        return node_sums(par, y, off, x, starts, centre[numbers], width[numbers], shape).reshape(len(starts), -1)
 
-    size = len(shape.nodes) * (1 + len(pars[0]))
-    flat = _hot_sums(levels.hot, len(levels.names), size * len(pars), terms)
-    return [flat[:, i * size : (i + 1) * size].reshape(len(flat), len(shape.nodes), -1) for i in range(len(pars))]
+    flat = _hot_sums(levels.hot, len(levels.names), len(shape.nodes) * (1 + len(par)), terms)
+    return flat.reshape(len(flat), len(shape.nodes), -1)
 
 
-def _level_sums(levels: _Levels, par: np.ndarray, shape: _Shape, step: float = 1e-4) -> tuple[float, np.ndarray, np.ndarray]:
+def _hot_bends(levels: _Levels, par: np.ndarray, post: np.ndarray, centre: np.ndarray, width: np.ndarray, shape: _Shape) -> np.ndarray:
+    """Second derivatives of the rows of hot levels, by the nodes' shares in their level."""
+    def terms(y, off, x, starts, numbers):
+        owner, shift = _shifts(par, y, starts, centre[numbers], width[numbers], shape)
+        found = _row_terms(par, y, (off + x @ par[: shape.p])[:, None] + shift[owner], shape, second=True)
+        out = np.zeros((len(starts), len(par) ** 2))
+        out[0] = _bent(found[4:], found[1], post[numbers][owner], x, shift[owner], shape).ravel()  # the levels are summed anyway
+        return out
+
+    return _hot_sums(levels.hot, len(levels.names), len(par) ** 2, terms).sum(0).reshape(len(par), -1)
+
+
+def _level_sums(levels: _Levels, par: np.ndarray, shape: _Shape) -> tuple[float, np.ndarray, np.ndarray]:
     """Summed log-likelihood, score and observed information.
 
-    Products of level scores would say little about few levels, so the information is the score's own difference at 2 m
-    neighbouring parameter vectors, all worked out in the same pass and around the same modes.
+    Products of level scores would say little about few levels, so the information comes from second derivatives: those of
+    the rows, by the nodes' shares in their level, and the spread of a level's scores over its nodes.
     """
     m = len(par)
-    pars = [par, *[par + side * step * np.eye(m)[j] for j in range(m) for side in (1, -1)]]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = np.zeros((len(pars), 1 + m))
+        acc = np.zeros(1 + m + m * m)
         for y, off, x, starts, _ in whole_levels(batches):
-            centre, width = _level_modes(par, y, off + x @ par[: shape.p], starts, shape)
-            for i, q in enumerate(pars):
-                ll, g = integrated(node_sums(q, y, off, x, starts, centre, width, shape), centre, width, shape)
-                acc[i, 0] += ll.sum()
-                acc[i, 1:] += g.sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(acc.size, dtype="int32")), pa.array(acc.ravel())], ["slot", "v"])
-
-    v = np.zeros(len(pars) * (1 + m))
+            ll, g, h = level_curves(par, y, off, x, starts, shape)
+            acc += np.concatenate([[ll], g, h.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(acc.size, dtype="int32")), pa.array(acc)], ["slot", "v"])
+
+    v = np.zeros(1 + m + m * m)
     for r in levels.cold.mapInArrow(partial, "slot int, v double").groupBy("slot").agg(F.sum("v").alias("v")).collect():
         v[r["slot"]] = r["v"]
-    v = v.reshape(len(pars), 1 + m)
+    h = v[1 + m :].reshape(m, m)
     if levels.hot is not None:
         width = _hot_modes(levels, par, shape)
-        for i, sums in enumerate(_hot_nodes(levels, pars, levels.modes, width, shape)):
-            ll, g = integrated(sums, levels.modes, width, shape)
-            v[i] += np.concatenate([[ll.sum()], g.sum(0)])
-    h = (v[2::2, 1:] - v[1::2, 1:]) / (2 * step)
-    return float(v[0, 0]), v[0, 1:], (h + h.T) / 2
+        sums = _hot_nodes(levels, par, levels.modes, width, shape)
+        ll, post = _posterior(sums, levels.modes, width, shape)
+        v[: 1 + m] += np.concatenate([[ll.sum()], np.einsum("gk,gkm->m", post, sums[:, :, 1:])])
+        h = h + _hot_bends(levels, par, post, levels.modes, width, shape) + _spread_of(sums, post)
+    return float(v[0]), v[1 : 1 + m], -(h + h.T) / 2
 
 
 def _sums(rows: DataFrame, par: np.ndarray, shape: _Shape) -> tuple[float, np.ndarray, np.ndarray]:
@@ -496,7 +590,7 @@ def level_likelihoods(
     out = levels.cold.mapInArrow(each, "lev string, n bigint, log_lik double")
     if levels.hot is not None:
         width = _hot_modes(levels, par, shape)
-        ll, _ = integrated(_hot_nodes(levels, [par], levels.modes, width, shape)[0], levels.modes, width, shape)
+        ll, _ = integrated(_hot_nodes(levels, par, levels.modes, width, shape), levels.modes, width, shape)
         sizes = {r["number"]: r["count"] for r in levels.hot.groupBy("number").count().collect()}
         rows = [(name, sizes[i], float(v)) for i, (name, v) in enumerate(zip(levels.names, ll))]
         out = out.unionByName(df.sparkSession.createDataFrame(rows, "lev string, n bigint, log_lik double"))
