@@ -93,6 +93,44 @@ def test_same_cost_as_plain_lloyd_from_the_same_starts(blobs, monkeypatch, rows)
     assert cost == pytest.approx(min(plain)) and ((x[:, None] - centers[None]) ** 2).sum(2).min(1).sum() == pytest.approx(cost)
 
 
+@pytest.mark.parametrize("between, passes", [((3000, 3000), 3), ((150, 150), None), ((0, 0), None)])
+def test_fits_take_few_passes_and_end_where_plain_lloyd_does(spark, monkeypatch, between, passes):
+    """Starts far from the end, as the sample is small: with all rows between centres one pass moves them to it."""
+    monkeypatch.setattr(cluster, "SAMPLE_ROWS", 60)
+    monkeypatch.setattr(cluster, "BETWEEN", between, raising=False)
+    x = np.random.default_rng(7).uniform(0, 1, (3000, 2))
+    df = spark.createDataFrame([(f"z{i}", *map(float, r)) for i, r in enumerate(x)], "zone string, a double, b double").repartition(3)
+    vectors = cluster._vectors(df, "zone", ["a", "b"], 41)
+    stacks = cluster._starts(vectors, [1, 4], 1, 3, 41)
+    found = cluster.lloyd(vectors, stacks, max_iter=passes)
+    for k in (1, 4):
+        plain = []
+        for c in stacks[(0, k)][1]:
+            while True:
+                d = ((x[:, None] - c[None]) ** 2).sum(2)
+                new = np.array([x[d.argmin(1) == j].mean(0) for j in range(k)])
+                if np.abs(new - c).max() < 1e-9:
+                    break
+                c = new
+            plain.append(d.min(1).sum())
+        centers, cost = found[(0, k)]
+        assert cost == pytest.approx(min(plain), rel=1e-9) and ((x[:, None] - centers[None]) ** 2).sum(2).min(1).sum() == pytest.approx(cost, rel=1e-9)
+
+
+def test_rows_far_from_any_change_keep_their_centre():
+    rng = np.random.default_rng(1)
+    x, centers = rng.normal(0, 1, (2000, 3)), rng.normal(0, 1, (2, 4, 3))
+    slot, best, after = cluster._nearest(x, centers)
+    margins = cluster._margins(x, best, after)
+    for f in range(2):
+        step = rng.normal(0, 1, (4, 3))
+        other = centers[f] + 0.2 * step / np.linalg.norm(step, axis=1)[:, None]
+        kept = ((x[:, None] - other[None]) ** 2).sum(2).argmin(1) == slot[f]
+        assert kept[margins[f] > 0.2].all() and not kept.all()
+    below = np.cumsum(cluster._octave_counts(x, centers), axis=1)[:, -3 - cluster.OCTAVES[0]]
+    assert (below == (margins < 0.25).sum(1)).all()
+
+
 def test_reference_points_do_not_depend_on_partitions_and_fill_the_box():
     spot = np.random.default_rng(0).integers(-(2**63), 2**63, 20_000)
     box = cluster.Box(np.array([1.0, 2.0]), np.array([[0.6, -0.8], [0.8, 0.6]]), np.array([-1.0, -3.0]), np.array([2.0, 4.0]))
@@ -241,6 +279,25 @@ def test_levels_of_one_row_equal_the_row_likelihood(inflated):
     assert a[0] == pytest.approx(b[0], abs=1e-6) and a[1] == pytest.approx(b[1], abs=1e-5)
 
 
+@pytest.mark.parametrize("inflated", [False, True])
+def test_one_evaluation_gives_the_information_of_levels(inflated):
+    """The second derivatives equal differences of the score around the same nodes, which took 2 m more evaluations."""
+    rng = np.random.default_rng(9)
+    starts = np.cumsum([0, 1, 40, 3])
+    x, y = np.hstack([np.ones((94, 1)), rng.normal(0, 1, (94, 1))]), rng.poisson(5, 94).astype(float) * (rng.uniform(0, 1, 94) > 0.2)
+    z, w = np.polynomial.hermite.hermgauss(21)
+    shape = countmodel._Shape(2, True, inflated, np.sqrt(2) * z, w / np.sqrt(np.pi))
+    par = np.array([1.4, 0.2, 1.1, -0.3, *([-1.5] if inflated else [])])
+    ll, score, h = countmodel.level_curves(par, y, np.zeros(94), x, starts, shape)
+    own, slopes = countmodel.level_scores(par, y, np.zeros(94), x, starts, shape)
+    assert ll == pytest.approx(own.sum()) and score == pytest.approx(slopes.sum(0), abs=1e-9)
+    centre, width = countmodel._level_modes(par, y, x @ par[:2], starts, shape)
+    for j, e in enumerate(1e-4 * np.eye(len(par))):
+        up, down = (countmodel.integrated(countmodel.node_sums(par + s * e, y, np.zeros(94), x, starts, centre, width, shape), centre, width, shape)[1].sum(0) for s in (1, -1))
+        assert h[j] == pytest.approx((up - down) / 2e-4, rel=1e-5, abs=1e-4)
+    assert countmodel.trigamma(np.array([0.3, 12.0])) == pytest.approx([(countmodel.digamma(v + 1e-5) - countmodel.digamma(v - 1e-5)) / 2e-5 for v in (0.3, 12.0)], rel=1e-5)
+
+
 def test_level_score_is_the_gradient_and_the_integral_is_exact():
     rng = np.random.default_rng(6)
     sizes = [1, 40, 3, 200]
