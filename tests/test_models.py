@@ -120,14 +120,15 @@ def test_fits_take_few_passes_and_end_where_plain_lloyd_does(spark, monkeypatch,
 def test_rows_far_from_any_change_keep_their_centre():
     rng = np.random.default_rng(1)
     x, centers = rng.normal(0, 1, (2000, 3)), rng.normal(0, 1, (2, 4, 3))
-    slot, best, after = cluster._nearest(x, centers)
-    margins = cluster._margins(x, best, after)
+    wide = cluster._wide(x)
+    slot, best, after = cluster._nearest(wide, centers)
+    margins = cluster._margins(wide, best, after)
     for f in range(2):
         step = rng.normal(0, 1, (4, 3))
         other = centers[f] + 0.2 * step / np.linalg.norm(step, axis=1)[:, None]
         kept = ((x[:, None] - other[None]) ** 2).sum(2).argmin(1) == slot[f]
         assert kept[margins[f] > 0.2].all() and not kept.all()
-    below = np.cumsum(cluster._octave_counts(x, centers), axis=1)[:, -3 - cluster.OCTAVES[0]]
+    below = np.cumsum(cluster._octave_counts(wide, centers), axis=1)[:, -3 - cluster.OCTAVES[0]]
     assert (below == (margins < 0.25).sum(1)).all()
 
 
