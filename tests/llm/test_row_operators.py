@@ -168,6 +168,17 @@ def test_a_shared_run_of_47_words_always_shares_a_paragraph():
         assert a & b
 
 
+def test_paragraph_pairs_are_compared_in_slices_as_by_sets(spark):
+    rng = np.random.default_rng(6)
+    base = rng.permutation(40).astype(np.uint64).reshape(4, 10)
+    sets = [np.unique(np.concatenate((base[i % 4][: 10 - i % 3], rng.integers(0, 40, int(rng.integers(0, 3))).astype(np.uint64)))) for i in range(60)]
+    contents = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "id long, content binary")
+    pairs = [(a, b) for a in range(60) for b in range(60) if a != b]
+    got = paragraphs.verified(spark.createDataFrame(pairs, "a long, b long"), contents, None, 80).collect()
+    want = {(a, b) for a, b in pairs if 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))}
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 20
+
+
 @pytest.mark.parametrize("miss, most", [(0.01, 8), (0.05, 3), (0.15, 2)])
 def test_band_tuning(miss, most):
     bands, rows = paragraphs.tuned(80, miss, most)
