@@ -20,6 +20,7 @@ from hazeline.llm.components import components
 from hazeline.llm.similar import links
 
 BUCKETS, ROWS, MANTISSA = 252, 6, 10
+SLICE = 256  # pairs whose chance of equal registers is worked out at once
 
 
 def sketcher(buckets: int = BUCKETS, mantissa: int = MANTISSA) -> Callable[[np.ndarray], np.ndarray]:
@@ -51,7 +52,11 @@ def chance(n: np.ndarray, m: np.ndarray, mantissa: int = MANTISSA) -> np.ndarray
         below = (1 - edges[None]) ** np.asarray(k, float)[:, None, None]
         return below[:, :, 1:] - below[:, :, :-1]
 
-    return (cells(n) * cells(m)).sum((1, 2)) / 2 ** (mantissa - fine)
+    n, m = np.asarray(n), np.asarray(m)
+    out = np.zeros(len(n))
+    for i in range(0, len(n), SLICE):  # a whole batch at once would hold a hundred MB in the worker
+        out[i : i + SLICE] = (cells(n[i : i + SLICE]) * cells(m[i : i + SLICE])).sum((1, 2))
+    return out / 2 ** (mantissa - fine)
 
 
 def set_builder(width: int) -> Callable[[list[str]], list[np.ndarray]]:

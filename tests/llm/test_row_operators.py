@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -90,6 +91,17 @@ def test_chance_of_equal_registers():
     assert np.mean(equal) == pytest.approx(neardup.chance(np.array([50]), np.array([70]), 2)[0], rel=0.15)
 
 
+def test_chance_of_a_whole_batch_needs_little_memory():
+    rng = np.random.default_rng(5)
+    n, m = rng.integers(1, 2000, 10_000), rng.integers(1, 2000, 10_000)
+    tracemalloc.start()
+    got = neardup.chance(n, m)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+    assert all(got[i] == neardup.chance(n[i : i + 1], m[i : i + 1])[0] for i in range(0, 10_000, 997))
+
+
 def windows_by_hand(text):
     """Distinct paragraphs of a text, straight from the definition."""
     words = (text or "").encode().lower().split()
