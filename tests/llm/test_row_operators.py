@@ -180,6 +180,64 @@ def test_a_shared_run_of_47_words_always_shares_a_paragraph():
         assert a & b
 
 
+def runs_by_hand(texts, size):
+    """Runs of ``size`` words that two texts hold, with the places of their first occurrences, straight from the definition."""
+    at = defaultdict(dict)
+    for i, t in enumerate(texts):
+        words = (t or "").encode().lower().split()
+        for p in range(len(words) - size + 1):
+            at[tuple(words[p : p + size])].setdefault(i, p)
+    return [sorted(places.items()) for places in at.values() if len(places) > 1]
+
+
+@pytest.mark.parametrize("size", [paragraphs.RUN, 5, 8])
+def test_runs_at_every_place_equal_brute_force(spark, size):
+    texts = passage_texts()[0]
+    texts += [texts[6], " ".join(texts[-1].split()[:size]), texts[7].replace(" ", "\u00e9 ", 3)]
+    df = spark.createDataFrame([(i, t, 0, "x") for i, t in enumerate(texts)], "doc_id long, text string, start long, digest string").repartition(3)
+    groups = defaultdict(list)
+    for r in paragraphs.repeated_runs(df, words=size).collect():
+        groups[r.cluster].append(((r.doc_id, r.place), r.kept))
+        assert r.n_words == size and texts[r.doc_id][r.start : r.end].split() == texts[r.doc_id].split()[r.place : r.place + size]
+    assert sorted(sorted(p for p, _ in g) for g in groups.values()) == sorted(runs_by_hand(texts, size))
+    assert all([k for _, k in sorted(g)] == [True] + [False] * (len(g) - 1) for g in groups.values())
+    assert paragraphs.repeated_runs(df.limit(0), words=size).count() == 0
+
+
+def test_runs_of_rows_with_equal_or_null_keys_keep_one(spark):
+    run = " ".join(f"w{i}" for i in range(16))
+    df = spark.createDataFrame([(None, run), (4, "a " + run), (4, run + " b"), (None, None)], "doc_id long, text string")
+    got = paragraphs.repeated_runs(df).collect()
+    assert len(got) == 6 and sorted(r.doc_id or 0 for r in got if r.kept) == [4, 4] and len({r.cluster for r in got}) == 2
+    twice = paragraphs.repeated_runs(spark.createDataFrame([(1, f"{run} {run}")], "doc_id long, text string"))
+    assert twice.count() == 0
+
+
+def test_short_shared_runs_are_found_wherever_they_stand(spark, tmp_path):
+    """Shared runs of 16 to 46 words need not hold an anchored paragraph."""
+    rng = np.random.default_rng(4)
+    prose = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows, spots = [], []
+    for k in range(60):
+        run = prose(16 + k % 31)
+        for _ in range(2):
+            before = prose(int(rng.integers(40, 90)))
+            spots.append(set(range(len(before), len(before) + len(run))))
+            rows.append((len(rows), " ".join(before + run + prose(int(rng.integers(40, 90))))))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    covered = defaultdict(set)
+    for r in QUERIES["op9_paragraph_dedup"](spark, str(tmp_path)).collect():
+        covered[r.doc_id] |= set(range(r.place, r.place + r.n_words))
+    assert all(spots[i] <= covered[i] and len(covered[i] - spots[i]) <= 2 for i in range(len(rows)))
+
+
+@pytest.mark.parametrize("n", range(1, 20))
+def test_least_over_neighbours(n):
+    values = np.random.default_rng(n).integers(0, 50, 40).astype(np.uint64)
+    assert paragraphs.least_over(values, n).tolist() == [min(values[i : i + n]) for i in range(41 - n)]
+    assert not len(paragraphs.least_over(values[: n - 1], n))
+
+
 def test_paragraph_pairs_are_compared_in_slices_as_by_sets(spark):
     rng = np.random.default_rng(6)
     base = rng.permutation(40).astype(np.uint64).reshape(4, 10)
