@@ -190,25 +190,53 @@ def runs_by_hand(texts, size):
     return [sorted(places.items()) for places in at.values() if len(places) > 1]
 
 
+def runs_found(got, texts, size):
+    """The same from the rows of the operator; of equal runs the first one is kept."""
+    at = defaultdict(list)
+    for r in got:
+        words = texts[r.doc_id].encode().lower().split()
+        assert texts[r.doc_id][r.start : r.end].encode().lower().split() == words[r.place : r.place + r.n_words]
+        for p in range(r.place, r.place + r.n_words - size + 1):
+            at[tuple(words[p : p + size])].append(((r.doc_id, p), r.kept))
+    assert all([k for _, k in sorted(g)] == [True] + [False] * (len(g) - 1) for g in at.values())
+    return sorted(sorted(p for p, _ in g) for g in at.values())
+
+
 @pytest.mark.parametrize("size", [paragraphs.RUN, 5, 8])
 def test_runs_at_every_place_equal_brute_force(spark, size):
     texts = passage_texts()[0]
     texts += [texts[6], " ".join(texts[-1].split()[:size]), texts[7].replace(" ", "\u00e9 ", 3)]
     df = spark.createDataFrame([(i, t, 0, "x") for i, t in enumerate(texts)], "doc_id long, text string, start long, digest string").repartition(3)
-    groups = defaultdict(list)
-    for r in paragraphs.repeated_runs(df, words=size).collect():
-        groups[r.cluster].append(((r.doc_id, r.place), r.kept))
-        assert r.n_words == size and texts[r.doc_id][r.start : r.end].split() == texts[r.doc_id].split()[r.place : r.place + size]
-    assert sorted(sorted(p for p, _ in g) for g in groups.values()) == sorted(runs_by_hand(texts, size))
-    assert all([k for _, k in sorted(g)] == [True] + [False] * (len(g) - 1) for g in groups.values())
+    got = paragraphs.repeated_runs(df, words=size).collect()
+    assert runs_found(got, texts, size) == sorted(runs_by_hand(texts, size))
+    clusters = defaultdict(list)
+    for r in got:
+        clusters[r.cluster].append((r.doc_id, r.kept))
+    assert all(min(g)[1] and len({d for d, kept in g if kept}) == 1 for g in clusters.values())
     assert paragraphs.repeated_runs(df.limit(0), words=size).count() == 0
 
 
+@pytest.mark.parametrize("rows", [1, 3, 10_000])
+def test_runs_of_a_seed_go_on_in_the_next_batch(spark, rows):
+    rng = np.random.default_rng(7)
+    start = [f"s{i}" for i in range(12)]
+    texts = [" ".join([f"w{x}" for x in rng.integers(0, 2, 4)] + start + [f"w{x}" for x in rng.integers(0, 2, 4)]) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        got = paragraphs.repeated_runs(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert runs_found(got, texts, paragraphs.RUN) == sorted(runs_by_hand(texts, paragraphs.RUN))
+
+
 def test_runs_of_rows_with_equal_or_null_keys_keep_one(spark):
     run = " ".join(f"w{i}" for i in range(16))
     df = spark.createDataFrame([(None, run), (4, "a " + run), (4, run + " b"), (None, None)], "doc_id long, text string")
     got = paragraphs.repeated_runs(df).collect()
-    assert len(got) == 6 and sorted(r.doc_id or 0 for r in got if r.kept) == [4, 4] and len({r.cluster for r in got}) == 2
+    assert sum(r.n_words - 14 for r in got) == 6 and len({r.cluster for r in got}) == len([r for r in got if r.kept])
+    kept = [r for r in got if r.kept]
+    assert {r.doc_id for r in kept} == {4} and sum(r.n_words - 14 for r in kept) == 2
     twice = paragraphs.repeated_runs(spark.createDataFrame([(1, f"{run} {run}")], "doc_id long, text string"))
     assert twice.count() == 0
 
