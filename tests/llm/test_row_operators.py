@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as driver
 import corpus_pipeline
 from hazeline.llm import mixing, neardup, neighbours, paragraphs
-from hazeline.llm.common import Marks, WordHashes, mix
+from hazeline.llm.common import Marks, WordHashes, hashes_at, mix
 from hazeline.llm.components import components
 from hazeline.llm.queries import ORACLE, QUERIES
 from tests.compare import oracle_rows, same
@@ -180,6 +180,46 @@ def test_a_shared_run_of_47_words_always_shares_a_paragraph():
         assert a & b
 
 
+def test_words_of_many_texts_are_those_of_each(monkeypatch):
+    rng = np.random.default_rng(12)
+    kinds = ["ab", "Çà", "x\x1cy", "\u00a0", "日本", "w" * 31, "W" * 32, "z" * 70, *[f"k{i}" for i in range(40)]]
+    gaps = [" ", "\n", " \t ", "\r\x0b\x0c"]
+    texts = [None, "", " \n", "one", "  two words ", " ".join(["a"] * 60), "é " * 47]
+    texts += ["".join(kinds[rng.integers(len(kinds))] + gaps[rng.integers(4)] for _ in range(n)) for n in (*range(1, 60), 200, 400)]
+    raws = [None if t is None else t.encode() for t in texts]
+    words = paragraphs.Words(raws)
+    assert words.lowered.split() == [w for r in raws for w in (r or b"").lower().split()]
+    assert (words.hashes == WordHashes()(words.lowered.split())).all()
+    first, last, _ = words.paragraphs()
+    got = [(int(words.text[a]), int(a - words.begins[words.text[a]]), int(b - a + 1)) for a, b in zip(first, last)]
+    assert got == [(i, p, len(w)) for i, t in enumerate(texts) for w, p in windows_by_hand(t).items()]
+    for (i, place, n), start, end in zip(got, *words.spans(first, last)):
+        assert texts[i][start:end].encode().split() == raws[i].split()[place : place + n]
+    sets = words.sets(first, last, 5)
+    assert [len(np.unique(s)) for s in sets] == [len(shingles_of(tuple(raws[i].lower().split()[p : p + n]))) for i, p, n in got]
+
+    # The numpy steps are those of a slice, not of each of its texts: the time went into them.
+    calls = []
+    monkeypatch.setattr(paragraphs, "mix", lambda x: calls.append(1) or mix(x))
+    counts = []
+    for n in (2, 200):
+        calls.clear()
+        many = paragraphs.Words([" ".join(f"w{x}" for x in rng.integers(0, 999, 80)).encode() for _ in range(n)])
+        found = many.paragraphs()
+        many.sets(found[0], found[1], 5)
+        paragraphs.runs_of(many, 15, 5)
+        counts.append(len(calls))
+    assert counts[0] == counts[1]
+
+
+def test_hashes_of_all_words_at_once_equal_the_single_ones():
+    words = [bytes(np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8)) for n in [*range(80), 5, 31, 32, 1000]]
+    sizes = np.array([len(w) for w in words])
+    data = np.frombuffer(b"".join(words), np.uint8)
+    assert (hashes_at(data, np.cumsum(sizes) - sizes, sizes) == WordHashes()(words)).all()
+    assert not len(hashes_at(data[:0], sizes[:0], sizes[:0]))
+
+
 def runs_by_hand(texts, size):
     """Runs of ``size`` words that two texts hold, with the places of their first occurrences, straight from the definition."""
     at = defaultdict(dict)
