@@ -117,6 +117,49 @@ def test_fits_take_few_passes_and_end_where_plain_lloyd_does(spark, monkeypatch,
         assert cost == pytest.approx(min(plain), rel=1e-9) and ((x[:, None] - centers[None]) ** 2).sum(2).min(1).sum() == pytest.approx(cost, rel=1e-9)
 
 
+def plain_lloyd(x, centers):
+    while True:
+        d = ((x[:, None] - centers[None]) ** 2).sum(2)
+        own = d.argmin(1)
+        new = np.array([x[own == j].mean(0) if (own == j).any() else c for j, c in enumerate(centers)])
+        if np.abs(new - centers).max() <= 1e-9:
+            return centers, d.min(1).sum()
+        centers = new
+
+
+@pytest.mark.parametrize("k", [1, 2, 6])
+def test_rows_held_in_memory_end_where_plain_lloyd_does_with_few_distances(monkeypatch, k):
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.uniform(0, 1, (3000, 3)), 2, axis=0)
+    starts = np.stack([x[rng.choice(len(x), k, replace=False)] for _ in range(4)])
+    starts[0, -1] = 50.0  # loses all rows, unless it is the only one
+    seen, steps = [], []
+    distances, moved = cluster._distances, cluster._moved
+    monkeypatch.setattr(cluster, "_distances", lambda wide, c: seen.append(len(wide) * len(c)) or distances(wide, c))
+    monkeypatch.setattr(cluster, "_moved", lambda sums, old: steps.append(len(old)) or moved(sums, old))
+    for together in (0, 8):
+        found = cluster._settled(x, starts, 1e-9, together)
+        for c, end in zip(starts, found):
+            assert np.allclose(end, plain_lloyd(x, c)[0], atol=1e-9)
+    assert k < 6 or sum(seen) < 0.6 * len(x) * sum(steps)
+
+
+def test_a_table_of_a_few_samples_is_fitted_to_its_end_in_the_starts(spark, monkeypatch):
+    """The pass over the table then only adds up costs: no second one, also for reference sets."""
+    monkeypatch.setattr(cluster, "SAMPLE_ROWS", 200)
+    x = np.random.default_rng(7).uniform(0, 1, (3000, 2))
+    df = spark.createDataFrame([(f"z{i}", *map(float, r)) for i, r in enumerate(x)], "zone string, a double, b double").repartition(3)
+    vectors = cluster._vectors(df, "zone", ["a", "b"], 41)
+    box = cluster.Box(np.array([0.5, 0.5]), np.eye(2), np.array([-0.5, -0.5]), np.array([0.5, 0.5]))
+    found = cluster.lloyd(vectors, cluster._starts(vectors, [1, 4], 2, 5, 41, box), box, max_iter=1)
+    rows = vectors.toPandas()
+    own, spot = np.stack(rows["x"]), rows["spot"].to_numpy()
+    monkeypatch.setattr(cluster, "HELD", 1, raising=False)
+    for (s, k), (_, begun) in cluster._starts(vectors, [1, 4], 2, 5, 41, box).items():
+        points = cluster._points(own, spot, s, box)
+        assert found[(s, k)][1] == pytest.approx(min(plain_lloyd(points, c)[1] for c in begun), rel=1e-9)
+
+
 def test_rows_far_from_any_change_keep_their_centre():
     rng = np.random.default_rng(1)
     x, centers = rng.normal(0, 1, (2000, 3)), rng.normal(0, 1, (2, 4, 3))
