@@ -170,6 +170,53 @@ def test_repeated_passages_equal_brute_force(spark):
     assert paragraphs.repeated_passages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("least", [80, 60])
+def test_sets_at_the_bound_share_a_band(least):
+    rng = np.random.default_rng(12)
+    for _ in range(3000):
+        n = int(rng.integers(1, 13))
+        a = rng.integers(0, 2**63, n)
+        b = np.unique(np.concatenate((rng.choice(a, int(rng.integers(1, n + 1)), replace=False), rng.integers(0, 2**63, int(rng.integers(0, 4))))))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= least * (n + len(b) - both):
+            x, y = (np.sort(s)[: paragraphs.fewest_keys(np.array([len(s)]), least)[0]] for s in (a, b))
+            assert len(np.intersect1d(x, y))
+
+
+def test_sets_at_the_bound_share_a_pair():
+    """All sizes and all orders of the members that only one of two sets holds."""
+    assert paragraphs.paired(60, 12) is None and paragraphs.paired(80, 14) is None
+    small, large = paragraphs.paired(80, 12)
+    for n, m in ((n, m) for n in range(2, 13) for m in range(n, 13)):
+        both = -(-80 * (n + m) // 180)
+        if both > n:
+            continue
+        rng = np.random.default_rng(n * 13 + m)
+        for _ in range(200):
+            every = rng.permutation(n + m - both)
+            a, b = sorted(every[:n].tolist()), sorted(every[n - both :].tolist())
+            pairs = [{(x, y) for x in s[:k] for y in s[:k] if x < y} for s, k in ((a, 3), (b, 3), (a, 2), (b, 4))]
+            assert pairs[0] & pairs[1] or n in small and m in large and pairs[2] & pairs[3]
+
+
+def test_all_similar_paragraphs_of_short_texts_are_found(spark):
+    """Pairs at the bound, with a word changed at an end, and texts that repeat their own words: none is missed."""
+    rng = np.random.default_rng(11)
+    prose = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    pairs = []
+    for _ in range(400):
+        own = prose(16)
+        pairs.append((own, [*own[:15], "other"] if rng.integers(2) else ["other", *own[1:]]))
+    for _ in range(20):  # ten shingles repeated twice, all of them in the other text
+        own = prose(10)
+        pairs.append((own + own[:6], ["left", *own, *own[:4], "right"]))
+    pairs += [(w, w) for w in (prose(9), prose(3), ["alone"], ["x"] * 16)]
+    df = spark.createDataFrame([(2 * i + j, " ".join(t)) for i, p in enumerate(pairs) for j, t in enumerate(p)], "doc_id long, text string").repartition(3)
+    got = paragraphs.repeated_passages(df).collect()
+    assert {(r.doc_id, r.kept) for r in got} == {(d, d % 2 == 0) for d in range(2 * len(pairs))}
+    assert len(got) == 2 * len(pairs) and len({r.cluster for r in got}) == len(pairs)
+
+
 def test_a_shared_run_of_47_words_always_shares_a_paragraph():
     rng = np.random.default_rng(3)
     prose = lambda n: [f"w{x}" for x in rng.integers(0, 300, n)]
